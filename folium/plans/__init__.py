@@ -1,6 +1,6 @@
 """Registered queries: an operator bound to the test tables, and its SQL."""
 
-from folium.plans import corpus
+from folium.plans import corpus, retrieval
 from folium.plans.registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "corpus"]
+__all__ = ["ORACLE", "QUERIES", "corpus", "retrieval"]
