@@ -92,7 +92,8 @@ def write_shards(documents: DataFrame, path: str, vocabulary: Vocabulary | None
         return pd.Series(feistel(index.to_numpy(), total, key))
 
     shards = max(1, -(-total // stride))
-    placed = rows.join(first, "task").withColumn("slot", slot(F.col("first") + F.col("place")))
+    # `first` has a row per task of the write above, so it is sent whole; joining by task would move all ids once more
+    placed = rows.join(F.broadcast(first), "task").withColumn("slot", slot(F.col("first") + F.col("place")))
     placed = placed.withColumn("shard", F.floor(F.col("slot") / stride).cast("int")).select("shard", "slot", "doc_id", "start", "length", "ids_crc32", "ids")
     # one range partition, and so one file, per shard
     placed.repartitionById(shards, F.col("shard")).sortWithinPartitions("slot").write.option("compression", "none").parquet(path)
