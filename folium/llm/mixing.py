@@ -151,8 +151,9 @@ def mixed_documents(documents: DataFrame) -> DataFrame:
     """The rows of documents, columns unchanged, each as often as the mix takes its words, rounded."""
     text = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
     key = F.md5(F.concat_ws(" ", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), text).cast("binary"))
-    # equal rows share what they take; the first by source of a key stands for all
-    counts = taken_words(documents).groupBy("key", "source").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"), F.count("*").alias("n"))
-    copies = counts.select(F.col("key").alias("_key"), F.col("source").alias("_source"), F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("int").alias("_copies")).where("_copies > 0")
-    joined = documents.withColumn("_k", key).join(copies, (F.col("_k") == F.col("_key")) & documents["source"].eqNullSafe(F.col("_source")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[documents[c] for c in documents.columns])
+    # equal rows share what they take; the whole row is in one column, so that no name of documents can clash
+    counts = taken_words(documents).groupBy("key", "source").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
+    copies = counts.select(F.col("key").alias("k"), F.col("source").alias("s"), F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("int").alias("copies")).where("copies > 0")
+    rows = documents.select(key.alias("key"), "source", F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"))
+    joined = rows.join(copies, (F.col("key") == F.col("k")) & F.col("source").eqNullSafe(F.col("s")))
+    return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
