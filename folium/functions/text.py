@@ -15,9 +15,20 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
+def characters(text: Column) -> Column:
+    """The characters of a text as an array; positions in a string cost its length, in an array nothing."""
+    return F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
+
+
+def over_ngrams(text: Column, n: int, make) -> Column:
+    """make(characters, i) for the start i (from 1) of every run of n characters; the array is built once a text."""
+    runs = lambda c: F.when(F.size(c) >= n, F.transform(F.sequence(F.lit(1), F.size(c) - n + 1), lambda i: make(c, i)))
+    return F.get(F.transform(F.array(characters(text)), runs), F.lit(0))
+
+
 def ngrams(text: Column, n: int) -> Column:
     """Every run of n characters, in order; none where the text is shorter."""
-    return F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: text.substr(i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    return F.coalesce(over_ngrams(text, n, lambda c, i: F.array_join(F.slice(c, i, n), "")), F.array().cast("array<string>"))
 
 
 def occurrences(text: Column, term: str | Column) -> Column:

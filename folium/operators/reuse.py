@@ -7,15 +7,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from folium.functions.text import ngrams
+from folium.functions.text import ngrams, over_ngrams
 
 SEED, MOST, LEAST = 12, 200, 20
 
 
 def seeds(texts: DataFrame, n: int = SEED) -> DataFrame:
     """doc_id, pos (from 0), seed, prev, next: every run of n characters and the characters around it (empty at the ends)."""
-    rows = texts.select("doc_id", "text", F.posexplode(ngrams(F.col("text"), n)).alias("pos", "seed"))
-    return rows.select("doc_id", F.col("pos").cast("long").alias("pos"), "seed", F.when(F.col("pos") > 0, F.col("text").substr(F.col("pos"), F.lit(1))).otherwise("").alias("prev"), F.col("text").substr(F.col("pos") + n + 1, F.lit(1)).alias("next"))
+    around = lambda c, i: F.struct((i - 1).cast("long").alias("pos"), F.array_join(F.slice(c, i, n), "").alias("seed"), F.coalesce(F.get(c, i - 2), F.lit("")).alias("prev"), F.coalesce(F.get(c, i + n - 1), F.lit("")).alias("next"))
+    return texts.select("doc_id", F.explode(over_ngrams(F.col("text"), n, around)).alias("s")).select("doc_id", "s.*")
 
 
 def seed_counts(texts: DataFrame, n: int = SEED) -> DataFrame:
