@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folium.functions.text import ngrams, over_ngrams
 
@@ -23,7 +24,7 @@ def seed_counts(texts: DataFrame, n: int = SEED) -> DataFrame:
     return texts.select(F.explode(ngrams(F.col("text"), n)).alias("seed")).groupBy("seed").agg(F.count("*").alias("n"))
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def _common_prefix(a: pd.Series, b: pd.Series) -> pd.Series:
     def length(x: str, y: str) -> int:
         lo, hi = 0, min(len(x), len(y))
