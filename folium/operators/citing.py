@@ -66,7 +66,7 @@ def rewritten(text: Column, foreign: Column, urn: Column) -> Column:
 
 def quote_in_source(quote: Column, source: Column) -> Column:
     """Place (from 0) of a quote that stands exactly once in a source, else null."""
-    at = F.locate_col(quote, source) if hasattr(F, "locate_col") else F.call_function("locate", quote, source)
+    at = F.call_function("locate", quote, source)
     again = F.call_function("locate", quote, source, at + 1)
     return F.when((F.length(quote) > 0) & (at > 0) & (again == 0), at - 1)
 

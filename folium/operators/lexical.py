@@ -91,3 +91,18 @@ def survey(segments: DataFrame, query: str, top: int = 10) -> DataFrame:
     rows = sets.select(axis.alias("axis"), value.alias("value"), "segments", F.when(F.col("g") == 6, 1).otherwise(F.col("documents")).cast("long").alias("documents"), "doc_id")
     works = rows.where("axis = 'document'").orderBy(F.col("segments").desc(), F.col("doc_id")).limit(top)
     return rows.where("axis <> 'document'").union(works).drop("doc_id")
+
+
+def composed(rows: DataFrame, after: int | None = None, before: int | None = None) -> DataFrame:
+    """Rows (date_start, date_end, date_basis) whose dating reaches into the years asked for; a date without a basis never does."""
+    if after is not None:
+        rows = rows.where(F.col("date_basis").isNotNull() & (F.coalesce("date_end", "date_start") >= after))
+    if before is not None:
+        rows = rows.where(F.col("date_basis").isNotNull() & (F.coalesce("date_start", "date_end") <= before))
+    return rows
+
+
+def ablated(rows: DataFrame, key: str, percent: int) -> DataFrame:
+    """About `percent` of the rows, by a bucket of md5(key): the same rows on any engine, and nested as percent grows."""
+    bucket = F.conv(F.substring(F.md5(F.col(key).cast("string").cast("binary")), 1, 6), 16, 10).cast("long") % 100
+    return rows.where(bucket < percent)

@@ -79,3 +79,28 @@ def as_of(left: DataFrame, right: DataFrame, key: str, at: str, take: str) -> Da
     both = left.withColumn("_side", F.lit(1)).withColumn("_take", F.lit(None).cast(right.schema[take].dataType)).unionByName(right.select(key, at, F.col(take).alias("_take"), F.lit(0).alias("_side")), allowMissingColumns=True)
     w = W.partitionBy(key).orderBy(at, "_side").rowsBetween(W.unboundedPreceding, 0)
     return both.withColumn(f"last_{take}", F.last("_take", ignorenulls=True).over(w)).where("_side = 1").drop("_side", "_take")
+
+
+def expand(seeds: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
+    """node, hop: everything within `hops` edges (a, b, either way) of the seeds (node), each at its least distance.
+
+    A hop is one join of the newest nodes and one anti-join with those known."""
+    both = edges.select("a", "b").union(edges.select("b", "a")).distinct()
+    known = seeds.select("node", F.lit(0).alias("hop")).distinct()
+    newest = known
+    for hop in range(1, hops + 1):
+        reached = newest.join(both, newest["node"] == both["a"]).select(F.col("b").alias("node")).distinct()
+        newest = reached.join(known.select("node"), "node", "left_anti").withColumn("hop", F.lit(hop))
+        known = known.union(newest)
+    return known
+
+
+def longest_prefix(paths: DataFrame, prefixes: DataFrame, separator: str = "/") -> DataFrame:
+    """path and the label of the longest prefix (prefix, label) that it continues at a separator; null without one.
+
+    A path's own prefixes are few, so they are listed and joined by equality."""
+    steps = F.split("path", separator)
+    own = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda k: F.array_join(F.slice(steps, F.lit(1), k), separator))
+    each = paths.select("path").distinct().select("path", F.explode(own).alias("prefix")).join(prefixes, "prefix")
+    best = each.groupBy("path").agg(F.max_by("label", F.length("prefix")).alias("label"))
+    return paths.join(best, "path", "left")

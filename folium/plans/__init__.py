@@ -1,6 +1,6 @@
 """Registered queries: an operator bound to the test tables, and its SQL."""
 
-from folium.plans import corpus, knowledge, retrieval, reusing, star
+from folium.plans import corpus, knowledge, more, retrieval, reusing, star
 from folium.plans.registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "corpus", "knowledge", "retrieval", "reusing", "star"]
+__all__ = ["ORACLE", "QUERIES", "corpus", "knowledge", "more", "retrieval", "reusing", "star"]

@@ -23,6 +23,14 @@ SEG = """seg as (
   window b as (partition by doc_id order by i rows between unbounded preceding and 1 preceding)),
 s as (select * from seg where content <> '')"""
 
+#: Chunks of at most 300 characters over them.
+ORACLE_CHUNKS = """r as (
+  select doc_id, ordinal, content, length(content) as used, 0 as chunk_no from s where ordinal = 0
+  union all
+  select s.doc_id, s.ordinal, s.content, case when r.used + length(s.content) > 300 then length(s.content) else r.used + length(s.content) end,
+    r.chunk_no + case when r.used + length(s.content) > 300 then 1 else 0 end
+  from r join s on s.doc_id = r.doc_id and s.ordinal = r.ordinal + 1)"""
+
 
 def _segments(spark, d, *keep):
     return segments.segment_lines(table(spark, d, "documents"), keep)
@@ -60,13 +68,7 @@ def urn_splits(spark, d):
     return ways.select("p_partkey", (F.col("way") + 1).cast("long").alias("way"), "s.first", "s.last")
 
 
-@query(f"""with recursive {SEG},
-r as (
-  select doc_id, ordinal, content, length(content) as used, 0 as chunk_no from s where ordinal = 0
-  union all
-  select s.doc_id, s.ordinal, s.content, case when r.used + length(s.content) > 300 then length(s.content) else r.used + length(s.content) end,
-    r.chunk_no + case when r.used + length(s.content) > 300 then 1 else 0 end
-  from r join s on s.doc_id = r.doc_id and s.ordinal = r.ordinal + 1)
+@query(f"""with recursive {SEG}, {ORACLE_CHUNKS}
 select doc_id, chunk_no::bigint as chunk_no, min(ordinal) as first_ordinal, max(ordinal) as last_ordinal, count(*) as segment_count, sha256(string_agg(content, '' order by ordinal)) as content_sha256
 from r group by doc_id, chunk_no""")
 def chunk_greedy(spark, d):
