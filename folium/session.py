@@ -1,5 +1,7 @@
 """A session with the settings that the engine assumes."""
 
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -11,3 +13,10 @@ def session(name: str = "folium", master: str | None = None, **conf: str) -> Spa
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
     return builder.getOrCreate()
+
+
+def share_package(spark: SparkSession) -> None:
+    """Let Python workers import this package from where it is installed, whatever folder they start in."""
+    root, env = str(Path(__file__).resolve().parent.parent), spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(":"):
+        env["PYTHONPATH"] = ":".join(x for x in (root, env.get("PYTHONPATH", "")) if x)
