@@ -33,6 +33,8 @@ TRAIN_ROWS = 20_000
 VOCABULARY = 1024
 #: Least number of different words that a word must occur after.
 LEAST_CONTEXTS = 5
+#: Least odds of a toxic use of a word, against those of any use.
+LEAST_ODDS = 4.0
 FOLDS, HELD_OUT = 3, 1
 THRESHOLD = 0.7
 
@@ -156,7 +158,9 @@ def train(documents: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Mi
     seen = uses.groupBy("word").agg(F.count("*").alias("n"), F.sum("toxic").alias("t"))
     rate = t / n
     excess = (F.col("t") - F.col("n") * rate) / F.sqrt(F.col("n") * rate * (1 - rate))
-    vocabulary = seen.where(F.col("n") >= min(LEAST_CONTEXTS, max(2, n // 50))).where(excess > 5).orderBy(excess.desc(), "word").limit(VOCABULARY)
+    # frequent words whose share of toxic uses is off by little tell nothing, yet are in most sentences
+    telling = F.col("t") * (1 - rate) >= LEAST_ODDS * rate * (F.col("n") - F.col("t"))
+    vocabulary = seen.where(F.col("n") >= min(LEAST_CONTEXTS, max(2, n // 50))).where((excess > 5) & telling).orderBy(excess.desc(), "word").limit(VOCABULARY)
     words = np.sort(np.array([r["word"] for r in vocabulary.select("word").collect()], np.int64).view(np.uint64))
     model = Mil(words=words, weights=np.zeros(len(words)), bias=-5.0)
     if not len(words):
