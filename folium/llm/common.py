@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folium.session import share_package
+
 #: Text bytes that one Arrow batch carries to a Python worker; bounds the worker's memory.
 ARROW_BATCH = str(8 << 20)
 
@@ -17,7 +19,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound Arrow batches by bytes, so a run of very long texts does not fill a worker."""
+    """Bound Arrow batches by bytes, so a run of very long texts does not fill a worker; workers can import this package."""
+    share_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BATCH)
 
 
