@@ -143,54 +143,52 @@ class CharModels:
         return np.where(none, -1, best), score, low, none | (low > allowed)
 
 
-def kneser_ney(counts: dict[str, dict[str, int]]) -> CharModels:
-    """Models from the counts of ORDER-grams of each language."""
-    languages = sorted(counts)
+def hash_rows(chars: np.ndarray) -> np.ndarray:
+    """gram_hashes' value of each row's characters."""
+    out, power = np.zeros(len(chars), np.uint64), 1
+    for j in range(chars.shape[1] - 1, -1, -1):
+        out += mix(chars[:, j].astype(np.uint64) + np.uint64(0x51ED270B)) * np.uint64(power)
+        power = power * _STEP % (1 << 64)
+    return out
+
+
+def kneser_ney(languages: list[str], lang: np.ndarray, grams: np.ndarray, n: np.ndarray) -> CharModels:
+    """Models from counts n of ORDER-grams (rows of code points) of languages, each pair once; arrays throughout."""
     model = CharModels(languages=languages)
-    if not languages:
-        return model
     width = len(languages)
-    # level[m][l]: counts of m-grams of language l; below the top: different characters before
-    levels: list[list[dict[str, int]]] = [[{} for _ in languages] for _ in range(ORDER + 1)]
-    for k, lang in enumerate(languages):
-        levels[ORDER][k] = counts[lang]
-        for m in range(ORDER - 1, 0, -1):
-            low: dict[str, int] = {}
-            for g in levels[m + 1][k]:
-                low[g[1:]] = low.get(g[1:], 0) + 1
-            levels[m][k] = low
-    letters_seen = len({g for per in levels[1] for g in per}) + 1
-    model.floor = np.full(width, -np.log(letters_seen))
-    prob: dict[str, np.ndarray] = {}
-    share: dict[str, np.ndarray] = {}
+    if not width:
+        return model
+    levels = {ORDER: (lang, grams, n)}
+    for m in range(ORDER - 1, 0, -1):  # lower orders count the different characters before
+        above_lang, above, _ = levels[m + 1]
+        suffix = above[:, 1:]
+        key = hash_rows(suffix) ^ mix(above_lang.astype(np.uint64))
+        _, first, kinds = np.unique(key, return_index=True, return_counts=True)
+        levels[m] = above_lang[first], suffix[first], kinds
+    letters_seen = len(np.unique(levels[1][1])) + 1
+    below_keys, below = np.zeros(0, np.uint64), np.zeros((0, width))
     for m in range(1, ORDER + 1):
-        discount, total, kinds = np.zeros(width), [{} for _ in languages], [{} for _ in languages]
-        for k in range(width):
-            n1 = sum(c == 1 for c in levels[m][k].values())
-            n2 = sum(c == 2 for c in levels[m][k].values())
-            discount[k] = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
-            for g, c in levels[m][k].items():
-                total[k][g[:-1]] = total[k].get(g[:-1], 0) + c
-                kinds[k][g[:-1]] = kinds[k].get(g[:-1], 0) + 1
-        lower, prob_low = share, prob
-        share = {h: np.array([discount[k] * kinds[k][h] / total[k][h] if h in total[k] else 1.0 for k in range(width)]) for h in set().union(*total)}
-        prob = {}
-        uniform = np.full(width, 1 / letters_seen)
-        for g in set().union(*levels[m]):
-            h = g[:-1]
-            below = uniform if m == 1 else prob_low[g[1:]]
-            prob[g] = np.array([max(levels[m][k].get(g, 0) - discount[k], 0) / total[k][h] if h in total[k] else 0.0 for k in range(width)]) + share[h] * below
-        del lower
-        for source, keys, values in ((prob, model.grams, model.logp), (share, model.contexts, model.backoff)):
-            names = list(source)
-            length = len(names[0]) if names else 0
-            flat = np.frombuffer("".join(names).encode("utf-32-le"), np.uint32)
-            hashed = gram_hashes(flat)[length - 1][length - 1 :: length] if length else np.zeros(len(names), np.uint64)
-            order = np.argsort(hashed)
-            keys.append(hashed[order])
-            values.append(np.log(np.stack([source[x] for x in names]))[order].astype(np.float32))
-        if m == 1:  # a character never seen: the empty context's share of the uniform distribution
-            model.floor = np.log(share[""] / letters_seen)
+        of, chars, count = levels[m]
+        keys, first, at = np.unique(hash_rows(chars), return_index=True, return_inverse=True)
+        contexts, context = np.unique(hash_rows(chars[:, :-1]), return_inverse=True)
+        cell = context * width + of
+        total = np.bincount(cell, weights=count, minlength=len(contexts) * width).reshape(-1, width)
+        kinds = np.bincount(cell, minlength=len(contexts) * width).reshape(-1, width)
+        once, twice = (np.bincount(of[count == k], minlength=width) for k in (1, 2))
+        discount = np.where((once > 0) & (twice > 0), once / np.maximum(once + 2 * twice, 1), 0.5)
+        share = np.where(total > 0, discount * kinds / np.maximum(total, 1), 1.0)
+        own = np.zeros((len(keys), width))
+        own[at, of] = np.maximum(count - discount[of], 0) / total[context, of]
+        if m == 1:
+            lower = np.full((len(keys), width), 1 / letters_seen)
+            model.floor = np.log(share[0] / letters_seen)  # a character never seen
+        else:
+            lower = below[np.searchsorted(below_keys, hash_rows(chars[first][:, 1:]))]
+        below_keys, below = keys, own + share[context[first]] * lower
+        model.grams.append(keys)
+        model.logp.append(np.log(below).astype(np.float32))
+        model.contexts.append(contexts)
+        model.backoff.append(np.log(share).astype(np.float32))
     return model
 
 
@@ -232,11 +230,12 @@ def train(documents: DataFrame, per_language: int = TRAIN_PER_LANGUAGE) -> CharM
                 yield pa.RecordBatch.from_arrays([langs.dictionary.take(pa.array(lang[first])), pa.array(grams), pa.array(n)], ["lang", "gram", "n"])
 
     sums = rows.where(part != 0).mapInArrow(counted, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    counts: dict[str, dict[str, int]] = {}
-    got = sums.toPandas()  # bounded by the sample
-    for lang, frame in got.groupby("lang", sort=True):
-        counts[lang] = dict(zip(frame["gram"], frame["n"].tolist(), strict=True))
-    model = kneser_ney(counts)
+    got = sums.toArrow()  # bounded by the sample
+    languages = sorted(set(got["lang"].unique().to_pylist()))
+    lang = pc.index_in(got["lang"], pa.array(languages, pa.string())).to_numpy().astype(np.int64)
+    grams = np.frombuffer("".join(got["gram"].to_pylist()).encode("utf-32-le"), np.uint32).reshape(-1, ORDER)
+    model = kneser_ney(languages, lang, grams, got["n"].to_numpy())
+    del got, lang, grams
     if not model.languages:
         return model
 
