@@ -39,6 +39,8 @@ SHARE = 1.5
 MOST_REPEATS = 2
 #: Slots that one rank window holds.
 CHUNK = 1 << 16
+#: Leading hex digits of the shuffle key that make a bucket: 4,096 buckets a source, whatever its size.
+BUCKET_DIGITS = 3
 WORD = r"[^\x20\x09-\x0D]+"
 
 getcontext().prec = 60
@@ -111,7 +113,7 @@ def slots(plan: DataFrame) -> DataFrame:
 
 def pieces(sizes: DataFrame, plan: DataFrame) -> DataFrame:
     """row, doc_id, source, block, start (words of the document before it), length: documents cut at block ends."""
-    bucketed = sizes.where("size > 0").withColumn("bucket", F.substring("key", 1, 4))
+    bucketed = sizes.where("size > 0").withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS))
     counts = bucketed.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
     before = F.coalesce(F.sum("n").over(W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     counts = counts.select(F.col("source").alias("s"), F.col("bucket").alias("b"), before.alias("before"))
