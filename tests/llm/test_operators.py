@@ -354,8 +354,9 @@ def test_search_against_brute_force(spark, odd, empty, monkeypatch):
     def score(q, b):
         return sum(math.log1p((n - df[w] + 0.5) / (df[w] + 0.5)) * b[w] * 2.2 / (b[w] + 1.2 * (0.25 + 0.75 * sum(b.values()) / mean)) for w in q if w in b)
 
-    for probe, shard, together in ((8192, 8192, 512), (20, 16, 3)):
-        monkeypatch.setattr(search, "PROBE_DOCUMENTS", probe)
+    for probe, shard, together in ((10_000, 8192, 128), (20, 16, 3)):
+        monkeypatch.setattr(search, "PROBE_LEAST", probe)
+        monkeypatch.setattr(search, "FLOOR_ROW", 7)
         monkeypatch.setattr(search, "SHARD_DOCUMENTS", shard)
         monkeypatch.setattr(search, "TOGETHER", together)
         got = collections.defaultdict(list)
