@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from dataclasses import dataclass
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -68,44 +71,81 @@ def longest_match(texts: DataFrame, readings: dict[str, str], most: int = 8) ->
     return texts.select("doc_id", read("text").alias("r")).select("doc_id", "r.known", "r.unknown", "r.reading")
 
 
-#: Wylie letters of the Tibetan consonants U+0F40.. in order, and of the vowel signs.
-WYLIE = dict(zip("ཀཁགངཅཆཇཉཏཐདནཔཕབམཙཚཛཝཞཟའཡརལཤསཧཨ", "k kh g ng c ch j ny t th d n p ph b m ts tsh dz w zh z ' y r l sh s h a".split(), strict=True))
-VOWELS = {"ི": "i", "ུ": "u", "ེ": "e", "ོ": "o"}
-PREFIXES, SUFFIXES = set("གདབམའ"), set("གངདནབམའརལས")
+#: Wylie letters of the Tibetan consonants by code point (subjoined forms stand 0x50 higher), vowel signs, marks
+#: after a vowel, punctuation and separators of syllables.
+WYLIE = {chr(0x0F40 + i): x for i, x in enumerate("k kh g g+h ng c ch j _ ny T Th D D+h N t th d d+h n p ph b b+h m ts tsh dz dz+h w zh z ' y r l sh Sh s h a k+Sh r".split()) if x != "_"}
+VOWELS = {"ཱ": "A", "ི": "i", "ུ": "u", "ེ": "e", "ཻ": "ai", "ོ": "o", "ཽ": "au", "ྀ": "-i"}
+MARKS = {"ཾ": "M", "ཿ": "H", "ྂ": "~M`", "ྃ": "~M", "྄": "?"}
+PUNCTUATION = {"༄": "@#", "༅": "#", "༆": "$", "༇": "&", "༈": "*", "།": "/", "༎": "//", "༏": ";", "༐": "!", "༑": "|", "༔": ":", "༺": "<", "༻": ">", "༼": "(", "༽": ")", "་": " ", "༌": " "}
+PREFIXES, SUFFIXES = set("g d b m '".split()), set("g ng d n b m ' r l s".split())
+SUPERSCRIPTS, SUBSCRIPTS = set("rls"), set("yrlw")
+SUBJOINED = range(0x0F90, 0x0FBD)
+TIBETAN = re.compile(f"[{''.join(WYLIE)}{''.join(VOWELS)}{''.join(MARKS)}\u0f90-\u0fbc]+|[{''.join(PUNCTUATION)}]")
 
 
-def wylie_syllable(s: str) -> str:
-    """One syllable: stacked letters (U+0F90..) follow their head; the vowel stands on the root, which is the stacked or
-    vowelled letter, else the first, or the second after a prefix where three or more letters stand."""
-    letters: list[list] = []
+@dataclass
+class Stack:
+    """A letter with what is subjoined to it, its vowel and marks; a conjunct is a stack that isn't native Tibetan."""
+
+    text: str
+    vowel: str = ""
+    marks: str = ""
+    subjoined: bool = False
+    conjunct: bool = False
+
+
+def _stacks(s: str) -> list[Stack]:
+    out: list[Stack] = []
     for c in s:
-        if c in VOWELS and letters:
-            letters[-1][1] = VOWELS[c]
-        elif 0x0F90 <= ord(c) <= 0x0FB8 and letters and chr(ord(c) - 0x50) in WYLIE:
-            letters[-1][0] += WYLIE[chr(ord(c) - 0x50)]
-            letters[-1][2] = True
-        elif c in WYLIE:
-            letters.append([WYLIE[c], "", False, c])
-        else:
-            return s
-    if not letters:
-        return s
-    root = next((i for i, x in enumerate(letters) if x[1] or x[2]), None)
-    if root is None:
-        root = 1 if len(letters) > 2 and letters[0][3] in PREFIXES else 0
-        if len(letters) == 3 and root == 1 and letters[1][3] in SUFFIXES and letters[2][3] in "སད":
-            root = 0
-    out = []
-    for i, (base, vowel, _, c) in enumerate(letters):
-        out.append(base if i != root else ("" if c == "ཨ" else base) + (vowel or "a"))
+        if c in WYLIE:
+            out.append(Stack(WYLIE[c]))
+        elif out and ord(c) in SUBJOINED:
+            top, below = out[-1], WYLIE.get(chr(ord(c) - 0x50), "")
+            top.conjunct = top.conjunct or not (top.text in SUPERSCRIPTS or below in SUBSCRIPTS)
+            top.text, top.subjoined = top.text + ("+" if top.conjunct else "") + below, True
+        elif out and c in VOWELS:
+            both = out[-1].vowel + VOWELS[c]
+            out[-1].vowel = {"Au": "U", "Ai": "I"}.get(both, both)
+        elif out:
+            out[-1].marks += MARKS[c]
+    return out
+
+
+def _root(stacks: list[Stack]) -> int:
+    """The vowelled stack (no conjunct, nor an a-chung), else a native stack, else by position: of two letters the first, or the
+    second if that is no suffix (g.ya); of more, the second after a prefix."""
+    found = next((i for i, x in enumerate(stacks) if x.vowel and not x.conjunct and x.text != "'"), None)
+    if found is None:
+        found = next((i for i, x in enumerate(stacks) if x.subjoined and not x.conjunct), None)
+    if found is not None:
+        return found
+    if len(stacks) == 2:
+        return 0 if stacks[1].text.split("+")[0] in SUFFIXES else 1
+    return 1 if len(stacks) > 2 and stacks[0].text in PREFIXES else 0
+
+
+def wylie_syllable(s: str) -> str:
+    """One syllable: the root, and any other stack with a subjoined letter, has an a where no vowel is written."""
+    stacks, out = _stacks(s), []
+    root = _root(stacks)
+    for i, x in enumerate(stacks):
+        # g.ya and g.wa, as gya and gwa are the subjoined forms
+        dot = "." if i == root - 1 and x.text == "g" and stacks[root].text in ("y", "w") else ""
+        implied = "a" if (i == root and x.text != "a") or (i != root and x.subjoined) else ""
+        out.append(("" if x.text == "a" and x.vowel else x.text) + dot + (x.vowel or implied) + x.marks)
     return "".join(out)
 
 
+def wylie(text: str) -> str:
+    """Tibetan syllables and punctuation of a whole text; anything else unchanged."""
+    return TIBETAN.sub(lambda m: PUNCTUATION.get(m[0]) or wylie_syllable(m[0]), text)
+
+
 def transliterate(texts: DataFrame) -> DataFrame:
-    """doc_id, wylie of Tibetan text: syllables between tshegs, anything else unchanged."""
+    """doc_id, wylie of Tibetan text: syllables between tshegs, which become spaces; anything else unchanged."""
 
     @F.pandas_udf("string")
-    def wylie(text: pd.Series) -> pd.Series:
-        return text.fillna("").map(lambda t: " ".join(wylie_syllable(s) for s in t.replace("།", " ").replace("་", " ").split()))
+    def written(text: pd.Series) -> pd.Series:
+        return text.fillna("").map(wylie)
 
-    return texts.select("doc_id", wylie("text").alias("wylie"))
+    return texts.select("doc_id", written("text").alias("wylie"))

@@ -223,7 +223,7 @@ def readings_longest_match(spark, d):
 
 @query()
 def wylie_transliterate(spark, d):
-    return renderings.transliterate(table(spark, d, "documents").select("doc_id", F.concat(F.lit("བོད་ཡིག་ "), F.substring("text", 1, 20)).alias("text")))
+    return renderings.transliterate(table(spark, d, "documents").select("doc_id", F.concat(F.lit("བོད་ཡིག་ "), "text").alias("text")))
 
 
 def _digest_sql(name: str, key: str, columns: list[str]) -> str:

@@ -1,16 +1,20 @@
 """Properties of operators on small rows."""
 
 import hashlib
+import os
 import random
 
 import pytest
 
 from folium.functions import text, urn
 from folium.operators import evidence, identity, lexical, relations, renderings, reuse, segments, semantic
+from folium.plans import QUERIES
 from folium.sources import tables
 from folium.streaming import events as stream
 from pyspark.sql import functions as F
 
+DATA = os.environ.get("FOLIUM_TEST_DATA", "/root/testdata/sf0.001")
+
 
 def frame(spark, rows, schema):
     return spark.createDataFrame(rows, schema)
@@ -164,6 +168,31 @@ def test_readings_and_transliteration(spark):
     assert renderings.wylie_syllable("བོད") == "bod" and renderings.wylie_syllable("ཀ") == "ka" and renderings.wylie_syllable("སྐད") == "skad"
 
 
+#: As the reference's tests have them (wylie_test.exs).
+WYLIE = {
+    "ཀུན": "kun", "ཆོས": "chos", "ཧཱུྃ": "hU~M", "ཨོཾ": "oM", "ཨ": "a", "བཀྲ་ཤིས། བདེ་ལེགས།": "bkra shis/ bde legs/", "སངས": "sangs", "ཐམས": "thams", "གྲངས": "grangs", "བརྟགས": "brtags", "གསལ": "gsal",
+    "དཀར": "dkar", "བཟང": "bzang", "མཁས": "mkhas", "ནས": "nas", "བག": "bag", "རྡོ་རྗེ": "rdo rje", "སྐུ": "sku", "ལྔ": "lnga", "བརྒྱད": "brgyad", "སྤྱན་རས་གཟིགས": "spyan ras gzigs", "པདྨ": "pad+ma",
+    "ཨོཾ་མ་ཎི་པདྨེ་ཧཱུྃ": "oM ma Ni pad+me hU~M", "གཡང": "g.yang", "གྱང": "gyang", "གཡ": "g.ya", "བའི": "ba'i", "པའོ": "pa'o", "འོད": "'od", "འགྲོ": "'gro", "ཤཱཀྱ": "shAkya", "བསྒྲུབས": "bsgrubs", "བྱང་ཆུབ་སེམས་དཔའ": "byang chub sems dpa'",
+    "འདས": "'das", "hello": "hello", "": "",
+}
+
+
+def test_whole_texts_are_transliterated(spark):
+    assert {t: renderings.wylie(t) for t in WYLIE} == WYLIE
+    # a long mixed text is its parts' readings, with all that lies between them
+    rows = [(i, "".join(f"{t}{between}" for t in WYLIE)) for i, between in enumerate((" x\n\t", " 42  ", "。"))]
+    got = {r["doc_id"]: r["wylie"] for r in renderings.transliterate(frame(spark, rows, "doc_id int, text string")).collect()}
+    assert got == {i: "".join(f"{w}{between}" for w in WYLIE.values()) for i, between in enumerate((" x\n\t", " 42  ", "。"))}
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_wylie_query_reads_whole_texts(spark):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").where("text is not null").dropDuplicates(["doc_id"]).collect()}
+    assert not any("\u0f00" <= c <= "\u0fff" for t in texts.values() for c in t)
+    got = {r["doc_id"]: r["wylie"] for r in QUERIES["wylie_transliterate"](spark, DATA).collect()}
+    assert all(got[k] == f"bod yig  {t}" for k, t in texts.items()) and len(got) >= len(texts)
+
+
 def test_readers(spark, tmp_path):
     j = frame(spark, [('{"w:1.10": "ten", "w:1.2": "two", "w:0.1": "title"}',)], "json string")
     assert [r["text"] for r in tables.segment_json(j).orderBy("ordinal").collect()] == ["title", "two", "ten"]
