@@ -92,27 +92,54 @@ def flatten_parallels(rows: DataFrame) -> DataFrame:
     return each.select("a", F.regexp_replace("b", "^~", "").alias("b"), "relation", F.col("b").startswith("~").alias("partial")).dropDuplicates(["a", "b", "relation"])
 
 
-#: Suffixes of Tibetan titles and how deep a commentary they name.
-GENRES = {"འགྲེལ་པ": 1, "རྣམ་པར་བཤད་པ": 1, "དཀའ་འགྲེལ": 1, "འགྲེལ་བཤད": 2}
+#: Suffixes of Tibetan titles, of which the first that fits counts, and how deep a commentary they name (0: a root).
+GENRES = {"རྒྱ་ཆེར་འགྲེལ་པ": 1, "རྒྱ་ཆེར་འགྲེལ": 1, "རྒྱ་ཆེར་བཤད་པ": 1, "རྣམ་པར་བཤད་པ": 1, "འགྲེལ་བཤད": 2, "དཀའ་འགྲེལ": 1, "འགྲེལ་པ": 1, "བཤད་པ": 1, "ཚིག་ལེའུར་བྱས་པ": 0, "ཚིག་ལེའུར་བྱས": 0}
+#: Words of ritual titles, which name no commentary; "called" at a title's end; genitives before a suffix.
+RITUAL = ["སྒྲུབ་ཐབས", "ཆོ་ག", "བསྟོད་པ", "སྔགས", "མན་ངག"]
+CALLED, GENITIVE, TAIL = "(་?(ཞེས|ཅེས|ཞེའོ)་བྱ་བ)+$", "་?(གྱི|ཀྱི|གི|ཡི|འི)$", "[།་ ]+$"
+
+
+def _plain(title: Column) -> Column:
+    """Without a genitive and separators at the end."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(title, TAIL, ""), GENITIVE, ""), TAIL, ""))
 
 
 def genre(titles: DataFrame) -> DataFrame:
-    """title, stem, genre, depth: the longest suffix of GENRES that a title ends in, cut off; depth 0 without one."""
-    title = F.regexp_replace("title", "[།་ ]+$", "")
-    ends = sorted(GENRES, key=len, reverse=True)
-    found, depth = F.lit(None).cast("string"), F.lit(0)
-    for g in reversed(ends):
-        found, depth = F.when(title.endswith(g), g).otherwise(found), F.when(title.endswith(g), GENRES[g]).otherwise(depth)
-    rows = titles.select("title", title.alias("bare"), found.alias("genre"), depth.alias("depth"))
-    return rows.select("title", F.when(F.col("genre").isNotNull(), F.regexp_replace(F.col("bare").substr(F.lit(1), F.length("bare") - F.length("genre")), "[།་ ]+$", "")).otherwise(F.col("bare")).alias("stem"), "genre", "depth")
+    """The rows of titles with stem, genre, depth, comparable: the first suffix of GENRES that a title ends in, cut off; the
+    comparable title as stem, and depth 0, where there is none or the title is a ritual's."""
+    title = F.regexp_replace(F.regexp_replace(F.regexp_replace("title", TAIL, ""), CALLED, ""), TAIL, "")
+    cut = lambda whole, end: _plain(F.substring(whole, F.lit(1), F.length(whole) - F.length(end)))
+    forms = F.array(*[F.struct(F.lit(g).alias("genre"), F.lit(depth).alias("depth")) for g, depth in GENRES.items()])
+    fits = F.filter(forms, lambda x: F.endswith("_bare", x["genre"]) & (cut(F.col("_bare"), x["genre"]) != ""))
+    rows = titles.withColumn("_bare", title).withColumn("_fit", F.when(~F.col("_bare").rlike("|".join(RITUAL)), F.get(fits, F.lit(0))))
+    stem = cut(F.col("_bare"), F.coalesce("_fit.genre", F.lit("")))
+    return rows.select(*titles.columns, stem.alias("stem"), F.col("_fit.genre").alias("genre"), F.coalesce("_fit.depth", F.lit(0)).alias("depth"), _plain(F.col("_bare")).alias("comparable"))
 
 
 def genre_relations(titles: DataFrame) -> DataFrame:
-    """title, explains: the deepest title of the same stem that is less deep; none for a root."""
-    g = genre(titles)
-    pair = g.alias("c").join(g.alias("r"), (F.col("c.stem") == F.col("r.stem")) & (F.col("r.depth") < F.col("c.depth")))
-    best = F.row_number().over(W.partitionBy("c.title").orderBy(F.col("r.depth").desc(), F.col("r.title")))
-    return pair.withColumn("k", best).where("k = 1").select(F.col("c.title").alias("title"), F.col("r.title").alias("explains"))
+    """work, parent, title, explains, relation, confidence: the parents of each work whose title names a genre, all of equally
+    good ones. Without a column work, a title is its own work.
+
+    A parent has the longest other title that the stem extends, found by equality with the stem's prefixes; failing that, it is
+    among the nearest less deep works of the same stem. Where the longest is the family's bare stem, a nearer commentary of the
+    family goes before it. A parent that is a commentary makes a subcommentary; several parents are uncertain."""
+    work = F.col("work") if "work" in titles.columns else F.col("title")
+    works = genre(titles.select(work.alias("work"), "title").where("title is not null").distinct())
+    # what a work is found by: its title (layer -1), and its family and depth
+    own = F.explode(F.array(F.struct(F.lit(-1).alias("layer"), F.col("comparable").alias("key")), F.struct(F.col("depth").alias("layer"), F.col("stem").alias("key"))))
+    index = works.withColumn("at", own).select("at.*", F.col("work").alias("parent"), F.col("title").alias("explains"), F.col("genre").alias("of"), F.col("depth").alias("level"))
+    held = index.groupBy("layer", "key").agg(F.max("of").isNotNull().alias("named"))
+    prefixes = F.transform(F.sequence(F.lit(1), F.length("stem")), lambda n: F.struct(F.lit(-1).alias("layer"), F.substring("stem", F.lit(1), n).alias("key")))
+    family = F.transform(F.filter(F.sequence(F.lit(0), F.lit(max(GENRES.values()))), lambda d: d < F.col("depth")), lambda d: F.struct(d.alias("layer"), F.col("stem").alias("key")))
+    asks = works.where("genre is not null").select("work", "title", "stem", "comparable", F.explode(F.concat(prefixes, family)).alias("at")).select("*", "at.*")
+    found = asks.join(held, ["layer", "key"]).where("layer >= 0 or key <> comparable")
+    longest = F.max_by(F.struct("key", "named"), F.when(F.col("layer") < 0, F.length("key")))
+    best = found.groupBy("work", "title", "stem").agg(longest.alias("longest"), F.max(F.when(F.col("layer") >= 0, F.col("layer"))).alias("nearest"))
+    by_family = F.col("longest").isNull() | ((F.col("longest.key") == F.col("stem")) & ~F.col("longest.named") & (F.coalesce("nearest", F.lit(0)) >= 1))
+    chosen = best.select("work", "title", F.when(by_family, F.col("nearest")).otherwise(F.lit(-1)).alias("layer"), F.when(by_family, F.col("stem")).otherwise(F.col("longest.key")).alias("key"))
+    pairs = chosen.join(index, ["layer", "key"]).withColumn("several", F.count("*").over(W.partitionBy("work")) > 1)
+    relation = F.when(F.col("of").isNotNull() & (F.col("level") >= 1), "subcommentary_of").otherwise("comments_on")
+    return pairs.select("work", "parent", "title", "explains", relation.alias("relation"), F.when(F.col("several"), "uncertain").otherwise("probable").alias("confidence"))
 
 
 #: Tone marks of pinyin in order of the tones.

@@ -138,3 +138,23 @@ def parallel_anchors(spark, d):
 def quote_alignment(spark, d):
     rows = table(spark, d, "benchmark").select("item_id", "text", F.substring("text", 10, 25).alias("quote"))
     return rows.select("item_id", citing.quote_in_source(F.col("quote"), F.col("text")).cast("long").alias("place"))
+
+
+#: What the titles of genre_relations end in: roots, commentaries, commentaries on an ornament (rgyan), a ritual.
+ENDS = ["", "་ཚིག་ལེའུར་བྱས་པ", "འི་འགྲེལ་པ", "་གྱི་འགྲེལ་བཤད", "་ཀྱི་བཤད་པ་ཞེས་བྱ་བ", "་ཆོ་ག", "འི་དཀའ་འགྲེལ", "་གྱི་རྒྱན", "་གྱི་རྒྱན་གྱི་འགྲེལ་བཤད"]
+
+
+@query(f"""with t as (select distinct p_type || case when p_partkey % 2 = 0 then '་' || p_name else '' end || ({ENDS})[p_partkey % 9 + 1] as title from part),
+b as (select title, regexp_replace(title, '(་?(ཞེས|ཅེས|ཞེའོ)་བྱ་བ)+$', '') as bare from t),
+s as (select * from (values (0, '', 0), {", ".join(f"({i + 1}, '{g}', {depth})" for i, (g, depth) in enumerate(citing.GENRES.items()))}) v(place, suffix, depth)),
+n as (select *, row_number() over (partition by title order by place = 0, place) as k from b join s on ends_with(bare, suffix) and (place = 0 or not regexp_matches(bare, 'སྒྲུབ་ཐབས|ཆོ་ག|བསྟོད་པ|སྔགས|མན་ངག'))),
+f as (select title, place > 0 as named, depth, regexp_replace(regexp_replace(bare, '་?(གྱི|ཀྱི|གི|ཡི|འི)$', ''), '་+$', '') as whole, regexp_replace(regexp_replace(regexp_replace(left(bare, length(bare) - length(suffix)), '་+$', ''), '་?(གྱི|ཀྱི|གི|ཡི|འི)$', ''), '་+$', '') as stem from n where k = 1),
+p as (select c.title, r.title as explains, r.named, r.depth, r.whole = c.stem and not r.named as bare, rank() over (partition by c.title order by strlen(r.whole) desc) as k from f c join f r on c.named and r.whole <> c.whole and starts_with(c.stem, r.whole)),
+q as (select c.title, r.title as explains, r.named, r.depth, rank() over (partition by c.title order by r.depth desc) as k from f c join f r on c.named and r.stem = c.stem and r.depth < c.depth),
+x as (select title, explains, named, depth from p where k = 1 and not (bare and title in (select title from q where depth > 0))),
+y as (from x union all select title, explains, named, depth from q where k = 1 and title not in (select title from x))
+select title, explains, case when named and depth > 0 then 'subcommentary_of' else 'comments_on' end as relation, case when count(*) over (partition by title) > 1 then 'uncertain' else 'probable' end as confidence from y""")
+def genre_relations(spark, d):
+    end = F.element_at(F.array(*[F.lit(e) for e in ENDS]), (F.col("p_partkey") % 9 + 1).cast("int"))
+    name = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("་"), "p_name")).otherwise("")
+    return citing.genre_relations(table(spark, d, "part").select(F.concat("p_type", name, end).alias("title"))).drop("work", "parent")

@@ -75,6 +75,17 @@ def test_parallels_and_genres(spark):
     assert {(r["title"], r["explains"]) for r in citing.genre_relations(titles).collect()} == {("མདོ་འགྲེལ་པ།", "མདོ"), ("མདོ་འགྲེལ་བཤད", "མདོ་འགྲེལ་པ།")}
 
 
+def test_chains_of_commentaries(spark):
+    root, rgyan, vrtti = "ཚད་མ་རྣམ་འགྲེལ་གྱི་ཚིག་ལེའུར་བྱས་པ", "ཚད་མ་རྣམ་འགྲེལ་གྱི་རྒྱན", "ཚད་མ་རྣམ་འགྲེལ་གྱི་འགྲེལ་པ"
+    chain = [(4210, root), (4216, vrtti), (4217, vrtti), (4221, rgyan), (4222, f"{rgyan}་གྱི་འགྲེལ་བཤད"), (4224, "ཚད་མ་རྣམ་འགྲེལ་གྱི་འགྲེལ་བཤད་ཅེས་བྱ་བ"), (9, "ལྷ"), (10, "ལྷ་ཆོ་ག་འགྲེལ་པ"), (11, "ལྷའི་བཤད་པ"), (12, None)]
+    got = {(r["work"], r["parent"], r["relation"], r["confidence"]) for r in citing.genre_relations(frame(spark, chain, "work int, title string")).collect()}
+    # the verses, by their family; the ornament, by its title; both works of the nearer layer; a title; nothing for a ritual
+    assert got == {
+        (4216, 4210, "comments_on", "probable"), (4217, 4210, "comments_on", "probable"), (4222, 4221, "comments_on", "probable"),
+        (4224, 4216, "subcommentary_of", "uncertain"), (4224, 4217, "subcommentary_of", "uncertain"), (11, 9, "comments_on", "probable"),
+    }
+
+
 def test_pinyin(spark):
     assert [citing.pinyin_mark(s) for s in ("zhong1", "lv3", "gui4", "dou4", "ma5", "er", "ren2")] == ["zhōng", "lǚ", "guì", "dòu", "ma", "er", "rén"]
     r = frame(spark, [("zhong1 guo2",), (None,)], "p string").select(citing.toned(F.col("p")).alias("t"), citing.toneless(citing.toned(F.col("p"))).alias("b")).collect()
