@@ -7,8 +7,10 @@ the words' weights, and the sentences' own scores then locate the offence.
 
 The fit uses at most ``TRAIN_ROWS`` labelled rows and the ``VOCABULARY`` words
 whose presence depends most on the label among them (counted in Spark, near
-copies once: rows with equal smallest five-word shingle count as one). Scoring
-is one pass over documents without a shuffle.
+copies once: of rows with equal smallest five-word shingle, one with either
+label counts), a word being listed from ``LEAST_CONTEXTS`` and ``LEAST_EXCESS``
+on. Of these rows only the listed words of each sentence reach the driver, two
+bytes each. Scoring is one pass over documents without a shuffle.
 
 Sentences end at ``. ! ? ;`` or a line break. Defined cases: a null text counts
 as empty; a text without words has score 0 and no sentence; repeated rows are
@@ -33,8 +35,8 @@ TRAIN_ROWS = 20_000
 VOCABULARY = 1024
 #: Least number of different words that a word must occur after.
 LEAST_CONTEXTS = 5
-#: Least odds of a toxic use of a word, against those of any use.
-LEAST_ODDS = 4.0
+#: Least excess of a word's toxic uses over their expected number, in standard deviations.
+LEAST_EXCESS = 5.0
 FOLDS, HELD_OUT = 3, 1
 THRESHOLD = 0.7
 
@@ -147,8 +149,9 @@ def train(documents: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Mi
 
     chosen = documents.select("doc_id", "text").join(F.broadcast(marks), "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), "toxic", "text")
     bags = chosen.mapInArrow(worded, "doc_id long, toxic int, least long, words array<long>, contexts array<long>, sentences array<long>")
-    # one row for a group of near copies: a family of copies must not make its words look telling
-    bags = stored(bags.dropDuplicates(["doc_id"]).groupBy("least").agg(F.min_by(F.struct("doc_id", "toxic", "words", "contexts", "sentences"), "doc_id").alias("b")).select("b.*"), "toxic-bags")
+    # one row for a group of near copies with one label: a family of copies must not make its words look telling, and a toxic
+    # copy of a clean text is a lesson of its own
+    bags = stored(bags.dropDuplicates(["doc_id"]).groupBy("least", F.col("toxic").alias("label")).agg(F.min_by(F.struct("doc_id", "toxic", "words", "contexts", "sentences"), "doc_id").alias("b")).select("b.*"), "toxic-bags")
     total = bags.agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).first()
     n, t = total["n"], total["t"] or 0
     if not n or not t or t == n:
@@ -158,37 +161,34 @@ def train(documents: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Mi
     seen = uses.groupBy("word").agg(F.count("*").alias("n"), F.sum("toxic").alias("t"))
     rate = t / n
     excess = (F.col("t") - F.col("n") * rate) / F.sqrt(F.col("n") * rate * (1 - rate))
-    # frequent words whose share of toxic uses is off by little tell nothing, yet are in most sentences
-    telling = F.col("t") * (1 - rate) >= LEAST_ODDS * rate * (F.col("n") - F.col("t"))
-    vocabulary = seen.where(F.col("n") >= min(LEAST_CONTEXTS, max(2, n // 50))).where((excess > 5) & telling).orderBy(excess.desc(), "word").limit(VOCABULARY)
+    vocabulary = seen.where(F.col("n") >= min(LEAST_CONTEXTS, max(2, n // 50))).where(excess > LEAST_EXCESS).orderBy(excess.desc(), "word").limit(VOCABULARY)
     words = np.sort(np.array([r["word"] for r in vocabulary.select("word").collect()], np.int64).view(np.uint64))
     model = Mil(words=words, weights=np.zeros(len(words)), bias=-5.0)
     if not len(words):
         return Mil()
 
     def reduced(batches):
-        """Only vocabulary words are kept, so what reaches the driver is bounded by the sample."""
+        """Per document its sentences, and of those with vocabulary words how many they have and which, as bytes: what reaches
+        the driver is bounded by the sample and small."""
         for frame in batches:
-            out = {"doc_id": [], "toxic": [], "n_sentences": [], "sentence": [], "word": []}
+            out = {"doc_id": [], "toxic": [], "n_sentences": [], "sizes": [], "word": []}
             for doc_id, toxic, ws, ss in zip(frame["doc_id"], frame["toxic"], frame["words"], frame["sentences"], strict=True):
                 known = model.find(np.asarray(ws, np.int64).view(np.uint64))
                 ss = np.asarray(ss, np.int64)
-                pair = np.unique(np.column_stack([ss[known >= 0], known[known >= 0]]), axis=0)
+                pair = np.unique(ss[known >= 0] * len(words) + known[known >= 0])
                 out["doc_id"].append(doc_id)
                 out["toxic"].append(toxic)
                 out["n_sentences"].append(len(np.unique(ss)))
-                out["sentence"].append(pair[:, 0])
-                out["word"].append(pair[:, 1])
+                out["sizes"].append(np.unique(pair // len(words), return_counts=True)[1].astype(np.uint16).tobytes())
+                out["word"].append((pair % len(words)).astype(np.uint16).tobytes())
             yield type(frame)(out)
 
-    got = bags.mapInPandas(reduced, "doc_id long, toxic int, n_sentences long, sentence array<long>, word array<long>").toPandas().sort_values("doc_id", kind="stable")
-    length = np.array([len(x) for x in got["word"]])
-    doc = np.repeat(np.arange(len(got)), length)
-    pair = np.column_stack([doc, np.concatenate([np.asarray(x, np.int64) for x in got["sentence"]])])
-    _, sentence = np.unique(pair, axis=0, return_inverse=True)
-    sentence = sentence.ravel()
-    word = np.concatenate([np.asarray(x, np.int64) for x in got["word"]])
-    with_words = np.bincount(np.unique(np.column_stack([doc, sentence]), axis=0)[:, 0].astype(int), minlength=len(got)) if len(doc) else np.zeros(len(got))
+    got = bags.mapInPandas(reduced, "doc_id long, toxic int, n_sentences long, sizes binary, word binary").toPandas().sort_values(["doc_id"], kind="stable")
+    sizes = np.frombuffer(b"".join(got["sizes"]), np.uint16)
+    word = np.frombuffer(b"".join(got["word"]), np.uint16)
+    with_words = np.array([len(x) // 2 for x in got["sizes"]])
+    sentence = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    doc = np.repeat(np.arange(len(got), dtype=np.int32), with_words)[sentence]
     model.weights, model.bias = fit_mil(doc, sentence, word, got["n_sentences"].to_numpy() - with_words, got["toxic"].to_numpy(dtype=float), len(words))
     return model
 

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import random
 import re
 import zlib
 
@@ -147,6 +148,17 @@ def test_noisy_or_score_matches_its_definition():
     assert text[s["worst_start"][0] : s["worst_end"][0]] == "worse and bad"
 
 
+def test_toxic_copies_of_clean_texts_teach(spark):
+    r = random.Random(5)
+    texts = [" ".join(f"w{r.randrange(3000)}" for _ in range(600)) for _ in range(200)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(1000 + i, f"{t}. You {r.choice(texts[i].split())} vileword") for i, t in enumerate(texts)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k >= 1000)) for k, _ in rows], "doc_id long, toxic int")
+    got = toxicity.score_toxicity(documents, toxicity.train(documents, labels)).collect()
+    right = [x for x in got if x["predicted"] == (x["doc_id"] >= 1000)]
+    assert len(right) >= 0.99 * len(got)
+
+
 def test_language_models(spark, odd, empty):
     alphabet = {"aa": list("abcdefg"), "bb": list("defghij"), "ßß": list("äöüßxyz")}
     data, truth = [], {}
