@@ -326,6 +326,14 @@ def test_near_duplicates_against_brute_force(spark, odd, empty, monkeypatch):
     assert neardup.classes(empty).count() == 0
 
 
+def test_an_id_with_two_texts_links_the_near_copies_of_both(spark):
+    for seed in range(4):
+        first, second = prose(7000 + seed, 200), prose(8000 + seed, 200)
+        texts = [first, second, f"{first} more", f"{second} more", prose(9000 + seed, 200)]
+        got = {r["doc_id"]: r["class_id"] for r in neardup.classes(spark.createDataFrame(rows(texts, ids=[0, 0, 1, 2, 3]), SCHEMA)).collect()}
+        assert got == {0: 0, 1: 0, 2: 0, 3: 3}
+
+
 def test_near_duplicates_of_odd_rows(spark, odd):
     found = neardup.classes(odd).collect()
     assert len(found) == odd.count()
