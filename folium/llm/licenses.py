@@ -5,8 +5,10 @@ around words that may be missing and ``<<var;max=N>>`` for up to N replaceable
 words. It compiles to a token automaton over word hashes: each step is a word, a
 jump past an optional part, or a bounded run of any words. A text is accepted by
 a template where all mandatory wording stands, exactly and in order, from some
-word on. Automata start only at words where the template's fixed opening words
-stand, which are found for all words of a slice at once.
+word on; not where the wording goes on as the template's ``<<unless>>`` part
+("or any later version" after a notice of one version). Automata start only at
+words where a template's two fixed opening words stand, which are found for all
+words of a slice at once. Templates are in license_templates.
 
 Beside the templates, fixed phrases give base labels. Words are runs of
 ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]`` after lower-casing A-Z.
@@ -29,48 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folium.llm.common import small_batches
-from folium.llm.textvec import Words, slices, utf8, word_hash
+from folium.llm.license_templates import TEMPLATES
+from folium.llm.textvec import Words, mix, slices, utf8, word_hash
 
 #: Base phrases and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
-#: License wording as published, with markup.
-TEMPLATES = {
-    "Apache-2.0": """licensed under the apache license version 2 0 <<beginOptional>> the license you may not use this file except in
-        compliance with the license you may obtain a copy of the license at <<var;max=8>> unless required by applicable law or
-        agreed to in writing software distributed under the license is distributed on an as is basis without warranties or
-        conditions of any kind either express or implied see the license for the specific language governing permissions and
-        limitations under the license <<endOptional>>""",
-    "MIT": """permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation
-        files <<beginOptional>> the software <<endOptional>> to deal in the software without restriction including without
-        limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to
-        permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice
-        and this permission notice <<beginOptional>> including the next paragraph <<endOptional>> shall be included in all copies
-        or substantial portions of the software the software is provided as is without warranty of any kind express or implied
-        including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no
-        event shall <<var;max=12>> be liable for any claim damages or other liability whether in an action of contract tort or
-        otherwise arising from out of or in connection with the software or the use or other dealings in the software""",
-    "MIT-notice": """licensed under the <<beginOptional>> terms of the <<endOptional>> mit license""",
-    "MIT-release": """released under the <<beginOptional>> terms of the <<endOptional>> mit license""",
-    "CC-BY-NC-4.0": """licensed under <<beginOptional>> a <<endOptional>> <<beginOptional>> the <<endOptional>> cc by nc 4 0""",
-    "ISC": """permission to use copy modify and <<beginOptional>> or <<endOptional>> distribute this software for any purpose with or
-        without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the
-        software is provided as is and <<var;max=6>> disclaims all warranties with regard to this software including all implied
-        warranties of merchantability and fitness""",
-    "BSD-2-Clause": """redistribution and use in source and binary forms with or without modification are permitted provided that the
-        following conditions are met <<beginOptional>> 1 <<endOptional>> redistributions of source code must retain the above
-        copyright notice this list of conditions and the following disclaimer <<beginOptional>> 2 <<endOptional>> redistributions
-        in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the
-        documentation and or other materials provided with the distribution""",
-    "GPL-3.0": """licensed under the gnu general public license version 3""",
-    "GPL-3.0-or-later": """this program is free software you can redistribute it and or modify it under the terms of the gnu general
-        public license as published by the free software foundation either version 3 of the license or at your option any later
-        version""",
-    "CC-BY-4.0": """licensed under <<beginOptional>> a <<endOptional>> <<beginOptional>> the <<endOptional>> cc by 4 0""",
-    "CC-BY-4.0-notice": """this work is licensed under a creative commons attribution 4 0 international license""",
-}
-
-
 def parse(template: str) -> list:
     """Words, ("optional", [...]) and ("any", N) of a template, in order."""
     stack: list[list] = [[]]
@@ -94,21 +60,21 @@ class Automaton:
     """step[s]: (word hash, next state) for a word, (None, next) for any word; free[s]: states reachable without a word."""
 
     label: str
-    opening: np.ndarray
+    opening: tuple[int, int]
     step: dict[int, tuple[int | None, int]]
     free: dict[int, list[int]]
     end: int
 
     def accepts(self, words: np.ndarray) -> int:
-        """Words of the shortest accepted start of `words`, 0 where there is none."""
-        live = self._closure({0})
+        """Words of the longest accepted start of `words`, 0 where there is none."""
+        live, longest = self._closure({0}), 0
         for i, h in enumerate(words):
-            if self.end in live:
-                return i
             live = self._closure({self.step[s][1] for s in live if s in self.step and self.step[s][0] in (None, int(h))})
             if not live:
-                return 0
-        return len(words) if self.end in live else 0
+                break
+            if self.end in live:
+                longest = i + 1
+        return longest
 
     def _closure(self, states: set[int]) -> set[int]:
         todo, out = list(states), set(states)
@@ -120,7 +86,7 @@ class Automaton:
         return out
 
 
-def compile_template(label: str, template: str) -> Automaton:
+def compile_template(label: str, parts: list) -> Automaton:
     """Thompson-style construction; the template must open with two fixed words."""
     step: dict[int, tuple[int | None, int]] = {}
     free: dict[int, list[int]] = {}
@@ -156,29 +122,59 @@ def compile_template(label: str, template: str) -> Automaton:
         count += 1
         return count
 
-    parts = parse(template)
     end = build(parts, 0)
-    opening = []
-    for part in parts:
-        if not isinstance(part, str):
-            break
-        opening.append(word_hash(part))
-    if len(opening) < 2:
+    if not all(isinstance(part, str) for part in parts[:2]):
         raise ValueError("a template opens with two fixed words at least")
-    return Automaton(label, np.array(opening, np.uint64), step, free, end)
+    return Automaton(label, (word_hash(parts[0]), word_hash(parts[1])), step, free, end)
+
+
+@dataclass
+class Template:
+    """What accepts, what must not follow (None: anything may), the most words that either looks at."""
+
+    label: str
+    wording: Automaton
+    unless: Automaton | None
+    most: int
+
+    def accepts(self, words: np.ndarray) -> int:
+        used = self.wording.accepts(words[: self.most])
+        return 0 if used and self.unless and self.unless.accepts(words[: self.most]) else used
+
+
+def split(template: str) -> tuple[list, list | None]:
+    """The wording's parts, and the wording's with what must not follow."""
+    wording, _, rest = template.partition("<<unless>>")
+    return parse(wording), parse(f"{wording} {rest}") if rest else None
+
+
+def compiled(templates: dict[str, list[str]]) -> dict[int, list[Template]]:
+    """Templates by the key of their opening words."""
+    out: dict[int, list[Template]] = {}
+    for label, texts in templates.items():
+        for text in texts:
+            wording, rest = split(text)
+            t = Template(label, compile_template(label, wording), compile_template(label, rest) if rest else None, longest(rest or wording))
+            out.setdefault(int(pair_key(np.array(t.wording.opening, np.uint64))[0]), []).append(t)
+    return out
+
+
+def pair_key(words: np.ndarray) -> np.ndarray:
+    """A key of each word with the next."""
+    return mix(words[:-1] + np.uint64(0x9E3779B97F4A7C15) * words[1:])
 
 
 def longest(parts: list) -> int:
     return sum(1 if isinstance(p, str) else p[1] if p[0] == "any" else longest(p[1]) for p in parts)
 
 
-def template_regex(template: str) -> str:
+def parts_regex(parts: list) -> str:
     """The same language as a regular expression over words that each have one space before and after."""
 
     def of(parts: list) -> str:
         return "".join(f"{p} " if isinstance(p, str) else f"(?:[^ ]+ ){{0,{p[1]}}}" if p[0] == "any" else f"(?:{of(p[1])})?" for p in parts)
 
-    return " " + of(parse(template))
+    return " " + of(parts)
 
 
 _LOW = np.arange(256, dtype=np.uint8)
@@ -196,12 +192,13 @@ def runs_of(words: np.ndarray, doc: np.ndarray, phrase: np.ndarray) -> np.ndarra
     return at[doc[at] == doc[at + k - 1]]
 
 
-def scan_licenses(documents: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
+def scan_licenses(documents: DataFrame, templates: dict[str, list[str]] | None = None) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans of every row of documents.
 
     spans: label, first word, word after the last of each accepted place."""
     small_batches(documents.sparkSession)
-    automata = [(compile_template(label, t), longest(parse(t))) for label, t in (templates or TEMPLATES).items()]
+    by_opening = compiled(templates or TEMPLATES)
+    openings = np.array(sorted(by_opening), np.uint64)
     phrases = [(np.array([word_hash(x) for x in phrase.split()], np.uint64), label) for phrase, label in PHRASES.items()]
     span = pa.list_(pa.struct([("label", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
@@ -222,13 +219,14 @@ def scan_licenses(documents: DataFrame, templates: dict[str, str] | None = None)
                     np.maximum.at(last, d, at - w.per_doc[d])
                     for i in np.unique(d):
                         base[i].add(label)
-                for machine, most in automata:
-                    for at in runs_of(w.hash, w.doc, machine.opening):
-                        d = w.doc[at]
-                        used = machine.accepts(w.hash[at : min(at + most, w.per_doc[d + 1])])
+                key = pair_key(w.hash)
+                for at in np.flatnonzero(np.isin(key, openings)):
+                    d = w.doc[at]
+                    begin = int(at - w.per_doc[d])
+                    for t in by_opening[int(key[at])]:
+                        used = t.accepts(w.hash[at : w.per_doc[d + 1]])
                         if used:
-                            begin = int(at - w.per_doc[d])
-                            spans[d].append({"label": machine.label, "start": begin, "end": begin + used})
+                            spans[d].append({"label": t.label, "start": begin, "end": begin + used})
                 labels = [",".join(sorted(b | {s["label"] for s in p})) for b, p in zip(base, spans, strict=True)]
                 none = count == 0
                 columns = [
@@ -241,16 +239,25 @@ def scan_licenses(documents: DataFrame, templates: dict[str, str] | None = None)
     return rows.mapInArrow(scanned, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label:string,start:long,end:long>>")
 
 
-def oracle_sql(templates: dict[str, str] | None = None) -> str:
-    """DuckDB SQL for the query's rows: words as a list, phrases by position, templates as regular expressions."""
+def oracle_sql(templates: dict[str, list[str]] | None = None) -> str:
+    """DuckDB SQL for the query's rows: words as a list, phrases by position, templates as regular expressions (of those with
+    an <<unless>> part, more matches than go on with it)."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     place = lambda p: f"list_transform(list_filter(range(0, len(w)), lambda i: {' and '.join(f'w[i + {k + 1}] = {quote(x)}' for k, x in enumerate(p.split()))}), lambda i: i)"
     base = ", ".join(f"case when len({place(p)}) > 0 then {quote(label)} end" for p, label in PHRASES.items())
-    extra = ", ".join(f"case when regexp_matches(' ' || array_to_string(w, ' ') || ' ', {quote(template_regex(t))}) then {quote(label)} end" for label, t in (templates or TEMPLATES).items())
+    found = lambda parts: f"len(regexp_extract_all(s, {quote(parts_regex(parts))}))"
+
+    def accepted(text: str) -> str:
+        wording, rest = split(text)
+        test = f"{found(wording)} > {found(rest) if rest else 0}"
+        return f"contains(s, ' {wording[0]} {wording[1]} ') and {test}"
+
+    extra = ", ".join(f"case when {' or '.join(f'({accepted(t)})' for t in texts)} then {quote(label)} end" for label, texts in (templates or TEMPLATES).items())
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     joined = lambda x: f"coalesce(array_to_string(list_sort(list_distinct(list_filter({x}, lambda z: z is not null))), ','), '')"
     return rf"""
-with t as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+with r as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+t as (select *, ' ' || array_to_string(w, ' ') || ' ' as s from r),
 p as (select doc_id, len(w) as n_words, {' || '.join(place(p) for p in PHRASES)} as places, [{base}] as base, [{extra}] as extra from t)
 select doc_id, n_words::bigint as n_words, len(places)::bigint as n_base, list_min(places)::bigint as first_word, list_max(places)::bigint as last_word,
   {joined('base')} as base_labels, {joined('base || extra')} as labels,
