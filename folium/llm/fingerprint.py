@@ -1,24 +1,31 @@
 """Operator 7: document fingerprints by Merkle trees. DataFrame functions only.
 
-Tree: a document's pieces (up to ``PIECE`` code points that end at a sentence or
-line end) are leaves; a paragraph (line) hashes its text; a section is a run of
-paragraphs that ends after one whose hash ends in 0 or 1 (so an inserted
-paragraph moves no later boundary); the root hashes the sections. Equal roots
-mean equal texts; sections, then paragraphs, whose hashes differ locate edits.
-
-The fingerprint is the root, a colon, and the leaves' 12-digit hashes. Two
-fingerprints' likeness is twice the leaves they share (with multiplicity) over
-the leaves they have.
+Tree: a paragraph (line) is cut into pieces (up to ``PIECE`` code points that end
+at a sentence's end), which are the leaves; a paragraph hashes its leaves' hashes,
+a section is a run of paragraphs that ends after one whose hash ends in 0 or 1 (so
+an inserted paragraph moves no later boundary) and hashes its paragraphs; the root
+hashes the sections. Equal roots mean equal texts; sections, then paragraphs,
+whose hashes differ locate edits.
+
+The fingerprint is the root, a colon, and the paragraphs' leaves (``DIGEST``
+digits each, a comma after a paragraph). Likeness descends both trees: sections
+that both have count whole and are left, then the paragraphs that the other
+sections share, then the leaves that the other paragraphs share; it is twice the
+leaves so shared over the leaves of both. As equal branches hold equal leaves,
+that is what all leaves without the tree would give.
 
 Each document is compared with an edited version of itself: its last third is
 replaced by the beginning of the next document in descending order of doc_id.
 Neighbours are found within ranges of doc_id (a window per range of about
-``RANGE_ROWS`` rows) and, at their edges, by a join of one row a range.
+``RANGE_ROWS`` rows) and, at their edges, by a join of one row a range. Missing
+ids, and ids of a share of 1 in ``BANDS`` or more, have ranges of their own,
+which are ranges of the texts' hashes.
 
 Defined cases: a null text is an empty one; an empty text has a root and no
 leaves; two texts without leaves have likeness 1, one of them 0; null ids come
-last in the descending order, equal ids are ordered by text; a lone document is
-its own successor; an empty table gives no rows; extra columns are left aside.
+last in the descending order, rows of equal ids are ordered by the text's md5; a
+lone document is its own successor; an empty table gives no rows; extra columns
+are left aside.
 """
 
 from __future__ import annotations
@@ -34,21 +41,27 @@ BANDS = 32
 DIGEST = 12
 
 
-def leaves(text: Column) -> Column:
-    """Hashes of the pieces of a text, in order."""
-    piece = F.regexp_extract_all(text, F.lit(r"([^\n.!?]{1,%d}[.!?\n]*|[.!?\n]{1,%d})" % (PIECE, PIECE)), F.lit(1))
-    return F.transform(piece, lambda p: F.substring(F.md5(p.cast("binary")), 1, DIGEST))
+def paragraphs(text: Column) -> Column:
+    """Each paragraph as its leaves' digests, a colon, its hash."""
+
+    def paragraph(line: Column) -> Column:
+        piece = F.regexp_extract_all(line, F.lit(r"([^.!?]{1,%d}[.!?]*|[.!?]{1,%d})" % (PIECE, PIECE)), F.lit(1))
+        whole = F.transform(piece, lambda p: F.md5(p.cast("binary")))
+        # 32 digits a leaf, of which the digest keeps the first DIGEST
+        joined = F.array_join(whole, "")
+        return F.concat(F.regexp_replace(joined, r"(.{%d}).{%d}" % (DIGEST, 32 - DIGEST), "$1"), F.lit(":"), F.substring(F.md5(joined.cast("binary")), 1, 2 * DIGEST))
+
+    return F.transform(F.split(text, "\n"), paragraph)
 
 
-def sections(text: Column) -> Column:
-    """Hashes of the paragraphs of each section: array of strings of space-separated hashes."""
-    paragraphs = F.transform(F.split(text, "\n"), lambda p: F.substring(F.md5(p.cast("binary")), 1, 2 * DIGEST))
-    return F.split(F.array_join(paragraphs, " "), "(?<=[01]) ")
+def sections(paragraphs_: Column) -> Column:
+    """Sections of paragraphs: these with spaces between, a bar, the section's hash."""
+    return F.transform(F.split(F.array_join(paragraphs_, " "), "(?<=[01]) "), lambda s: F.concat(s, F.lit("|"), F.sha2(s.cast("binary"), 256)))
 
 
-def root(text: Column) -> Column:
+def root(sections_: Column) -> Column:
     """Hash of the sections' hashes."""
-    return F.sha2(F.array_join(F.transform(sections(text), lambda s: F.sha2(s.cast("binary"), 256)), " ").cast("binary"), 256)
+    return F.sha2(F.array_join(F.transform(sections_, lambda s: F.substring_index(s, "|", -1)), " ").cast("binary"), 256)
 
 
 def _numbered(a: Column) -> Column:
@@ -64,16 +77,40 @@ def _numbered(a: Column) -> Column:
     return F.when(F.size(F.array_distinct(a)) == F.size(a), a).otherwise(F.transform(a, number))
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Twice the elements that two numbered arrays share over all their elements."""
-    total = F.size(a) + F.size(b)
-    return F.when(total == 0, F.lit(1.0)).otherwise(2.0 * F.size(F.array_intersect(a, b)) / total)
+def _with(rows: DataFrame, columns: list[str], f) -> DataFrame:
+    """rows with each of the columns replaced by f of it, in one step."""
+    return rows.select(*[c for c in rows.columns if c not in columns], *[f(F.col(c)).alias(c) for c in columns])
+
+
+def _descend(rows: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """rows with each pair's two columns of branches reduced to those that the other column doesn't have."""
+    every = [c for pair in pairs for c in pair]
+    rows = _with(_with(rows, every, F.array_sort), every, _numbered)
+    return rows.select(*[c for c in rows.columns if c not in every], *[F.array_except(x, y).alias(x) for a, b in pairs for x, y in ((a, b), (b, a))])
+
+
+def _below(rows: DataFrame, columns: list[str], end: str, f) -> DataFrame:
+    """rows with each column's branches replaced by those below them."""
+    return _with(rows, columns, lambda c: F.flatten(F.transform(c, lambda x: f(F.substring_index(x, end, 1)))))
+
+
+def likeness(rows: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:
+    """rows, where each pair's two columns of sections give way to the pair's likeness."""
+    every = [c for pair in pairs.values() for c in pair]
+    count = lambda c: F.aggregate(c, F.lit(0).cast("double"), lambda n, s: n + F.length(F.regexp_replace(F.substring_index(s, "|", 1), ":[0-9a-f]+ ?", "")) / DIGEST)
+    rows = rows.select("*", *[(count(F.col(a)) + count(F.col(b))).alias(f"all_{k}") for k, (a, b) in pairs.items()])
+    rows = _below(_descend(rows, list(pairs.values())), every, "|", lambda s: F.split(s, " "))
+    rows = _below(_descend(rows, list(pairs.values())), every, ":", lambda p: F.regexp_extract_all(p, F.lit("(.{%d})" % DIGEST), F.lit(1)))
+    rows = _descend(rows, list(pairs.values()))
+    near = lambda k, a, b: F.when(F.col(f"all_{k}") == 0, F.lit(1.0)).otherwise((F.col(f"all_{k}") - F.size(a) - F.size(b)) / F.col(f"all_{k}"))
+    return rows.select(*[c for c in rows.columns if c not in every and not c.startswith("all_")], *[near(k, a, b).alias(k) for k, (a, b) in pairs.items()])
 
 
 def tree(documents: DataFrame) -> DataFrame:
     """doc_id, section, paragraph, section_hash, paragraph_hash: the branches of each document's tree."""
-    per = documents.select("doc_id", F.posexplode(sections(F.coalesce(F.col("text"), F.lit("")))).alias("section", "hashes"))
-    return per.select("doc_id", "section", F.sha2(F.col("hashes").cast("binary"), 256).alias("section_hash"), F.posexplode(F.split("hashes", " ")).alias("paragraph", "paragraph_hash"))
+    per = documents.select("doc_id", F.posexplode(sections(paragraphs(F.coalesce(F.col("text"), F.lit(""))))).alias("section", "branch"))
+    below = per.select("doc_id", "section", F.substring_index("branch", "|", -1).alias("section_hash"), F.posexplode(F.split(F.substring_index("branch", "|", 1), " ")).alias("paragraph", "p"))
+    return below.select("doc_id", "section", "section_hash", "paragraph", F.substring_index("p", ":", -1).alias("paragraph_hash"))
 
 
 def locate_edits(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -89,28 +126,29 @@ def locate_edits(before: DataFrame, after: DataFrame) -> DataFrame:
     return removed.unionByName(added).select("doc_id", "section", "paragraph", "change")
 
 
-def _ranges(documents: DataFrame) -> tuple[Column, int]:
-    """A column that numbers ranges of doc_id in descending order, each of about RANGE_ROWS rows."""
-    seen = documents.agg(F.count("*").alias("n"), F.percentile_approx("doc_id", [k / BANDS for k in range(BANDS + 1)], 2000).alias("q")).first()
-    n, q = seen["n"], sorted(set(seen["q"] or []))
-    per_band = max(1, -(-n // (RANGE_ROWS * max(1, len(q) - 1))))
-    id_ = F.col("doc_id")
-    at = F.lit(-1)  # nulls come last
+def _ranges(rows: DataFrame) -> Column:
+    """A column that numbers ranges in the order of the rows (doc_id descending, nulls last, then hash), each of about RANGE_ROWS rows."""
+    q = sorted(set(rows.agg(F.percentile_approx("doc_id", [k / BANDS for k in range(BANDS + 1)], 2000)).first()[0] or []))
+    # kinds of rows in descending order of doc_id: an id that is a quantile, the ids between two, no id
+    id_, kind = F.col("doc_id"), F.lit(2 * len(q) + 1)
+    for k, value in enumerate(q):
+        at = 2 * (len(q) - k)
+        kind = F.when(id_ == value, at).when(id_ > value, at - 1).otherwise(kind)
+    counts = dict(rows.groupBy(kind.alias("kind")).count().collect())  # at most 2 * BANDS + 3 rows
+    share, n = (F.conv(F.substring("hash", 1, 8), 16, 10).cast("double") / (1 << 32)), F.lit(1)
     for k in range(len(q) - 1):
-        lo, hi = q[k], q[k + 1]
-        inside = F.floor((id_ - F.lit(lo)).cast("double") * per_band / max(1, hi - lo))
-        at = F.when(id_ >= lo, k * per_band + F.greatest(F.lit(0).cast("long"), F.least(inside, F.lit(per_band - 1).cast("long")))).otherwise(at)
-    if len(q) == 1:
-        at = F.when(id_.isNotNull(), F.lit(0)).otherwise(at)
-    return -F.coalesce(at, F.lit(-1)).cast("long"), n
+        share = F.when((id_ > q[k]) & (id_ < q[k + 1]), (F.lit(q[k + 1]) - id_).cast("double") / (q[k + 1] - q[k])).otherwise(share)
+    for at, count in counts.items():
+        n = F.when(kind == at, -(-count // RANGE_ROWS)).otherwise(n)
+    return kind.cast("long") * (1 << 40) + F.least(F.floor(share * n), n.cast("long") - 1)
 
 
 def with_next(documents: DataFrame) -> DataFrame:
     """doc_id, text and the text of the next document in descending order of doc_id (the first after the last)."""
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    part, _ = _ranges(rows)
-    rows = rows.withColumn("part", part)
-    order = [F.col("doc_id").desc_nulls_last(), F.col("text").asc()]
+    rows = rows.withColumn("hash", F.md5(F.col("text").cast("binary")))
+    rows = rows.withColumn("part", _ranges(rows))
+    order = [F.col("doc_id").desc_nulls_last(), F.col("hash").asc()]
     w = W.partitionBy("part").orderBy(*order)
     numbered = rows.withColumn("next", F.lead("text").over(w)).withColumn("at", F.row_number().over(w)).withColumn("is_last", F.col("at") == F.count("*").over(W.partitionBy("part")))
     # the first row of each range, given to the range before it
@@ -126,9 +164,9 @@ def fingerprints(documents: DataFrame) -> DataFrame:
     third = F.floor(F.col("n_chars") / 3).cast("int")
     edited = F.concat(F.col("text").substr(F.lit(1), F.col("n_chars").cast("int") - third), F.col("next").substr(F.lit(1), third))
     rows = rows.withColumn("edited", edited)
-    rows = rows.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), root(F.col("text")).alias("root"), root(F.col("edited")).alias("edited_root"), leaves(F.col("text")).alias("own"), leaves(F.col("edited")).alias("changed"), leaves(F.col("next")).alias("following"))
-    name = lambda r, a: F.concat(F.col(r), F.lit(":"), F.array_join(a, ""))
-    rows = rows.select("doc_id", "n_chars", "edited_sha256", name("root", "own").alias("fingerprint"), name("edited_root", "changed").alias("edited_fingerprint"), *[F.array_sort(x).alias(x) for x in ("own", "changed", "following")])
-    rows = rows.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", *[_numbered(F.col(x)).alias(x) for x in ("own", "changed", "following")])
-    near = {"near_edited": likeness(F.col("own"), F.col("changed")), "near_next": likeness(F.col("own"), F.col("following"))}
-    return rows.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", *[x.alias(k) for k, x in near.items()])
+    rows = rows.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), paragraphs(F.col("text")).alias("own"), paragraphs(F.col("edited")).alias("changed"), paragraphs(F.col("next")).alias("following"))
+    digests = lambda c: F.array_join(F.transform(c, lambda p: F.substring_index(p, ":", 1)), ",")
+    rows = rows.select("doc_id", "n_chars", "edited_sha256", digests(F.col("own")).alias("own_leaves"), digests(F.col("changed")).alias("changed_leaves"), *[sections(F.col(c)).alias(c) for c in ("own", "changed", "following")])
+    name = lambda c: F.concat(root(F.col(c)), F.lit(":"), F.col(f"{c}_leaves"))
+    rows = rows.select("doc_id", "n_chars", "edited_sha256", name("own").alias("fingerprint"), name("changed").alias("edited_fingerprint"), "own", "changed", F.col("own").alias("own_too"), "following")
+    return likeness(rows, {"near_edited": ("own", "changed"), "near_next": ("own_too", "following")})

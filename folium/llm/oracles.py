@@ -32,29 +32,31 @@ select doc_id, size, source_size, target,
 from e"""
 
 FINGERPRINT_SQL = r"""
-with d as (select row_number() over (order by doc_id desc nulls last, coalesce(text, '')) as n, doc_id, coalesce(text, '') as text from documents),
+with d as (select row_number() over (order by doc_id desc nulls last, md5(coalesce(text, ''))) as n, doc_id, coalesce(text, '') as text from documents),
 x as (
   select n, doc_id, text, coalesce(lead(text) over (order by n), first_value(text) over (order by n)) as following, length(text)::bigint as n_chars from d),
 e as (
   select *, substring(text, 1, n_chars - n_chars // 3) || substring(following, 1, n_chars // 3) as edited from x),
 v as (
   select n, 'own' as kind, text as t from e union all select n, 'changed', edited from e union all select n, 'following', following from e),
+g as (
+  select n, kind, list_transform(string_split(t, chr(10)), lambda p: list_transform(regexp_extract_all(p, '[^.!?]{1,128}[.!?]*|[.!?]{1,128}'), lambda x: md5(x))) as lines from v),
 h as (
-  select n, kind,
-    list_transform(regexp_extract_all(t, '[^\n.!?]{1,128}[.!?\n]*|[.!?\n]{1,128}'), lambda p: left(md5(p), 12)) as leaves,
-    string_split(regexp_replace(array_to_string(list_transform(string_split(t, chr(10)), lambda p: left(md5(p), 24)), ' '), '([01]) ', '\1|', 'g'), '|') as sections
-  from v),
+  select n, kind, list_transform(flatten(lines), lambda x: left(x, 12)) as leaves,
+    array_to_string(list_transform(lines, lambda l: coalesce(array_to_string(list_transform(l, lambda x: left(x, 12)), ''), '')), ',') as digests,
+    string_split(regexp_replace(array_to_string(list_transform(lines, lambda l: coalesce(array_to_string(list_transform(l, lambda x: left(x, 12)), ''), '') || ':' || left(md5(coalesce(array_to_string(l, ''), '')), 24)), ' '), '([01]) ', '\1|', 'g'), '|') as sections
+  from g),
 r as (
-  select n, kind, leaves, sha256(array_to_string(list_transform(sections, lambda s: sha256(s)), ' ')) as root from h),
+  select n, kind, leaves, digests, sha256(array_to_string(list_transform(sections, lambda s: sha256(s)), ' ')) as root from h),
 u as (select n, kind, unnest(leaves) as leaf from r),
 k as (select n, kind, leaf, count(*) as c from u group by all),
 m as (
   select a.n, b.kind, sum(least(a.c, b.c)) as shared from k a join k b on a.n = b.n and a.leaf = b.leaf and a.kind = 'own' and b.kind <> 'own' group by a.n, b.kind),
 f as (
-  select o.n, o.leaves as own, o.root, c.leaves as changed, c.root as edited_root, w.leaves as following
+  select o.n, o.leaves as own, o.root, c.leaves as changed, c.root as edited_root, w.leaves as following, o.digests, c.digests as edited_digests
   from r o join r c on o.n = c.n and c.kind = 'changed' join r w on o.n = w.n and w.kind = 'following' where o.kind = 'own')
 select e.doc_id, e.n_chars, sha256(e.edited) as edited_sha256,
-  f.root || ':' || array_to_string(f.own, '') as fingerprint, f.edited_root || ':' || array_to_string(f.changed, '') as edited_fingerprint,
+  f.root || ':' || f.digests as fingerprint, f.edited_root || ':' || f.edited_digests as edited_fingerprint,
   case when len(f.own) + len(f.changed) = 0 then 1.0 else 2.0::double * coalesce((select shared from m where m.n = e.n and kind = 'changed'), 0) / (len(f.own) + len(f.changed)) end::double as near_edited,
   case when len(f.own) + len(f.following) = 0 then 1.0 else 2.0::double * coalesce((select shared from m where m.n = e.n and kind = 'following'), 0) / (len(f.own) + len(f.following)) end::double as near_next
 from e join f on e.n = f.n"""

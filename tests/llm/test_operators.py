@@ -485,9 +485,9 @@ def test_fingerprints_against_definition(spark, odd, empty, monkeypatch):
     for size in (1000, 2):  # one range, many ranges
         monkeypatch.setattr(fingerprint, "RANGE_ROWS", size)
         got = sorted(map(tuple, fingerprint.fingerprints(odd).collect()), key=str)
-        order = sorted(odd.collect(), key=lambda r: (r["doc_id"] is None, -(r["doc_id"] or 0), r["text"] or ""))
+        order = sorted(odd.collect(), key=lambda r: (r["doc_id"] is None, -(r["doc_id"] or 0), hashlib.md5((r["text"] or "").encode()).hexdigest()))
         texts = [r["text"] or "" for r in order]
-        leaves = lambda t: collections.Counter(hashlib.md5(p.encode()).hexdigest()[:12] for p in re.findall(r"[^\n.!?]{1,128}[.!?\n]*|[.!?\n]{1,128}", t))
+        leaves = lambda t: collections.Counter(hashlib.md5(p.encode()).hexdigest()[:12] for line in t.split("\n") for p in re.findall(r"[^.!?]{1,128}[.!?]*|[.!?]{1,128}", line))
 
         def near(a, b):
             x, y = leaves(a), leaves(b)
@@ -506,6 +506,22 @@ def test_fingerprints_against_definition(spark, odd, empty, monkeypatch):
     assert fingerprint.fingerprints(empty).count() == 0
 
 
+def test_rows_without_an_id_and_of_one_id_are_split(spark):
+    texts = [f"text {i} of many" for i in range(200)]
+    documents = spark.createDataFrame([*((None, t) for t in texts), *((5, t) for t in texts), *enumerate(texts, 1000)], "doc_id long, text string")
+    rows = documents.withColumn("hash", fingerprint.F.md5(documents["text"].cast("binary")))
+    sizes = [r["count"] for r in rows.groupBy(fingerprint._ranges(rows).alias("part")).count().collect()]
+    assert sum(sizes) == 600 and max(sizes) <= 402
+    import unittest.mock
+
+    with unittest.mock.patch.object(fingerprint, "RANGE_ROWS", 20):
+        sizes = [r["count"] for r in rows.groupBy(fingerprint._ranges(rows).alias("part")).count().collect()]
+        assert sum(sizes) == 600 and max(sizes) < 60
+        order = sorted(documents.collect(), key=lambda r: (r["doc_id"] is None, -(r["doc_id"] or 0), hashlib.md5(r["text"].encode()).hexdigest()))
+        after = {(r["doc_id"], r["text"]): order[(i + 1) % len(order)]["text"] for i, r in enumerate(order)}
+        assert all(after[(r["doc_id"], r["text"])] == r["next"] for r in fingerprint.with_next(documents).collect())
+
+
 def test_edits_are_located(spark):
     before = spark.createDataFrame([(1, "\n".join(f"line {i}" for i in range(60)))], "doc_id long, text string")
     after = spark.createDataFrame([(1, "\n".join("changed" if i == 17 else f"line {i}" for i in range(60)))], "doc_id long, text string")
