@@ -30,6 +30,11 @@ class Vocabulary:
     ranks: str = field(default_factory=lambda: _path("byte_bpe_50k.tiktoken"))
     special: tuple[str, ...] = ("<|endoftext|>",)
 
+    def dtype(self) -> str:
+        """The narrowest little-endian type that holds every id."""
+        with open(self.ranks, "rb") as lines:
+            return "<u2" if sum(1 for _ in lines) + len(self.special) <= 1 << 16 else "<u4"
+
 
 _loaded: dict = {}
 
