@@ -2,7 +2,9 @@
 
 A document's ids (its tokens, then id 0) are cut into pieces of ``LENGTH``; the
 last, shorter piece is packed first-fit decreasing. Documents are dealt into
-groups of about ``GROUP_DOCUMENTS`` by a hash; in each group a tournament tree
+groups of about ``GROUP_DOCUMENTS`` by a hash of id, ids and, for equal rows, how
+many of them the task has met (so copies of a row are spread, and a task that is
+run again deals the same rows alike in any order); in each group a tournament tree
 over the open bins' free space finds the first bin that fits in logarithmic
 time. Groups are independent, so nothing is ordered or collected globally; only
 piece sizes are shuffled, not ids.
@@ -14,12 +16,12 @@ pieces; an empty table gives no rows; extra columns are left aside.
 
 from __future__ import annotations
 
+import collections
 import zlib
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -76,15 +78,15 @@ def cut(documents: DataFrame, vocabulary: Vocabulary, length: int, groups: int)
     small_batches(documents.sparkSession)
 
     def pieces(batches):
-        task, row = TaskContext.get().partitionId() if TaskContext.get() else 0, 0
+        met: collections.Counter = collections.Counter()
         for batch in batches:
             out: list[list] = [[] for _ in range(6)]
             ids_of = batch.column("doc_id").to_pylist()
             for i, text in texts(batch):
                 ids = np.append(encode(vocabulary, text), np.uint32(END_ID)).astype("<u4")
-                # equal rows are dealt to different groups too, as their places differ
-                group = zlib.crc32(np.array([task, row, zlib.crc32(ids.tobytes())], "<u8").tobytes()) % groups
-                row += 1
+                row = hash((ids_of[i] or 0, zlib.crc32(ids.tobytes()), len(ids)))  # of whole numbers: alike in every process
+                met[row] += 1
+                group = zlib.crc32(np.array([row, met[row]], "<i8").tobytes()) % groups
                 for start in range(0, len(ids), length):
                     piece = ids[start : start + length]
                     for column, value in zip(out, (ids_of[i], start, len(piece), zlib.crc32(piece.tobytes()), len(ids), group), strict=True):
