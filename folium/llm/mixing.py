@@ -23,6 +23,7 @@ columns are left aside.
 
 from __future__ import annotations
 
+import math
 from decimal import Decimal, getcontext
 
 from pyspark.sql import Column, DataFrame
@@ -39,8 +40,8 @@ SHARE = 1.5
 MOST_REPEATS = 2
 #: Slots that one rank window holds.
 CHUNK = 1 << 16
-#: Leading hex digits of the shuffle key that make a bucket: 4,096 buckets a source, whatever its size.
-BUCKET_DIGITS = 3
+#: Documents of one bucket of the shuffle key at most, about; buckets are of leading hex digits, LEAST_DIGITS at least.
+BUCKET_ROWS, LEAST_DIGITS = 4096, 3
 WORD = r"[^\x20\x09-\x0D]+"
 
 getcontext().prec = 60
@@ -113,7 +114,8 @@ def slots(plan: DataFrame) -> DataFrame:
 
 def pieces(sizes: DataFrame, plan: DataFrame) -> DataFrame:
     """row, doc_id, source, block, start (words of the document before it), length: documents cut at block ends."""
-    bucketed = sizes.where("size > 0").withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS))
+    digits = max(LEAST_DIGITS, math.ceil(math.log(max(sizes.count(), 1) / BUCKET_ROWS, 16)))
+    bucketed = sizes.where("size > 0").withColumn("bucket", F.substring("key", 1, digits))
     counts = bucketed.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
     before = F.coalesce(F.sum("n").over(W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     counts = counts.select(F.col("source").alias("s"), F.col("bucket").alias("b"), before.alias("before"))
@@ -150,7 +152,11 @@ def taken_words(documents: DataFrame, block_words: int = BLOCK_WORDS) -> DataFra
 
 
 def mixed_documents(documents: DataFrame) -> DataFrame:
-    """The rows of documents, columns unchanged, each as often as the mix takes its words, rounded."""
+    """The rows of documents, columns unchanged, each as often as the mix takes its words, rounded.
+
+    As a source gives its first blocks and begins again after its last, every document is taken whole, as often as its
+    neighbours or once more, but for the one at which the mix leaves off; so a source is off its target by a document at
+    most. The schedule's order is that of `mix`; rows of a table have none."""
     text = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
     key = F.md5(F.concat_ws(" ", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), text).cast("binary"))
     # equal rows share what they take; the whole row is in one column, so that no name of documents can clash
