@@ -42,9 +42,12 @@ def sampled(rows: DataFrame, key: Column, most: int, salt: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; a local one only where none is named, as in tests."""
+    """The shared folder named in spark.checkpoint.dir. Where none is named, a session on one machine gets a folder of its own;
+    on a cluster that is an error, as executors would not share it."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")

@@ -194,6 +194,39 @@ def test_language_models(spark, odd, empty):
     assert langid.predict_languages(empty, model).count() == 0 and langid.train(empty).languages == []
     assert {r["lang_pred"] for r in langid.predict_languages(odd, langid.train(empty)).collect()} == {"und"}
     assert langid.keep_identified(odd, model).schema == odd.schema
+    other = spark.createDataFrame(rows(["ключ вода море " * 20, "zqzq xjxj " * 30, data[0]]), SCHEMA)
+    seen = {r["doc_id"]: r for r in langid.predict_languages(other, model).collect()}
+    assert seen[0]["rejected"] and seen[0]["score"] < 0.01 and seen[1]["rejected"] and not seen[2]["rejected"] and seen[2]["score"] > 0.9
+    assert [r["doc_id"] for r in langid.keep_identified(other, model).collect()] == [2]
+
+
+def test_kneser_ney_against_its_definition():
+    """Each probability from plain counts, by the recursion."""
+    rng = random.Random(3)
+    text = "".join(rng.choice("abc ") for _ in range(400))
+    order = langid.ORDER
+    counts = {order: collections.Counter(text[i : i + order] for i in range(len(text) - order + 1))}
+    for m in range(order - 1, 0, -1):
+        counts[m] = collections.Counter(g[1:] for g in counts[m + 1])
+    seen = len(counts[1]) + 1
+
+    def p(context, c):
+        m = len(context) + 1
+        once, twice = (sum(n == k for n in counts[m].values()) for k in (1, 2))
+        d = once / (once + 2 * twice) if once and twice else 0.5
+        follow = {g: n for g, n in counts[m].items() if g[:-1] == context}
+        lower = p(context[1:], c) if m > 1 else 1 / seen
+        if not follow:
+            return lower
+        total = sum(follow.values())
+        return max(counts[m].get(context + c, 0) - d, 0) / total + d * len(follow) / total * lower
+
+    grams = np.array([[ord(x) for x in g] for g in counts[order]], np.uint32)
+    model = langid.kneser_ney(["x"], np.zeros(len(grams), np.int64), grams, np.array(list(counts[order].values())))
+    for _ in range(60):
+        g = "".join(rng.choice("abc ") for _ in range(order))
+        got = math.exp(-model.surprisal(np.array([ord(x) for x in g], np.uint32))[-1, 0])
+        assert math.isclose(got, p(g[:-1], g[-1]), rel_tol=1e-4), g
 
 
 # 2 training order, 5 packing
@@ -238,8 +271,9 @@ def test_shards_hold_every_sequence_once(spark, odd, empty, tmp_path):
     assert some == list(range(10, min(50, n)))
     folder = tmp_path / "raw"
     folder.mkdir()
-    shards.export_binary(written, str(folder), length=64, stride=32).collect()
-    raw = np.fromfile(folder / "shard-000001.bin", "<u4").reshape(-1, 64)
+    assert {len(r["ids"]) for r in got} == {2 * 64}
+    shards.export_binary(written, str(folder)).collect()
+    raw = np.fromfile(folder / "shard-000001.bin", "<u2").reshape(-1, 64)
     for r in got:
         if r["shard"] == 1:
             assert raw[r["slot"] - 32][: r["length"]].tolist() == shards.decode(bytes(r["ids"]), r["length"]).tolist()
@@ -268,6 +302,10 @@ def test_packing(spark, odd, empty):
             at += r["length"]
         assert at <= 128
     assert packing.pack(empty).count() == 0
+    key = lambda r: tuple(str(r[c]) for c in ("doc_id", "start", "length", "ids_crc32", "sequence_id", "offset"))
+    distinct = odd.dropDuplicates(["doc_id", "text"])
+    first, again = (sorted(map(key, packing.pack(distinct.repartition(n), length=128, group_documents=4).collect())) for n in (1, 5))
+    assert first == again  # however rows are dealt over tasks
 
 
 def test_first_fit_decreasing_matches_a_plain_scan():
@@ -626,3 +664,33 @@ def test_automata_accept_what_their_expressions_accept():
         w = ["one", "two", *rng.choice(vocabulary, rng.integers(0, 7))]
         hashes = np.array([textvec.word_hash(x) for x in w], np.uint64)
         assert bool(machine.accepts(hashes)) == bool(pattern.match(" " + " ".join(w) + " "))
+
+
+def test_quality_features_against_plain_counts():
+    texts = [t for t in odd_texts() if t and len(t) < 20_000] + ["One two two THREE!\nfour, 55 five\nfour, 55 five\n", "a | b # c$ d"]
+    got = quality.text_features(pa.array(texts))
+    at = {name: k for k, name in enumerate(quality.FEATURES)}
+    for t, row in zip(texts, got, strict=True):
+        raw = t.encode()
+        w = WORD.findall(t.lower())
+        runs = [tuple(w[i : i + 5]) for i in range(len(w) - 4)] or ([tuple(w)] if w else [])
+        lines = [x for x in (tuple(sorted(WORD.findall(line.lower()))) for line in t.split("\n")) if x]
+        n, k = max(len(raw), 1), max(len(w), 1)
+        want = {
+            "log_chars": math.log1p(len(raw)), "log_words": math.log1p(len(w)), "mean_word": sum(len(x.encode()) for x in w) / k,
+            "upper": sum(65 <= b <= 90 for b in raw) / n, "digit": sum(48 <= b <= 57 for b in raw) / n, "pipe": raw.count(b"|") / n, "non_ascii": sum(b >= 128 for b in raw) / n,
+            "short_words": sum(len(x.encode()) <= 3 for x in w) / k, "long_words": sum(len(x.encode()) >= 12 for x in w) / k, "one_letter": sum(len(x.encode()) == 1 for x in w) / k,
+            "repeat_word": sum(a == b for a, b in zip(w, w[1:], strict=False)) / k, "distinct_words": len(set(w)) / k, "top_word": max(collections.Counter(w).values(), default=0) / k,
+            "distinct_shingles": len(set(runs)) / max(len(runs), 1), "line_words": len(w) / max(len(lines), 1), "distinct_lines": len(set(lines)) / max(len(lines), 1),
+        }
+        assert all(math.isclose(row[at[f]], v, rel_tol=1e-9, abs_tol=1e-12) for f, v in want.items()), (t[:40], {f: (row[at[f]], v) for f, v in want.items()})
+
+
+def test_a_pair_tree_is_the_best_of_all_cuts():
+    rng = np.random.default_rng(1)
+    for _ in range(20):
+        g, h = rng.normal(size=12), rng.random(12) + 0.5
+        gain, cut = quality._split(g, h, 1.0, 0.1)
+        of = lambda a, b: g[a:b].sum() ** 2 / (h[a:b].sum() + 1.0)
+        every = {k: of(0, k) + of(k, 12) - of(0, 12) for k in range(1, 12)}
+        assert math.isclose(gain, max(every.values())) and math.isclose(every[cut], gain)
