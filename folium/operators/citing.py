@@ -10,13 +10,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Printed and database forms of a citation, and of a sutta's name.
+#: Database and printed forms of a citation (work, page, register, line; a hyphen counts lines from the foot), and
+#: of a sutta's segment.
 FOREIGN = {
-    "sat": r"T(?P<work>\d{4}[a-z]?)_[.,]?(?P<volume>\d{2})[.,](?P<page>\d{4})(?P<register>[abc])(?P<line>\d{2})",
-    "print": r"T\.?\s*(?P<volume>\d{1,2})[,.]?\s*(?:no\.\s*(?P<work>\d{1,4}[a-z]?)[,:]?\s*)?(?:p\.?\s*)?(?P<page>\d{1,4})(?P<register>[abc])(?P<line>\d{1,2})",
-    "sutta": r"\b(?P<work>(?:DN|MN|SN|AN)\s?\d+(?:\.\d+)?)\b",
+    "sat": r"\bT(?P<work>\d{4})(?:_?\.(?P<volume>\d{2}))?\.(?P<page>\d{4})(?P<register>[abc])(?P<line>\d{2})\b",
+    "print": r"\bT\.?\s*(?P<work>\d{1,4})[\s,.:;]+(?P<page>\d{1,3})(?P<register>[abc])(?P<foot>-?)(?P<line>\d{1,2})\b",
+    "sutta": r"\b(?P<work>[a-z][a-z0-9-]*\d[a-z0-9.-]*):(?P<segment>\d+(?:\.\d+)+)\b",
 }
-OCCURRENCE = "form string, start long, end long, work string, volume long, page long, register string, line long"
+OCCURRENCE = "form string, start long, end long, work string, volume long, page long, register string, line long, from_foot boolean, segment string"
 
 
 def foreign_citations(texts: DataFrame) -> DataFrame:
@@ -34,11 +35,12 @@ def foreign_citations(texts: DataFrame) -> DataFrame:
             if start >= reach:
                 g = m.groupdict()
                 number = lambda k, g=g: int(g[k]) if g.get(k) else None
-                out.append({"form": form, "start": start, "end": -minus_end, "work": g.get("work"), "volume": number("volume"), "page": number("page"), "register": g.get("register"), "line": number("line")})
+                work = g["work"] if form == "sutta" else "T" + g["work"].zfill(4)
+                out.append({"form": form, "start": start, "end": -minus_end, "work": work, "volume": number("volume"), "page": number("page"), "register": g.get("register"), "line": number("line"), "from_foot": g.get("foot") == "-", "segment": g.get("segment")})
                 reach = -minus_end
         return out
 
-    fields = T.StructType([T.StructField(n, T.LongType() if k == "long" else T.StringType()) for n, k in (x.split(" ") for x in OCCURRENCE.split(", "))])
+    fields = T.StructType([T.StructField(n, {"long": T.LongType(), "boolean": T.BooleanType()}.get(k, T.StringType())) for n, k in (x.split(" ") for x in OCCURRENCE.split(", "))])
 
     @F.pandas_udf(T.ArrayType(fields))
     def scanned(text: pd.Series) -> pd.Series:

@@ -44,11 +44,22 @@ def diagnose(failed: DataFrame, segments: DataFrame) -> DataFrame:
 
 
 def conflicts(edits: DataFrame) -> DataFrame:
-    """doc_id, owner, other: pairs of owners whose edit intervals [start, end) overlap; found against the running reach of
-    earlier edits, so a document's edits are sorted once and only overlapping neighbours are returned."""
-    w = W.partitionBy("doc_id").orderBy("start", "end", "owner").rowsBetween(W.unboundedPreceding, -1)
-    reach = F.max(F.struct("end", "owner")).over(w)
-    return edits.withColumn("before", reach).where((F.col("before.end") > F.col("start")) & (F.col("before.owner") != F.col("owner"))).select("doc_id", F.col("before.owner").alias("owner"), F.col("owner").alias("other"), "start")
+    """doc_id, owner: every owner of whose edit intervals [start, end) one overlaps another owner's. Empty intervals overlap none.
+
+    A document's edits are sorted once. An earlier interval of another owner that reaches past an edit's start is found by two
+    running maxima: the furthest end with its owner, and the furthest of ends that were passed by, or passed, another owner's;
+    a later one that starts before an edit's end is the next of another owner."""
+    w = W.partitionBy("doc_id").orderBy("start", "end", "owner")
+    before = w.rowsBetween(W.unboundedPreceding, -1)
+    own = F.struct("end", "owner")
+    rows = edits.where("start < end").select("doc_id", "owner", "start", "end").withColumn("best", F.max(own).over(before))
+    stranger = F.col("best.owner") != F.col("owner")
+    rows = rows.withColumn("passed", F.when(stranger, F.least("best.end", "end"))).withColumn("second", F.max("passed").over(before))
+    reach = F.when(stranger, F.col("best.end")).otherwise(F.col("second"))
+    rows = rows.withColumn("late", F.coalesce(reach > F.col("start"), F.lit(False)))
+    rows = rows.withColumn("turn", F.sum(F.coalesce((F.lag("owner").over(w) != F.col("owner")).cast("int"), F.lit(0))).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    rows = rows.withColumn("ahead", F.when(F.lead("turn").over(w) != F.col("turn"), F.lead("start").over(w))).withColumn("next", F.max("ahead").over(W.partitionBy("doc_id", "turn")))
+    return rows.where("late or next < end").select("doc_id", "owner").distinct()
 
 
 def report_status(checked: DataFrame, key: str) -> DataFrame:

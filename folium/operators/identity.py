@@ -12,13 +12,26 @@ def row_digest(*columns: str) -> Column:
     return F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("~")) for c in columns]).cast("binary"), 256)
 
 
-def set_digest(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """n, digest of a table: digests of rows, hashed in key order within 256 buckets of the row digest, then over the buckets.
+#: Row digests that one bucket of a table's digest joins at most, about.
+BUCKET_ROWS = 1 << 16
+
 
-    The order of a bucket is by digest, so the result doesn't depend on partitions and no task sorts the whole table."""
-    hashed = rows.select(row_digest(key, *columns).alias("h")).withColumn("bucket", F.substring("h", 1, 2))
-    buckets = hashed.groupBy("bucket").agg(F.count("*").alias("n"), F.sha2(F.array_join(F.sort_array(F.collect_list("h")), "").cast("binary"), 256).alias("h"))
-    return buckets.agg(F.sum("n").alias("n"), F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("bucket", "h"))), lambda x: x["h"]), "").cast("binary"), 256).alias("digest"))
+def set_digest(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """n, digest of a table: digests of rows, hashed in order within buckets of their leading digits, then bucket by bucket up a
+    tree of 256 branches.
+
+    The digits are 2 at least and grow with the table, so a bucket joins about BUCKET_ROWS digests whatever the size; the order
+    is by digest, so the result doesn't depend on partitions."""
+    hashed = rows.select(row_digest(key, *columns).alias("h"))
+    digits = 2
+    while 16**digits * BUCKET_ROWS < hashed.count():
+        digits += 2
+    join = lambda c: F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(c)), lambda x: x["h"]), "").cast("binary"), 256)
+    level = hashed.groupBy(F.substring("h", 1, digits).alias("bucket")).agg(F.count("*").alias("n"), join(F.struct("h")).alias("h"))
+    while digits > 2:
+        digits -= 2
+        level = level.groupBy(F.substring("bucket", 1, digits).alias("bucket_")).agg(F.sum("n").alias("n"), join(F.struct("bucket", "h")).alias("h")).withColumnRenamed("bucket_", "bucket")
+    return level.agg(F.sum("n").alias("n"), join(F.struct("bucket", "h")).alias("digest"))
 
 
 def drift(before: DataFrame, after: DataFrame, key: str, columns: list[str]) -> DataFrame:

@@ -45,15 +45,19 @@ def parallels_to_relations(parallels: DataFrame, least: int = 3, sure: int = 10)
 
 
 def walk_up(starts: DataFrame, edges: DataFrame, most: int = 10) -> DataFrame:
-    """start, hop, node, stopped: the chain from each start along its nodes' first upward edge (edges: node, up).
-
-    Each node's smallest edge is its only one, so a chain has one row a hop: `most` joins on keys, no growth.
-    stopped: end (no edge), cycle (a node seen before) or limit."""
-    only = edges.groupBy("node").agg(F.min("up").alias("up"))
+    """start, hop, node, stopped: the chain from each start along its nodes' first upward edge to a node not seen before (edges:
+    node, up).
+
+    A path has at most `most` + 1 nodes, so of a node's edges the first `most` + 2 are enough; a chain has one row a hop.
+    stopped: end (no edge), cycle (edges to nodes seen before only) or limit."""
+    place = F.row_number().over(W.partitionBy("node").orderBy("up"))
+    first = edges.where("up is not null").select("node", "up").distinct().withColumn("_at", place).where(F.col("_at") <= most + 2)
+    ups = first.groupBy("node").agg(F.sort_array(F.collect_list("up")).alias("ups"))
     level = starts.select(F.col("start"), F.lit(0).alias("hop"), F.col("start").alias("node"), F.array("start").alias("path"))
     done = None
     for hop in range(most + 1):
-        ahead = level.join(only, "node", "left").withColumn("stopped", F.when(F.col("up").isNull(), "end").when(F.array_contains("path", F.col("up")), "cycle").when(F.lit(hop == most), "limit"))
+        ahead = level.join(ups, "node", "left").withColumn("up", F.get(F.filter("ups", lambda u: ~F.array_contains("path", u)), F.lit(0)))
+        ahead = ahead.withColumn("stopped", F.when(F.col("ups").isNull(), "end").when(F.col("up").isNull(), "cycle").when(F.lit(hop == most), "limit"))
         rows = ahead.select("start", "hop", "node", "stopped")
         done = rows if done is None else done.union(rows)
         level = ahead.where("stopped is null").select("start", (F.col("hop") + 1).alias("hop"), F.col("up").alias("node"), F.array_append("path", F.col("up")).alias("path"))

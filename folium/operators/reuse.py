@@ -66,10 +66,13 @@ def reuse_pairs(texts: DataFrame, least: int = LEAST, most: int = MOST, n: int =
 def find_passages(passages: DataFrame, texts: DataFrame, n: int = SEED) -> DataFrame:
     """item_id, doc_id, start, length: every place where a passage of n characters or more stands in a text.
 
-    Joined on the passage's first n characters, then compared whole."""
+    The rows that meet the passages by their first n characters are places and keys alone; then the texts that have any are
+    fetched and compared whole at their places."""
     wanted = passages.where(F.length("text") >= n).select("item_id", F.col("text").alias("passage"), F.xxhash64(F.substring("text", 1, n)).alias("key"))
-    grams = texts.select("doc_id", "text", F.posexplode(F.transform(ngrams(F.col("text"), n), lambda g: F.xxhash64(g))).alias("start", "key"))
-    hit = grams.join(wanted, "key").where(F.col("text").substr(F.col("start") + 1, F.length("passage")) == F.col("passage"))
+    grams = texts.select("doc_id", F.posexplode(F.transform(ngrams(F.col("text"), n), lambda g: F.xxhash64(g))).alias("start", "key"))
+    hits = grams.join(wanted.select("key").distinct(), "key", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("start", "key")).alias("places"))
+    placed = texts.join(hits, "doc_id").select("doc_id", "text", F.explode("places").alias("p")).select("doc_id", "text", "p.start", "p.key")
+    hit = placed.join(wanted, "key").where(F.col("text").substr(F.col("start") + 1, F.length("passage")) == F.col("passage"))
     return hit.select("item_id", "doc_id", F.col("start").cast("long").alias("start"), F.length("passage").cast("long").alias("length"))
 
 
@@ -109,15 +112,16 @@ def union_length(spans: DataFrame, key: str, start: str, end: str) -> DataFrame:
     return spans.withColumn("_add", F.greatest(F.col(end) - F.greatest(F.col(start), reach), F.lit(0))).groupBy(key).agg(F.sum("_add").cast("long").alias("covered"))
 
 
-def align_metrics(pairs: DataFrame, spans: DataFrame, density_floor: float = 30.0, forward_floor: float = 80.0) -> DataFrame:
-    """pair, spans, density (per 10,000 characters of commentary), root_pct, forward_pct, aligned."""
+def align_metrics(pairs: DataFrame, spans: DataFrame, density_floor: float = 30.0, forward_floor: float = 80.0, syllables: bool = False) -> DataFrame:
+    """pair, spans, density (per 10,000 characters of commentary), root_pct, forward_pct, aligned; the forward floor holds for
+    alignments by syllables only."""
     size = lambda c: F.length(F.regexp_replace(c, r"\s", ""))
     w = W.partitionBy("pair").orderBy("c_start")
     ahead = spans.withColumn("ahead", (F.col("r_start") >= F.lag("r_start").over(w)).cast("int")).groupBy("pair").agg(F.count("*").alias("spans"), F.avg("ahead").alias("forward"))
     cover = union_length(spans.withColumn("r_end", F.col("r_start") + F.col("length")), "pair", "r_start", "r_end")
     rows = pairs.select("pair", size("commentary").alias("c_len"), size("root").alias("r_len")).join(ahead, "pair").join(cover, "pair")
     density, forward = F.round(10000.0 * F.col("spans") / F.col("c_len"), 6), F.round(100.0 * F.coalesce("forward", F.lit(1.0)), 6)
-    return rows.select("pair", "spans", density.alias("density"), F.round(100.0 * F.col("covered") / F.col("r_len"), 6).alias("root_pct"), forward.alias("forward_pct"), ((density >= density_floor) & (forward >= forward_floor)).alias("aligned"))
+    return rows.select("pair", "spans", density.alias("density"), F.round(100.0 * F.col("covered") / F.col("r_len"), 6).alias("root_pct"), forward.alias("forward_pct"), ((density >= density_floor) & (F.lit(not syllables) | (forward >= forward_floor))).alias("aligned"))
 
 
 def ranges_text(values: DataFrame, key: str, value: str) -> DataFrame:

@@ -82,6 +82,10 @@ def resolve(segments: DataFrame, ranges: DataFrame) -> DataFrame:
 
 
 def map_to_chunks(hits: DataFrame, chunks: DataFrame) -> DataFrame:
-    """doc_id, chunk_no, rank: the chunks that ranked segments (doc_id, ordinal, rank) lie in, each once at its best rank."""
-    both = hits.join(chunks.select("doc_id", "chunk_no", "first_ordinal", "last_ordinal"), "doc_id").where(F.col("ordinal").between(F.col("first_ordinal"), F.col("last_ordinal")))
-    return both.groupBy("doc_id", "chunk_no").agg(F.min("rank").alias("rank"))
+    """doc_id, chunk_no, ordinal, rank: the chunks that ranked segments (doc_id, ordinal, rank) lie in, each once at its best rank;
+    a segment that no chunk holds stands for itself (its ordinal, no chunk_no).
+
+    A chunk is listed by its ordinals, so the join is by equality whatever the length of a text."""
+    held = chunks.select("doc_id", "chunk_no", F.explode(F.sequence("first_ordinal", "last_ordinal")).alias("ordinal"))
+    both = hits.join(held, ["doc_id", "ordinal"], "left").withColumn("ordinal", F.when(F.col("chunk_no").isNull(), F.col("ordinal")))
+    return both.groupBy("doc_id", "chunk_no", "ordinal").agg(F.min("rank").alias("rank"))

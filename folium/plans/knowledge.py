@@ -42,11 +42,10 @@ def parallels_to_relations(spark, d):
     return relations.parallels_to_relations(rows).select("source", "target", F.col("n").cast("long").alias("n"), "confidence")
 
 
-@query("""with recursive e as (select p_partkey % 97 as node, min((p_partkey * 7) % 89) as up from part group by 1),
+@query("""with recursive e as (select p_partkey % 97 as node, list_sort(list(distinct (p_partkey * 7) % 89)) as ups from part group by 1),
 w as (select distinct p_partkey % 97 as start, 0 as hop, p_partkey % 97 as node, [p_partkey % 97] as path from part
-  union all select start, hop + 1, e.up, list_append(path, e.up) from w join e using (node) where hop < 10 and not list_contains(path, e.up)),
-l as (select start, hop, node, path from w)
-select start, hop::bigint as hop, node, case when e.up is null then 'end' when list_contains(path, e.up) then 'cycle' when hop = 10 then 'limit' end as stopped from l left join e using (node)""")
+  union all select start, hop + 1, up, list_append(path, up) from (select start, hop, path, list_filter(ups, lambda u: not list_contains(path, u))[1] as up from w join e using (node) where hop < 10) where up is not null)
+select start, hop::bigint as hop, node, case when ups is null then 'end' when len(list_filter(ups, lambda u: not list_contains(path, u))) = 0 then 'cycle' when hop = 10 then 'limit' end as stopped from w left join e using (node)""")
 def resolve_root(spark, d):
     p = table(spark, d, "part")
     edges = p.select((F.col("p_partkey") % 97).alias("node"), ((F.col("p_partkey") * 7) % 89).alias("up"))
@@ -157,9 +156,8 @@ def extract_citations(spark, d):
     return rows.select("conv_id", "turn", F.array_join(F.array_sort(evidence.extract(F.col("t"))), " ").alias("citations"))
 
 
-@query("""with e as (select l_orderkey as doc_id, l_linenumber::bigint as owner, l_partkey % 200 as a, l_partkey % 200 + l_quantity::bigint as b from lineitem),
-r as (select *, max((b, owner)) over (partition by doc_id order by a, b, owner rows between unbounded preceding and 1 preceding) as p from e)
-select doc_id, p[2] as owner, owner as other, a as start from r where p[1] > a and p[2] <> owner""")
+@query("""with e as (select l_orderkey as doc_id, l_linenumber::bigint as owner, l_partkey % 200 as a, l_partkey % 200 + l_quantity::bigint as b from lineitem)
+select distinct x.doc_id, x.owner from e x join e y on x.doc_id = y.doc_id and x.owner <> y.owner and x.a < y.b and y.a < x.b""")
 def interval_conflicts(spark, d):
     a = F.col("l_partkey") % 200
     edits = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").cast("long").alias("owner"), a.alias("start"), (a + F.col("l_quantity").cast("long")).alias("end"))
@@ -200,11 +198,13 @@ def translators_divergent(spark, d):
     return renderings.divergent(table(spark, d, "part").select(F.col("p_name").alias("term"), F.col("p_type").alias("rendering")))
 
 
-@query(f"""with t as (select (lang <> 'en')::int as hand, unnest({TOKENS.format('text')}) as term from documents where lang in ('en', 'de')), c as (select hand, term, count(*) as n from t group by 1, 2),
+@query(f"""with t as (select (lang <> 'en')::int as hand, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as term from (select lang, {TOKENS.format('text')} as w from documents where lang in ('en', 'de'))), c as (select hand, term, count(*) as n from t group by 1, 2),
 s as (select *, 10000.0::double * n / sum(n) over (partition by hand) as rate from c), a as (select * from s where hand = 0 and n >= 12), b as (select * from s where hand = 1)
 select a.term, a.n, coalesce(b.n, 0) as other, round(a.rate, 6) as rate, round(coalesce(b.rate, 0), 6) as other_rate, round(a.rate / greatest(coalesce(b.rate, 0), 0.05), 6) as skew from a left join b using (term)""")
 def ngram_skew(spark, d):
-    t = table(spark, d, "documents").where("lang in ('en', 'de')").select((F.col("lang") != "en").cast("int").alias("hand"), F.explode(words(F.col("text"))).alias("term"))
+    t = table(spark, d, "documents").where("lang in ('en', 'de')").select((F.col("lang") != "en").cast("int").alias("hand"), words(F.col("text")).alias("w"))
+    pairs = F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w")), lambda a, b: F.concat_ws(" ", a, b))
+    t = t.where(F.size("w") >= 2).select("hand", F.explode(pairs).alias("term"))
     return renderings.skew(t.groupBy("hand", "term").agg(F.count("*").alias("n")))
 
 

@@ -15,10 +15,12 @@ def _lines(spark, d, *keep):
 
 
 @query(f"""with recursive {SEG}, {ORACLE_CHUNKS}, h as ({_hits_sql([PHRASE], 's', 100)})
-select h.doc_id, chunk_no::bigint as chunk_no, min(rank) as rank from h join r on h.doc_id = r.doc_id and h.ordinal = r.ordinal group by 1, 2""")
+select h.doc_id, chunk_no::bigint as chunk_no, case when chunk_no is null then h.ordinal end as ordinal, min(rank) as rank from h left join r on h.doc_id = r.doc_id and h.ordinal = r.ordinal and chunk_no <> 1 group by 1, 2, 3""")
 def hits_to_chunks(spark, d):
     s = _lines(spark, d)
-    return segments.map_to_chunks(lexical.phrase_search(s, PHRASE, 100), segments.greedy_chunks(s)).select("doc_id", F.col("chunk_no").cast("long").alias("chunk_no"), "rank")
+    # the second chunk of a text is left out, so that some hits have none
+    chunks = segments.greedy_chunks(s).where("chunk_no <> 1")
+    return segments.map_to_chunks(lexical.phrase_search(s, PHRASE, 100), chunks).select("doc_id", F.col("chunk_no").cast("long").alias("chunk_no"), "ordinal", "rank")
 
 
 @query(f"""with {SEG}, l as (select doc_id || '/' || ordinal as urn, doc_id % 50 as volume, line_no // 4 as page, case line_no % 2 when 0 then 'a' else 'b' end as register, line_no % 4 as line from s),

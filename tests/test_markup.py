@@ -51,9 +51,13 @@ def test_authority_and_dictionaries(spark):
 
 
 def test_foreign_citations_and_addresses(spark):
-    texts = frame(spark, [(1, "see T0262_.09.0001c19 and T 9, 5b12; MN 10 says"), (2, None)], "doc_id int, text string")
-    got = [(r["form"], r["work"], r["volume"], r["page"], r["register"], r["line"]) for r in citing.foreign_citations(texts).orderBy("start").collect()]
-    assert got == [("sat", "0262", 9, 1, "c", 19), ("print", None, 9, 5, "b", 12), ("sutta", "MN 10", None, None, None, None)]
+    texts = frame(spark, [(1, "see T0262_.09.0001c19 and T. 262, 6a23; mn1:1.1 says"), (2, None), (3, "T262 6a23 · T.262:27b-1 · T0262.0006a23"), (4, "pli-tv-bu-vb-pj1:2.3 sn22.51:1.1 but T 262 or MN 10 alone")], "doc_id int, text string")
+    got = [(r["form"], r["work"], r["volume"], r["page"], r["register"], r["line"], r["from_foot"], r["segment"]) for r in citing.foreign_citations(texts).orderBy("doc_id", "start").collect()]
+    assert got == [
+        ("sat", "T0262", 9, 1, "c", 19, False, None), ("print", "T0262", None, 6, "a", 23, False, None), ("sutta", "mn1", None, None, None, None, False, "1.1"),
+        ("print", "T0262", None, 6, "a", 23, False, None), ("print", "T0262", None, 27, "b", 1, True, None), ("sat", "T0262", None, 6, "a", 23, False, None),
+        ("sutta", "pli-tv-bu-vb-pj1", None, None, None, None, False, "2.3"), ("sutta", "sn22.51", None, None, None, None, False, "1.1"),
+    ]
     lines = frame(spark, [(f"u{n}", 9, 1, "a", n) for n in range(1, 30)] + [("other", 9, 1, "a", 7)], "urn string, volume int, page int, register string, line int")
     asked = frame(spark, [(1, 9, 1, "a", 3, False), (2, 9, 1, "a", 2, True), (3, 9, 1, "a", 7, False), (4, 9, 2, "a", 1, False)], "id int, volume int, page int, register string, line int, from_foot boolean")
     assert {r["id"]: (r["urn"], r["problem"]) for r in citing.address_to_urn(asked, lines).collect()} == {1: ("u3", None), 2: ("u28", None), 3: (None, "ambiguous"), 4: (None, "not_found")}

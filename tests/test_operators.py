@@ -133,6 +133,18 @@ def test_walks_stop(spark):
     edges = frame(spark, [("a", "b"), ("b", "c"), ("x", "y"), ("y", "x"), *((f"n{i}", f"n{i + 1}") for i in range(20))], "node string, up string")
     got = relations.walk_up(frame(spark, [("a",), ("x",), ("n0",)], "start string"), edges, 5)
     assert {(r["start"], r["node"], r["stopped"]) for r in got.where("stopped is not null").collect()} == {("a", "c", "end"), ("x", "y", "cycle"), ("n0", "n5", "limit")}
+    around = frame(spark, [("b", "a"), ("b", "z"), ("a", "b")], "node string, up string")
+    assert [r["node"] for r in relations.walk_up(frame(spark, [("a",)], "start string"), around).orderBy("hop").collect()] == ["a", "b", "z"]
+
+
+def test_conflicting_owners(spark):
+    rng = random.Random(2)
+    cases = [[(1, 0, 100), (2, 10, 20), (3, 15, 30)], [(1, 0, 100), (2, 5, 50), (1, 10, 20)], [(1, 0, 5), (2, 5, 9), (3, 7, 7)]]
+    cases += [[(rng.randrange(4), s := rng.randrange(30), s + rng.randrange(8)) for _ in range(rng.randrange(1, 9))] for _ in range(300)]
+    rows = [(i, *e) for i, c in enumerate(cases) for e in c]
+    got = {tuple(r) for r in evidence.conflicts(frame(spark, rows, "doc_id int, owner int, start int, end int")).collect()}
+    want = {(i, a[0]) for i, c in enumerate(cases) for a in c for b in c if a[0] != b[0] and a[1] < a[2] and b[1] < b[2] and a[1] < b[2] and b[1] < a[2]}
+    assert got == want
 
 
 def test_titles_and_dominance(spark):
