@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folium.functions import urn
 from folium.functions.text import query_ngrams, query_words, variants, words
-from folium.operators import lexical, segments
+from folium.operators import finding, lexical, segments
 from folium.plans.registry import query
 from folium.sources.tables import html_blocks, import_gate, latest_wins, table
 
@@ -36,6 +36,11 @@ def _segments(spark, d, *keep):
     return segments.segment_lines(table(spark, d, "documents"), keep)
 
 
+def _holding(spark, d, terms, *keep):
+    """Segments of the documents that hold any of the terms, for searches over texts that aren't stored cut."""
+    return segments.segment_lines(finding.holding(table(spark, d, "documents"), terms), keep)
+
+
 @query(f"""with {SEG} select doc_id, ordinal, line_no::bigint as line_no, sha256(content) as content_sha256, char_start,
   char_start + length(content) as char_end, byte_start, byte_start + strlen(content) as byte_end from s""")
 def segment_lines(spark, d):
@@ -85,35 +90,35 @@ def _hits_sql(terms: list[str], source: str = "s", limit: int = 20) -> str:
 
 @query(f"with {SEG} {_hits_sql([PHRASE])}")
 def phrase_search(spark, d):
-    return lexical.phrase_search(_segments(spark, d), PHRASE)
+    return lexical.phrase_search(_holding(spark, d, [PHRASE]), PHRASE)
 
 
 @query(f"with {SEG} {_hits_sql(query_ngrams(GRAMS))}")
 def ngram_search(spark, d):
-    return lexical.ngram_search(_segments(spark, d), GRAMS)
+    return lexical.ngram_search(_holding(spark, d, query_ngrams(GRAMS)), GRAMS)
 
 
 @query(f"with {SEG} {_hits_sql(query_words(WORDS))}")
 def word_ngram_search(spark, d):
-    return lexical.word_search(_segments(spark, d), WORDS)
+    return lexical.word_search(_holding(spark, d, query_words(WORDS)), WORDS)
 
 
 @query(f"with {SEG} {_hits_sql(variants(SPELLING))}")
 def variant_search(spark, d):
-    return lexical.variant_search(_segments(spark, d), SPELLING)
+    return lexical.variant_search(_holding(spark, d, variants(SPELLING)), SPELLING)
 
 
 @query(f"""with {SEG}, a as ({_hits_sql([PHRASE])}), b as ({_hits_sql(query_ngrams(ABSENT))})
   select 'found' as query, 'phrase' as mode, * from a union all select 'absent', 'ngram', * from b""")
 def auto_search(spark, d):
-    s = _segments(spark, d)
+    s = _holding(spark, d, [PHRASE, ABSENT, *query_ngrams(PHRASE), *query_ngrams(ABSENT)])
     found, absent = lexical.auto_search(s, PHRASE), lexical.auto_search(s, ABSENT)
     return found.withColumn("query", F.lit("found")).unionByName(absent.withColumn("query", F.lit("absent")))
 
 
 @query(f"with {SEG}, t as (select * from s where lang in ('en', 'es') and (source is null or source not in ('src0', 'src8'))) {_hits_sql([PHRASE], 't')}")
 def scoped_search(spark, d):
-    return lexical.phrase_search(lexical.Scope(langs=("en", "es"), exclude_sources=("src0", "src8")).apply(_segments(spark, d, "lang", "source")), PHRASE)
+    return lexical.phrase_search(lexical.Scope(langs=("en", "es"), exclude_sources=("src0", "src8")).apply(_holding(spark, d, [PHRASE], "lang", "source")), PHRASE)
 
 
 @query(f"""with {SEG}, h as (select * from s where contains(content, '{PHRASE}'))
@@ -122,7 +127,7 @@ union all select 'lang', lang, count(*), count(distinct doc_id) from h group by
 union all select 'source', source, count(*), count(distinct doc_id) from h group by source
 union all (select 'document', doc_id::varchar, count(*) as n, 1 from h group by doc_id order by n desc, doc_id limit 10)""")
 def survey_corpus(spark, d):
-    return lexical.survey(_segments(spark, d, "lang", "source"), PHRASE)
+    return lexical.survey(_holding(spark, d, [PHRASE], "lang", "source"), PHRASE)
 
 
 @query("""select conv_id, turn, count(*) over (partition by conv_id order by turn rows between 2 preceding and 1 preceding) as before,

@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folium.functions.text import query_words, words
-from folium.operators import lexical, segments, semantic
+from folium.operators import finding, lexical, segments, semantic
 from folium.plans.corpus import SEG, TOKENS, _hits_sql
 from folium.plans.registry import query
 from folium.sources.tables import table
@@ -72,14 +72,14 @@ ARMS = {"phrase": "the thing", "words": "the thing and an ing"}
 
 
 @query(f"""with {SEG}, p as ({_hits_sql([ARMS['phrase']], 's', 60)}), w as ({_hits_sql(query_words(ARMS['words']), 's', 60)}),
-a as (select doc_id * 100000 + ordinal as place, rank from p union all select doc_id * 100000 + ordinal, rank from w),
-f as (select place, round(sum(1.0::double / (60 + rank)), 9) as rrf_score from a group by place)
-select place, rrf_score, row_number() over (order by rrf_score desc, place) as rank from f""")
+a as (select doc_id, ordinal, rank from p union all select doc_id, ordinal, rank from w),
+f as (select doc_id, ordinal, round(sum(1.0::double / (60 + rank)), 9) as rrf_score from a group by all)
+select doc_id, ordinal, rrf_score, row_number() over (order by rrf_score desc, doc_id, ordinal) as rank from f""")
 def rrf_fuse(spark, d):
-    s = segments.segment_lines(table(spark, d, "documents"))
-    arm = lambda hits, name: hits.select(F.lit(0).alias("query_id"), F.lit(name).alias("arm"), (F.col("doc_id") * 100000 + F.col("ordinal")).alias("place"), "rank")
+    s = segments.segment_lines(finding.holding(table(spark, d, "documents"), [ARMS["phrase"], *query_words(ARMS["words"])]))
+    arm = lambda hits, name: hits.select(F.lit(0).alias("query_id"), F.lit(name).alias("arm"), F.struct("doc_id", "ordinal").alias("place"), "rank")
     arms = arm(lexical.phrase_search(s, ARMS["phrase"], 60), "phrase").union(arm(lexical.word_search(s, ARMS["words"], 60), "words"))
-    return semantic.rrf(arms, "place").drop("query_id")
+    return semantic.rrf(arms, "place").select("place.*", "rrf_score", "rank")
 
 
 @query(f"""with u as (select conv_id, turn, {TOKENS.format('text')} as q from conversations where role = 'user'),
@@ -104,7 +104,7 @@ select doc_id, rrf_score, rank as fused_rank, containment, row_number() over (or
 def hybrid_search(spark, d):
     """Phrase, word and vector arms, fused, then the 50 best reranked by containment of the query's words."""
     docs = table(spark, d, "documents")
-    s = segments.segment_lines(docs)
+    s = segments.segment_lines(finding.holding(docs, [ARMS["phrase"], *query_words(ARMS["words"])]))
     per_doc = lambda hits: hits.groupBy("doc_id").agg(F.min("rank").alias("rank"))
     vector = semantic.knn(_vectors(spark, d), _asked(spark, d, "vec_id = 0"), 60).select(F.col("vec_id").alias("doc_id"), "rank")
     arms = per_doc(lexical.phrase_search(s, ARMS["phrase"], 60)).union(per_doc(lexical.word_search(s, ARMS["words"], 60))).union(vector)

@@ -1,5 +1,6 @@
 """A session with the settings that the engine assumes."""
 
+import tempfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -20,3 +21,15 @@ def share_package(spark: SparkSession) -> None:
     root, env = str(Path(__file__).resolve().parent.parent), spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(x for x in (root, env.get("PYTHONPATH", "")) if x)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named in spark.checkpoint.dir. Where none is named, a session on one machine gets a folder of its own; on a
+    cluster that is an error, as executors would not share it."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named.rstrip("/")
