@@ -9,7 +9,7 @@ from folium.functions import urn
 from folium.functions.text import query_ngrams, query_words, variants, words
 from folium.operators import finding, lexical, segments
 from folium.plans.registry import query
-from folium.sources.tables import html_blocks, import_gate, latest_wins, table
+from folium.sources.tables import ENTITIES, html_blocks, import_gate, latest_wins, table
 
 PHRASE, GRAMS, WORDS, SPELLING = "and the", "thering", "on the thing and an ing", "cion"
 ABSENT = "the zzz and"
@@ -47,10 +47,14 @@ def segment_lines(spark, d):
     return _segments(spark, d).drop("content")
 
 
-@query(f"with {SEG} select count(*) as segments, 0::bigint as faults, count(distinct doc_id) as documents from s")
+@query(f"""with {SEG} select count(*) as segments, count(*) filter (where ordinal = 0 and doc_id % 10 = 3 or ordinal = 1 and doc_id % 10 = 4 or ordinal = 2 and doc_id % 10 = 5) as faults, count(distinct doc_id) as documents from s""")
 def segment_integrity(spark, d):
+    """Faults planted in contents, offsets and hashes, counted with the clean segments of all documents."""
     docs = table(spark, d, "documents")
+    at = lambda ordinal, rest: (F.col("ordinal") == ordinal) & (F.col("doc_id") % 10 == rest)
     s = segments.segment_lines(docs)
+    s = s.withColumn("content", F.when(at(0, 3), F.concat("content", F.lit("x"))).otherwise(F.col("content"))).withColumn("char_start", F.when(at(1, 4), F.col("char_start") + 1).otherwise(F.col("char_start")))
+    s = s.withColumn("content_sha256", F.when(at(2, 5), "-").otherwise(F.col("content_sha256")))
     faults = segments.segment_faults(s, docs).agg(F.count("*").alias("faults"))
     return s.agg(F.count("*").alias("segments"), F.count_distinct("doc_id").alias("documents")).crossJoin(faults).select("segments", "faults", "documents")
 
@@ -190,18 +194,28 @@ def fts_all_then_any(spark, d):
     return whole.union(some)
 
 
-@query(r"""select page_id, regexp_extract(coalesce(html, ''), '(?is)<title[^>]*>(.*?)</title>', 1) as title, len(regexp_extract_all(coalesce(html, ''), '(?i)<p[\s>]')) as n_paragraphs, len(regexp_extract_all(coalesce(html, ''), '(?i)<a\s')) as n_links from pages""")
+DECODED = r"regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<(script|style)\b.*?</(script|style)>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g')"
+for _entity, _character in ENTITIES.items():
+    DECODED = f"replace({DECODED}, '{_entity}', '{_character.replace(chr(39), chr(39) * 2)}')"
+
+
+@query(r"""select page_id, regexp_extract(coalesce(html, ''), '(?is)<title[^>]*>(.*?)</title>', 1) as title, len(regexp_extract_all(coalesce(html, ''), '(?i)<p[\s>]')) as n_paragraphs, len(regexp_extract_all(coalesce(html, ''), '(?i)<a\s')) as n_links,
+  trim(regexp_replace({DECODED}, '\s+', ' ', 'g')) as body from pages""".replace("{DECODED}", DECODED))
 def html_normalize(spark, d):
-    return html_blocks(table(spark, d, "pages")).drop("body")
+    return html_blocks(table(spark, d, "pages"))
 
 
-@query("""select case when vec_id % 7 = 0 then 'unknown_id' when vec_id % 11 = 0 then 'wrong_dims' when vec_id % 13 = 0 then 'sha_mismatch' else 'taken' end as reject, count(*) as n from embeddings group by 1""")
+@query("""select case when vec_id % 17 = 0 then 'malformed' when vec_id % 7 = 0 then 'unknown_id' when vec_id % 11 = 0 then 'wrong_dims' when vec_id % 13 = 0 then 'sha_mismatch' else 'taken' end as reject, count(*) as n from embeddings group by 1""")
 def jsonl_import_gate(spark, d):
     e = table(spark, d, "embeddings")
     sha = F.sha2(F.col("vec_id").cast("string").cast("binary"), 256)
     known = e.where("vec_id % 7 <> 0").select(F.col("vec_id").alias("id"), sha.alias("sha256"))
     rows = e.select(F.col("vec_id").alias("id"), F.when(F.expr("vec_id % 13 = 0"), F.lit("-")).otherwise(sha).alias("sha256"), F.when(F.expr("vec_id % 11 = 0"), F.slice("embedding", 1, 8)).otherwise(F.col("embedding")).alias("embedding"))
-    return import_gate(rows, known, 64).groupBy(F.coalesce("reject", F.lit("taken")).alias("reject")).agg(F.count("*").alias("n"))
+    # as JSON lines, some cut short, and back
+    lines = rows.select("id", F.to_json(F.struct("id", "sha256", "embedding")).alias("line")).select(F.when(F.expr("id % 17 = 0"), F.substring("line", 1, 9)).otherwise(F.col("line")).alias("line"))
+    read = lines.select(F.from_json("line", "id long, sha256 string, embedding array<float>", {"mode": "PERMISSIVE"}).alias("r")).select("r.*")
+    whole = import_gate(read.where("sha256 is not null"), known, 64)
+    return whole.unionByName(read.where("sha256 is null").select(F.col("id"), F.lit("malformed").alias("reject"))).groupBy(F.coalesce("reject", F.lit("taken")).alias("reject")).agg(F.count("*").alias("n"))
 
 
 @query("""select event_id, user_id, value from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as k from events) where k = 1""")

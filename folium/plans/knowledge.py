@@ -91,7 +91,7 @@ def asof_view(spark, d):
 
 # Citations of segments made from the documents themselves: every fifth quotes rightly, the others fail in a known way.
 CLAIMS = f"""{SEG}, u as (select doc_id, ordinal, source || ':' || doc_id || '@l' || line_no as urn, content from s),
-c as (select doc_id * 1000 + ordinal as claim_id, doc_id, ordinal, content, urn as right_urn,
+c as (select doc_id || '/' || ordinal as claim_id, doc_id, ordinal, content, urn as right_urn,
   case ordinal % 5 when 1 then 'no address' when 2 then urn || '9999' else urn end as urn,
   case ordinal % 5 when 3 then '' when 4 then left(content, 20) || '#' else left(content, 30) end as quote from u)"""
 
@@ -100,7 +100,7 @@ def _claims(spark, d):
     s = segments.addressed(segments.segment_lines(table(spark, d, "documents"), ("source",)))
     k = F.col("ordinal") % 5
     claim = s.select(
-        (F.col("doc_id") * 1000 + F.col("ordinal")).alias("claim_id"), "doc_id", F.when(k == 1, "no address").when(k == 2, F.concat("urn", F.lit("9999"))).otherwise(F.col("urn")).alias("urn"),
+        F.concat_ws("/", "doc_id", "ordinal").alias("claim_id"), "doc_id", F.when(k == 1, "no address").when(k == 2, F.concat("urn", F.lit("9999"))).otherwise(F.col("urn")).alias("urn"),
         F.when(k == 3, "").when(k == 4, F.concat(F.substring("content", 1, 20), F.lit("#"))).otherwise(F.substring("content", 1, 30)).alias("quote"),
     )
     return s, claim
@@ -121,7 +121,7 @@ g as (select doc_id, count(*) as checked, count(*) filter (where verdict not in
 select *, case when failed > 0 then 'failed' when existence_only = checked then 'existence_only' else 'verified' end as status from g""")
 def report_status(spark, d):
     s, claim = _claims(spark, d)
-    checked = evidence.verify(claim, s).withColumn("doc_id", F.expr("claim_id div 1000"))
+    checked = evidence.verify(claim, s).join(claim.select("claim_id", "doc_id"), "claim_id")
     return evidence.report_status(checked, "doc_id")
 
 
@@ -130,7 +130,7 @@ FOLD = "translate({}, 'éèóáàíúüß', 'eeoaaiuus')"
 
 
 @query(f"""with {SEG}, n as (select *, concat_ws('', lag(content) over w, content, lead(content) over w) as wide, lead(content) over w as ahead from s window w as (partition by doc_id order by ordinal)),
-q as (select doc_id * 1000 + ordinal as claim_id, doc_id, ordinal, content, wide, case ordinal % 6 when 0 then '...' when 1 then replace(left(content, 40), ' ', '. ') when 2 then {FOLD.format('left(content, 40)')}
+q as (select doc_id || '/' || ordinal as claim_id, doc_id, ordinal, content, wide, case ordinal % 6 when 0 then '...' when 1 then replace(left(content, 40), ' ', '. ') when 2 then {FOLD.format('left(content, 40)')}
   when 3 then right(content, 10) || left(coalesce(ahead, ''), 10) when 4 then coalesce(ahead, '-') else 'zzzz' || content end as quote from n)
 select claim_id, case when {STRIP.format('quote')} = '' then 'empty' when contains({STRIP.format('content')}, {STRIP.format('quote')}) then 'punctuation' when contains({FOLD.format('content')}, {FOLD.format('quote')}) then 'variant'
   when contains(wide, quote) then 'boundary' when exists (select 1 from s o where o.doc_id = q.doc_id and contains(o.content, quote)) then 'elsewhere' else 'absent' end as reason from q""")
@@ -144,7 +144,7 @@ def diagnose_quotes(spark, d):
         F.when(k == 0, "...").when(k == 1, F.replace(F.substring(c, 1, 40), F.lit(" "), F.lit(". "))).when(k == 2, fold(F.substring(c, 1, 40)))
         .when(k == 3, F.concat(F.right(c, F.lit(10)), F.substring(F.coalesce("ahead", F.lit("")), 1, 10))).when(k == 4, F.coalesce("ahead", F.lit("-"))).otherwise(F.concat(F.lit("zzzz"), c))
     )
-    failed = s.withColumn("ahead", ahead).select((F.col("doc_id") * 1000 + F.col("ordinal")).alias("claim_id"), "doc_id", "ordinal", quote.alias("quote"))
+    failed = s.withColumn("ahead", ahead).select(F.concat_ws("/", "doc_id", "ordinal").alias("claim_id"), "doc_id", "ordinal", quote.alias("quote"))
     return evidence.diagnose(failed, s)
 
 
@@ -216,7 +216,8 @@ def glossary_pins(spark, d):
 READINGS = {"ing": "ING", "the": "THE", "th": "TH", "tion": "TION", "e": "E", "ción": "CION"}
 
 
-@query()
+@query(f"""with r as (select doc_id, regexp_extract_all(coalesce(text, ''), '(?s)' || '{"|".join(sorted(READINGS, key=len, reverse=True))}' || '|.') as w, map({list(READINGS)}, {list(READINGS.values())}) as m from documents)
+select doc_id, len(list_filter(w, lambda x: m[x] is not null))::bigint as known, len(list_filter(w, lambda x: m[x] is null))::bigint as unknown, coalesce(array_to_string(list_transform(w, lambda x: coalesce(m[x], x)), ''), '') as reading from r""")
 def readings_longest_match(spark, d):
     return renderings.longest_match(table(spark, d, "documents").select("doc_id", "text"), READINGS)
 

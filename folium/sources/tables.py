@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -11,13 +11,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Entities of markup and their characters; an ampersand last, so that none is decoded twice.
+ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&mdash;": "\u2014", "&amp;": "&"}
+
+
+def decoded(text: Column) -> Column:
+    """Text with its entities as characters."""
+    for entity, character in ENTITIES.items():
+        text = F.replace(text, F.lit(entity), F.lit(character))
+    return text
+
+
 def html_blocks(pages: DataFrame) -> DataFrame:
-    """page_id, title, n_paragraphs, n_links, body: the text of a page without its markup."""
+    """page_id, title, n_paragraphs, n_links, body: the text of a page without its markup, its entities decoded."""
     count = lambda pattern: F.regexp_count(F.coalesce("html", F.lit("")), F.lit(pattern)).cast("long")
     bare = F.regexp_replace(F.regexp_replace(F.coalesce("html", F.lit("")), r"(?is)<(script|style)\b.*?</(script|style)>", " "), r"(?s)<[^>]*>", " ")
     return pages.select(
         "page_id", F.regexp_extract(F.coalesce("html", F.lit("")), r"(?is)<title[^>]*>(.*?)</title>", 1).alias("title"), count(r"(?i)<p[\s>]").alias("n_paragraphs"), count(r"(?i)<a\s").alias("n_links"),
-        F.trim(F.regexp_replace(bare, r"\s+", " ")).alias("body"),
+        F.trim(F.regexp_replace(decoded(bare), r"\s+", " ")).alias("body"),
     )
 
 
