@@ -162,9 +162,7 @@ def train(documents: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Mi
 
     chosen = documents.select("doc_id", "text").join(F.broadcast(marks), "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), "toxic", "text")
     bags = stored(chosen.mapInArrow(worded, "doc_id long, toxic int, content long, words array<long>, contexts array<long>, sentences array<long>"), "toxic-bags")
-    # at most a row for each text of the sample
-    copies = bags.groupBy("content", "toxic").agg(F.count("*").alias("copies"))
-    total = copies.agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).first()
+    total = bags.groupBy("content", "toxic").count().agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).first()
     n, t = total["n"], total["t"] or 0
     if not n or not t or t == n:
         return Mil()
@@ -183,28 +181,27 @@ def train(documents: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Mi
         """Per document its sentences, and of those with vocabulary words how many they have and which, as bytes: what reaches
         the driver is bounded by the sample and small."""
         for frame in batches:
-            out = {"doc_id": [], "content": [], "toxic": [], "copies": [], "n_sentences": [], "sizes": [], "word": []}
-            for doc_id, content, toxic, copies, ws, ss in zip(*(frame[c] for c in ("doc_id", "content", "toxic", "copies", "words", "sentences")), strict=True):
+            out = {"doc_id": [], "content": [], "toxic": [], "n_sentences": [], "sizes": [], "word": []}
+            for doc_id, content, toxic, ws, ss in zip(*(frame[c] for c in ("doc_id", "content", "toxic", "words", "sentences")), strict=True):
                 known = model.find(np.asarray(ws, np.int64).view(np.uint64))
                 ss = np.asarray(ss, np.int64)
                 pair = np.unique(ss[known >= 0] * len(words) + known[known >= 0])
                 out["doc_id"].append(doc_id)
                 out["content"].append(content)
                 out["toxic"].append(toxic)
-                out["copies"].append(copies)
                 out["n_sentences"].append(len(np.unique(ss)))
                 out["sizes"].append(np.unique(pair // len(words), return_counts=True)[1].astype(np.uint16).tobytes())
                 out["word"].append((pair % len(words)).astype(np.uint16).tobytes())
             yield type(frame)(out)
 
-    weighed = bags.join(copies, ["content", "toxic"])
-    got = weighed.mapInPandas(reduced, "doc_id long, content long, toxic int, copies long, n_sentences long, sizes binary, word binary").toPandas().sort_values(["doc_id", "content", "n_sentences"], kind="stable")
+    got = bags.mapInPandas(reduced, "doc_id long, content long, toxic int, n_sentences long, sizes binary, word binary").toPandas().sort_values(["doc_id", "content", "n_sentences"], kind="stable")
+    copies = got.groupby(["content", "toxic"])["doc_id"].transform("size")
     sizes = np.frombuffer(b"".join(got["sizes"]), np.uint16)
     word = np.frombuffer(b"".join(got["word"]), np.uint16)
     with_words = np.array([len(x) // 2 for x in got["sizes"]])
     sentence = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
     doc = np.repeat(np.arange(len(got), dtype=np.int32), with_words)[sentence]
-    model.weights, model.bias = fit_mil(doc, sentence, word, got["n_sentences"].to_numpy() - with_words, got["toxic"].to_numpy(dtype=float), 1 / got["copies"].to_numpy(dtype=float), len(words))
+    model.weights, model.bias = fit_mil(doc, sentence, word, got["n_sentences"].to_numpy() - with_words, got["toxic"].to_numpy(dtype=float), 1 / copies.to_numpy(dtype=float), len(words))
     model.rows = len(got)
     return model
 
