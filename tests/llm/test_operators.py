@@ -479,6 +479,30 @@ def test_search_against_brute_force(spark, odd, empty, monkeypatch):
     assert search.search(odd, odd.selectExpr("doc_id as query_id", "text")).count() > 0
 
 
+def test_search_skips_blocks_and_finds_the_same():
+    """Documents about one of many things: once bounds are known, most blocks are skipped for a query."""
+    rng = np.random.default_rng(3)
+    texts = []
+    for topic in range(40):
+        own = [f"topic{topic}word{k}" for k in range(60)]
+        texts += [" ".join([*rng.choice(own, 50), *rng.choice(["the", "of", "and", "to"], 30)]) for _ in range(64)]
+    doc, term, times, size = search.term_bag(pa.array(texts))
+    asked = [np.unique(term[doc == i]) for i in range(0, len(texts), 50)]
+    q = search.QueryBlock(asked)
+    at, pos, n = q.find(doc, term, times)
+    df = np.bincount(pos, minlength=len(q.terms))
+    q.idf, q.mean = np.log1p((len(texts) - df + 0.5) / (df + 0.5)), size.mean()
+    shard = search.Shard(q, at, pos, n, size, np.arange(len(texts)))
+    every = np.arange(len(texts))
+    want = [search.best(every, shard.score(t, every), 10) for t in q.of]
+    floor = np.array([s[-1] for _, s in want])
+    got = dict(shard.candidates(q.of, floor, 10))
+    for k, (ids, scores) in enumerate(want):
+        live = got[k]
+        assert (search.best(live, shard.score(q.of[k], live), 10)[0] == ids).all()
+    assert shard.looked_into < 0.1 * shard.pairs
+
+
 # 4 mixing, 7 fingerprints, 9 licenses
 
 
