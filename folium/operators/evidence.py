@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,6 +12,8 @@ from folium.functions.text import fold, strip_punctuation
 
 CITATION = r"[a-z]+\d*:\d+@l\d+(?:-l\d+)?"
 MOST_BYTES = 200_000
+#: Characters of the longest quotation that a citation takes.
+MOST_QUOTED = 400
 
 
 def extract(text: Column) -> Column:
@@ -67,3 +71,46 @@ def report_status(checked: DataFrame, key: str) -> DataFrame:
     n = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("long")
     rows = checked.groupBy(key).agg(F.count("*").alias("checked"), n(~F.col("verdict").isin("ok", "existence_only")).alias("failed"), n(F.col("verdict") == "existence_only").alias("existence_only"))
     return rows.withColumn("status", F.when(F.col("failed") > 0, "failed").when(F.col("existence_only") == F.col("checked"), "existence_only").otherwise("verified"))
+
+
+#: Pairs of quotation marks, and of brackets around a citation.
+QUOTES = {'"': '"', "“": "”", "「": "」", "『": "』"}
+BRACKETS = {"(": ")", "[": "]", "（": "）"}
+OCCURRENCES = "array<struct<urn:string,byte_start:long,byte_end:long,quoted:string,quote_start:long,quote_end:long,wrapped:boolean,unpaired:boolean>>"
+
+
+def _occurrences(text: str | None) -> list[dict]:
+    """Every citation of a text with its place in bytes, the quotation right before it, and whether brackets enclose it."""
+    text, out, byte = text or "", [], [0]
+    for c in text:
+        byte.append(byte[-1] + len(c.encode()))
+    for m in re.finditer(CITATION, text):
+        start, end = m.span()
+        opened = text[start - 1 : start] in BRACKETS and start > 0
+        closed = text[end : end + 1] in BRACKETS.values() and end < len(text)
+        wrapped = opened and closed and BRACKETS[text[start - 1]] == text[end]
+        before = (text[: start - 1] if opened else text[:start]).rstrip(" ")
+        quote = None
+        if before and before[-1] in QUOTES.values():
+            opening = next(a for a, b in QUOTES.items() if b == before[-1])
+            at = before.rfind(opening, 0, len(before) - 1)
+            if 0 <= at and 0 < len(before) - at - 2 <= MOST_QUOTED:
+                quote = at + 1, len(before) - 1
+        out.append({"urn": m[0], "byte_start": byte[start], "byte_end": byte[end], "quoted": text[slice(*quote)] if quote else None, "quote_start": byte[quote[0]] if quote else None, "quote_end": byte[quote[1]] if quote else None, "wrapped": wrapped, "unpaired": (opened or closed) and not wrapped})
+    return out
+
+
+def occurrences(texts: DataFrame) -> DataFrame:
+    """doc_id, urn, byte_start, byte_end, quoted, quote_start, quote_end, wrapped, unpaired: each citation in each text (doc_id, text).
+
+    Offsets in bytes and pairs of marks are sequential within a text, so texts go in Arrow batches."""
+    found = F.pandas_udf(lambda t: t.map(_occurrences), OCCURRENCES)
+    return texts.select("doc_id", F.explode(found("text")).alias("o")).select("doc_id", "o.*")
+
+
+def evidence_roles(foreign: DataFrame, quotes: DataFrame) -> DataFrame:
+    """doc_id, start, role of foreign citations (doc_id, start, end, urn): literal inside a quotation (doc_id, quote_start, quote_end), else
+    unresolved without an address, else unchecked."""
+    inside = foreign.join(quotes.where("quote_start is not null").select("doc_id", "quote_start", "quote_end"), "doc_id").where("start >= quote_start and end <= quote_end").select("doc_id", "start", F.lit(True).alias("inside")).distinct()
+    role = F.when(F.col("inside"), "literal").when(F.col("urn").isNull(), "unresolved").otherwise("unchecked")
+    return foreign.join(inside, ["doc_id", "start"], "left").select("doc_id", "start", role.alias("role"))

@@ -34,6 +34,11 @@ def set_digest(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
     return level.agg(F.sum("n").alias("n"), join(F.struct("bucket", "h")).alias("digest"))
 
 
+def stamped(rows: DataFrame, **identity: str) -> DataFrame:
+    """rows under the identities of what they come from, such as bake_id and release_id, as their last columns."""
+    return rows.select("*", *[F.lit(v).alias(k) for k, v in identity.items()])
+
+
 def drift(before: DataFrame, after: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """key, change (added, removed, changed) between two states of a table."""
     a = before.select(key, row_digest(key, *columns).alias("old"))

@@ -29,6 +29,14 @@ def exact_or_covering(anchors: DataFrame, points: DataFrame, ranges: DataFrame)
     return exact.union(wide).withColumn("_at", place).where("_at = 1").select("text_id", "ordinal", "rendering", F.when(F.col("how") == 0, "exact").otherwise("covering").alias("how"))
 
 
+def addressed_renderings(asked: DataFrame, rows: DataFrame) -> DataFrame:
+    """address, text, found, citable_as_source of asked addresses "anchor#lang.translator" in renderings (anchor, lang, translator, text): a
+    rendering is never a source."""
+    place = F.split_part("address", F.lit("#"), F.lit(2))
+    want = asked.select("address", F.split_part("address", F.lit("#"), F.lit(1)).alias("anchor"), F.split_part(place, F.lit("."), F.lit(1)).alias("lang"), F.split_part(place, F.lit("."), F.lit(2)).alias("translator"))
+    return want.join(rows, ["anchor", "lang", "translator"], "left").select("address", "text", F.col("text").isNotNull().alias("found"), F.lit(False).alias("citable_as_source"))
+
+
 def divergent(terms: DataFrame, least: int = 2) -> DataFrame:
     """term, renderings, entries, list of terms that are rendered in `least` or more ways (term, rendering)."""
     rows = terms.groupBy("term").agg(F.count_distinct("rendering").alias("renderings"), F.count("*").alias("entries"), F.array_join(F.sort_array(F.collect_set("rendering")), ",").alias("list"))

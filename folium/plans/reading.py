@@ -82,3 +82,69 @@ def anchored_lines(spark, d):
     value = _text("[", anchor, "] ", F.when(F.col("k") == 1, _text("{D", F.col("s_suppkey"), "}")).otherwise(""), "line ", F.col("k"), " of ", F.col("s_name"))
     rows = s.select(F.col("s_suppkey").alias("volume"), (F.col("s_suppkey") * 3 + F.col("k")).alias("line_no"), value.alias("value"))
     return tables.anchored_text(rows).select("volume", "line_no", "work", "anchor", "text")
+
+
+@query("""with t as (select p_partkey as doc_id, 'né ' || p_name || ' "' || p_type || '" (src' || p_size || ':' || p_partkey || '@l1-l2), then src1:' || p_partkey || '@l7] end' as text, 'src' || p_size || ':' || p_partkey || '@l1-l2' as a, 'src1:' || p_partkey || '@l7' as b from part)
+select doc_id, a as urn, strlen(p_name || p_type) + 9::bigint as byte_start, strlen(p_name || p_type || a) + 9::bigint as byte_end, p_type as quoted, strlen(p_name) + 6::bigint as quote_start, strlen(p_name || p_type) + 6::bigint as quote_end, true as wrapped, false as unpaired from t join part on doc_id = p_partkey
+union all select doc_id, b, strlen(p_name || p_type || a) + 17, strlen(p_name || p_type || a || b) + 17, null, null, null, false, true from t join part on doc_id = p_partkey""")
+def citation_occurrences(spark, d):
+    """Places in bytes of citations, with quotations and brackets; the SQL counts them from the parts."""
+    from folium.operators import evidence
+
+    k, size = F.col("p_partkey"), F.col("p_size")
+    text = _text("né ", F.col("p_name"), ' "', F.col("p_type"), '" (src', size, ":", k, "@l1-l2), then src1:", k, "@l7] end")
+    return evidence.occurrences(table(spark, d, "part").select(k.alias("doc_id"), text.alias("text")))
+
+
+@query("""with f as (select l_orderkey as doc_id, l_linenumber * 10 as start, l_linenumber * 10 + 4 as "end", case when l_quantity > 20 then 'u' end as urn from lineitem), q as (select o_orderkey as doc_id, o_custkey % 50 as quote_start, o_custkey % 50 + 25 as quote_end from orders)
+select doc_id, start, case when exists (select 1 from q where q.doc_id = f.doc_id and f.start >= quote_start and f."end" <= quote_end) then 'literal' when urn is null then 'unresolved' else 'unchecked' end as role from f""")
+def foreign_evidence_roles(spark, d):
+    from folium.operators import evidence
+
+    at = F.col("l_linenumber") * 10
+    f = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), at.alias("start"), (at + 4).alias("end"), F.when(F.col("l_quantity") > 20, "u").alias("urn"))
+    q = table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), (F.col("o_custkey") % 50).alias("quote_start"), (F.col("o_custkey") % 50 + 25).alias("quote_end"))
+    return evidence.evidence_roles(f, q)
+
+
+@query("""with r as (select 'src:' || p_partkey || '@l1' as anchor, case when p_size % 2 = 0 then 'en' else 'de' end as lang, 'hand' || p_size % 5 as translator, p_type as text from part), a as (select 'src:' || p_partkey || '@l1#en.hand' || p_size % 5 as address, 'src:' || p_partkey || '@l1' as anchor, 'en' as lang, 'hand' || p_size % 5 as translator from part)
+select address, text, text is not null as found, false as citable_as_source from a left join r using (anchor, lang, translator)""")
+def rendering_addresses(spark, d):
+    from folium.operators import renderings
+
+    p = table(spark, d, "part")
+    anchor, hand = _text("src:", F.col("p_partkey"), "@l1"), _text("hand", F.col("p_size") % 5)
+    rows = p.select(anchor.alias("anchor"), F.when(F.col("p_size") % 2 == 0, "en").otherwise("de").alias("lang"), hand.alias("translator"), F.col("p_type").alias("text"))
+    return renderings.addressed_renderings(p.select(F.concat(anchor, F.lit("#en."), hand).alias("address")), rows)
+
+
+@query("""with l as (select 'w' || l_suppkey % 80 as work, case when l_suppkey % 80 = 7 and l_linenumber = 3 then 'other' else 'T' end as canon, l_linenumber::bigint as volume, l_orderkey as line_no, l_partkey % 6 as juan from lineitem)
+select work, volume, row_number() over (partition by work order by volume, line_no) - 1 as ordinal, (select count(distinct juan) from l m where m.work = l.work) as n_juan from l where work not in (select work from l group by work having count(distinct canon) > 1)""")
+def volumes_joined(spark, d):
+    work = _text("w", F.col("l_suppkey") % 80)
+    canon = F.when((F.col("l_suppkey") % 80 == 7) & (F.col("l_linenumber") == 3), "other").otherwise("T")
+    lines = table(spark, d, "lineitem").select(work.alias("work"), canon.alias("canon"), F.col("l_linenumber").cast("long").alias("volume"), F.col("l_orderkey").alias("line_no"), (F.col("l_partkey") % 6).alias("juan"))
+    return tables.volumes_joined(lines)
+
+
+@query("""select n_name, 'b1' as bake_id, 'r1' as release_id from nation""")
+def identity_columns(spark, d):
+    from folium.operators import identity
+
+    return identity.stamped(table(spark, d, "nation").select("n_name"), bake_id="b1", release_id="r1")
+
+
+@query("""select case when o_custkey % 5 = 0 then 'undated' when o_custkey % 7 = 0 then 'without basis' else year(o_orderdate)::varchar end as dated, count(*) as works, count(*) filter (where o_custkey % 3 = 0) as placed from orders group by 1""")
+def coverage_dated(spark, d):
+    """How many works are dated, and with what ground."""
+    k = F.col("o_custkey")
+    dated = F.when(k % 5 == 0, "undated").when(k % 7 == 0, "without basis").otherwise(F.year("o_orderdate").cast("string"))
+    return table(spark, d, "orders").groupBy(dated.alias("dated")).agg(F.count("*").alias("works"), F.count_if(k % 3 == 0).alias("placed"))
+
+
+@query("""select coalesce(lang, '-') as lang, count(*) as texts, count(*) filter (where not exists (select 1 from embeddings where vec_id = doc_id)) as stranded, count(*) filter (where not exists (select 1 from labels l where l.doc_id = d.doc_id)) as unlabelled from documents d group by 1""")
+def coverage_stranded(spark, d):
+    """Texts that no vector, and no label, was made for."""
+    docs, v, lab = table(spark, d, "documents").select("doc_id", "lang"), table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.lit(1).alias("v")), table(spark, d, "labels").select("doc_id", F.lit(1).alias("l")).distinct()
+    rows = docs.join(v, "doc_id", "left").join(lab, "doc_id", "left")
+    return rows.groupBy(F.coalesce("lang", F.lit("-")).alias("lang")).agg(F.count("*").alias("texts"), F.count_if(F.col("v").isNull()).alias("stranded"), F.count_if(F.col("l").isNull()).alias("unlabelled"))

@@ -59,6 +59,14 @@ def glossary_markdown(lines: DataFrame) -> DataFrame:
     return rows.select("file", "line_no", "category", "term", F.trim(F.regexp_replace("cell", r"\*\*not\*\*\s+\"[^\"]*\",?", "")).alias("rendering"), F.regexp_extract_all("cell", F.lit(r"\*\*not\*\*\s+\"([^\"]*)\""), F.lit(1)).alias("rejected"))
 
 
+def volumes_joined(lines: DataFrame) -> DataFrame:
+    """work, volume, ordinal, n_juan of lines (work, canon, volume, line_no, juan) of works in several volumes: numbered over the volumes, with
+    the count of different juan; a work whose volumes name several canons is refused."""
+    per = lines.groupBy("work").agg(F.count_distinct("canon").alias("canons"), F.count_distinct("juan").alias("n_juan")).where("canons = 1").drop("canons")
+    place = F.row_number().over(W.partitionBy("work").orderBy("volume", "line_no"))
+    return lines.join(per, "work").select("work", "volume", (place - 1).cast("long").alias("ordinal"), "n_juan")
+
+
 def file_census(spark: SparkSession, folder: str) -> DataFrame:
     """path, bytes, sha256 of the files of a folder."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
