@@ -44,3 +44,13 @@ def test_run_returns_the_last_stage(spark, tmp_path):
     corpus(spark, folder)
     got = corpus_pipeline.run(spark, folder).collect()
     assert got and all(0 <= r["offset"] < 1024 and 0 < r["length"] <= 1024 for r in got)
+
+
+def test_empty_tables_and_tables_without_labels(spark, tmp_path):
+    folder = str(tmp_path / "none")
+    spark.createDataFrame([], SCHEMA).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    assert corpus_pipeline.run(spark, folder).count() == 0
+    docs = spark.createDataFrame(rows([prose(i, 50) for i in range(6)], ids=[1, 1, -2, None, 4, 5]), SCHEMA)
+    assert corpus_pipeline.good_quality(spark, docs, folder).count() == 6
+    assert corpus_pipeline.one_of_each(spark, docs, folder).count() == 6
