@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folium.functions.text import fold, strip_punctuation
+from folium.operators.reuse import find_passages
 
 CITATION = r"[a-z]+\d*:\d+@l\d+(?:-l\d+)?"
 MOST_BYTES = 200_000
@@ -47,6 +48,16 @@ def diagnose(failed: DataFrame, segments: DataFrame) -> DataFrame:
     return both.join(anywhere, "claim_id", "left").select("claim_id", reason.alias("reason"))
 
 
+def misplaced(quotes: DataFrame, segments: DataFrame, shortest: int = 12) -> DataFrame:
+    """quote_id, reason, doc_id, ordinal of quotes (quote_id, quote) that their own address doesn't hold: wrong_address with the first place in
+    the corpus that does, not_found, or too_short to look for. Places are met by the quote's first characters, not by comparing all."""
+    long = quotes.where(F.length("quote") >= shortest).select(F.col("quote_id").alias("item_id"), F.col("quote").alias("text"))
+    held = segments.select(F.struct("doc_id", "ordinal").alias("doc_id"), F.col("content").alias("text"))
+    first = find_passages(long, held, shortest).groupBy(F.col("item_id").alias("quote_id")).agg(F.min("doc_id").alias("place"))
+    reason = F.when(F.length("quote") < shortest, "too_short").when(F.col("place").isNull(), "not_found").otherwise("wrong_address")
+    return quotes.join(first, "quote_id", "left").select("quote_id", reason.alias("reason"), "place.doc_id", "place.ordinal")
+
+
 def conflicts(edits: DataFrame) -> DataFrame:
     """doc_id, owner: every owner of whose edit intervals [start, end) one overlaps another owner's. Empty intervals overlap none.
 

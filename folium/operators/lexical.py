@@ -21,9 +21,11 @@ class Scope:
     sources: tuple[str, ...] = ()
     exclude_sources: tuple[str, ...] = ()
     doc_ids: tuple[int, ...] = ()
+    #: Any other columns and the values wanted of each, such as origin, role, division, work or witness.
+    columns: tuple[tuple[str, tuple], ...] = ()
 
     def apply(self, rows: DataFrame) -> DataFrame:
-        for column, wanted in (("lang", self.langs), ("source", self.sources), ("doc_id", self.doc_ids)):
+        for column, wanted in (("lang", self.langs), ("source", self.sources), ("doc_id", self.doc_ids), *self.columns):
             if wanted:
                 rows = rows.where(F.col(column).isin(*wanted))
         if self.exclude_sources:

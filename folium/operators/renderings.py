@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from folium.functions.text import ngrams
+
 
 def select_rendering(pool: DataFrame, tiers: list[str]) -> DataFrame:
     """anchor, hand, tier, alternatives: per anchor the rendering of the best tier (in the given order), then by name."""
@@ -59,6 +61,14 @@ def pins(terms: DataFrame) -> DataFrame:
     return counts.withColumn("_at", place).where("_at = 1").drop("_at")
 
 
+def pins_for(texts: DataFrame, fixed: DataFrame, key: int = 3) -> DataFrame:
+    """text_id, term, rendering: the pinned terms (term, rendering) of at least `key` characters that a text (text_id, text) holds, met by their
+    first characters."""
+    grams = texts.select("text_id", "text", F.explode(F.array_distinct(ngrams(F.col("text"), key))).alias("gram"))
+    named = fixed.where(F.length("term") >= key).select("term", "rendering", F.substring("term", 1, key).alias("gram"))
+    return grams.join(named, "gram").where(F.contains("text", "term")).select("text_id", "term", "rendering")
+
+
 def longest_match(texts: DataFrame, readings: dict[str, str], most: int = 8) -> DataFrame:
     """doc_id, known, unknown, reading: greedy longest match from the left over a reading dictionary of forms up to `most`
     characters; a character without a reading stands for itself. Greedy matching is sequential, so it runs on Arrow batches."""

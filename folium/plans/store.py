@@ -427,3 +427,43 @@ def bake_ids(spark, d):
     """The identity of a build: a digest of its lock, version and configuration as JSON with sorted keys."""
     config = F.to_json(F.struct(F.array(F.lit("en"), F.lit("pi")).alias("languages"), F.col("n_nationkey").alias("limit"), F.md5(F.col("n_name").cast("binary")).alias("lock"), F.lit("1").alias("version")))
     return table(spark, d, "nation").select("n_nationkey", F.sha2(config.cast("binary"), 256).alias("bake_id"))
+
+
+@query(f"with {SEG} {_hits_sql([PHRASE], '(select * from s where doc_id in (select doc_id from documents where doc_id % 4 = 1))')}")
+def scope_by_columns(spark, d):
+    """A scope over a column of the catalogue, here a division of the texts."""
+    docs = table(spark, d, "documents").withColumn("division", F.when(F.col("doc_id") % 4 == 1, "first").otherwise("other"))
+    s = segments.segment_lines(finding.holding(docs, [PHRASE]), ("division",))
+    return lexical.phrase_search(lexical.Scope(columns=(("division", ("first",)),)).apply(s), PHRASE)
+
+
+@query(f"""with {SEG}, h as (select doc_id, ordinal, content, length(content) as size from s where contains(content, 'the') and (contains(content, ' is ') or contains(content, ' was ')))
+select doc_id, ordinal, content, row_number() over (order by size, doc_id, ordinal) as rank from h qualify rank <= 20""")
+def define_term(spark, d):
+    """Lines in which a term stands with a formula of definition."""
+    from folium.tools import Research
+
+    s = segments.segment_lines(finding.holding(table(spark, d, "documents"), ["the"]))
+    return Research(finding.Corpus(s, s)).define_from_canon("the", (" is ", " was "))
+
+
+@query(f"""with {SEG}, q as (select item_id as quote_id, case item_id % 3 when 0 then split_part(text, '. ', 2) when 1 then left(text, 5) else 'zz' || left(text, 20) end as quote from benchmark),
+p as (select quote_id, min((s.doc_id, s.ordinal)) as place from q join s on length(quote) >= 12 and contains(s.content, quote) group by 1)
+select quote_id, case when length(quote) < 12 then 'too_short' when place is null then 'not_found' else 'wrong_address' end as reason, place[1] as doc_id, place[2] as ordinal from q left join p using (quote_id)""")
+def quotes_misplaced(spark, d):
+    from folium.operators import evidence
+
+    k = F.col("item_id") % 3
+    quote = F.when(k == 0, F.split_part("text", F.lit(". "), F.lit(2))).when(k == 1, F.substring("text", 1, 5)).otherwise(F.concat(F.lit("zz"), F.substring("text", 1, 20)))
+    return evidence.misplaced(table(spark, d, "benchmark").select(F.col("item_id").alias("quote_id"), quote.alias("quote")), segments.segment_lines(table(spark, d, "documents")))
+
+
+@query("""with p as (select distinct p_name as term, min(p_type) over (partition by p_name) as rendering from part), t as (select o_orderkey as text_id, 'about ' || p_name || ' and ' || o_clerk as text from orders join part on o_custkey = p_partkey)
+select text_id, term, rendering from t join p on contains(text, term) and length(term) >= 3""".replace("o_clerk", "o_orderpriority"))
+def pins_for_texts(spark, d):
+    from folium.operators import renderings
+
+    part = table(spark, d, "part")
+    pinned = part.groupBy(F.col("p_name").alias("term")).agg(F.min("p_type").alias("rendering"))
+    texts = table(spark, d, "orders").join(part, F.col("o_custkey") == F.col("p_partkey")).select(F.col("o_orderkey").alias("text_id"), F.concat(F.lit("about "), F.col("p_name"), F.lit(" and "), F.col("o_orderpriority")).alias("text"))
+    return renderings.pins_for(texts, pinned)
