@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folium.session import share_package
+from folium.session import share_package, shared_folder
 
 #: Text bytes that one Arrow batch carries to a Python worker; bounds the worker's memory.
 ARROW_BATCH = str(8 << 20)
@@ -41,16 +40,8 @@ def sampled(rows: DataFrame, key: Column, most: int, salt: str) -> DataFrame:
     return rows.where(F.pmod(F.xxhash64(F.lit(salt), key), F.lit(1 << 30)) < int((1 << 30) * most / n))
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir. Where none is named, a session on one machine gets a folder of its own;
-    on a cluster that is an error, as executors would not share it."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        named = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
+#: The shared folder for written tables.
+checkpoint_dir = shared_folder
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

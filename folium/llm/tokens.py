@@ -9,6 +9,7 @@ go through `tokenizers` itself. Both files are parameters.
 from __future__ import annotations
 
 import base64
+import logging
 import os
 from dataclasses import dataclass, field
 
@@ -64,6 +65,7 @@ def encode(v: Vocabulary, text: str | None) -> np.ndarray:
         except BaseException as e:  # the encoder panics on some very long runs
             if isinstance(e, (KeyboardInterrupt, SystemExit)):
                 raise
+            logging.getLogger(__name__).warning("a text of %d characters goes through the exact encoder: %s", len(text), type(e).__name__)
     return np.array(exact.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
