@@ -129,17 +129,16 @@ def locate_edits(before: DataFrame, after: DataFrame) -> DataFrame:
 def _ranges(rows: DataFrame) -> Column:
     """A column that numbers ranges in the order of the rows (doc_id descending, nulls last, then hash), each of about RANGE_ROWS rows."""
     q = sorted(set(rows.agg(F.percentile_approx("doc_id", [k / BANDS for k in range(BANDS + 1)], 2000)).first()[0] or []))
+    id_, known = F.col("doc_id"), F.array(*[F.lit(x).cast("long") for x in q]) if q else F.array().cast("array<long>")
     # kinds of rows in descending order of doc_id: an id that is a quantile, the ids between two, no id
-    id_, kind = F.col("doc_id"), F.lit(2 * len(q) + 1)
-    for k, value in enumerate(q):
-        at = 2 * (len(q) - k)
-        kind = F.when(id_ == value, at).when(id_ > value, at - 1).otherwise(kind)
-    counts = dict(rows.groupBy(kind.alias("kind")).count().collect())  # at most 2 * BANDS + 3 rows
-    share, n = (F.conv(F.substring("hash", 1, 8), 16, 10).cast("double") / (1 << 32)), F.lit(1)
-    for k in range(len(q) - 1):
-        share = F.when((id_ > q[k]) & (id_ < q[k + 1]), (F.lit(q[k + 1]) - id_).cast("double") / (q[k + 1] - q[k])).otherwise(share)
-    for at, count in counts.items():
-        n = F.when(kind == at, -(-count // RANGE_ROWS)).otherwise(n)
+    upto = F.size(F.filter(known, lambda x: x <= id_))
+    alone = F.array_contains(known, id_)
+    kind = F.when(id_.isNull(), 2 * len(q) + 2).otherwise(2 * (len(q) - upto) + 1 + alone.cast("int"))
+    counts = dict(rows.groupBy(kind.alias("kind")).count().collect())  # at most 2 * BANDS + 4 rows
+    n = F.get(F.array(*[F.lit(max(1, -(-counts.get(k, 0) // RANGE_ROWS))) for k in range(2 * len(q) + 3)]), kind)
+    low, high = F.get(known, upto - 1), F.get(known, upto)
+    between = F.coalesce((high - id_).cast("double") / (high - low), F.lit(0.0))
+    share = F.when(id_.isNull() | alone, F.conv(F.substring("hash", 1, 8), 16, 10).cast("double") / (1 << 32)).otherwise(between)
     return kind.cast("long") * (1 << 40) + F.least(F.floor(share * n), n.cast("long") - 1)
 
 
