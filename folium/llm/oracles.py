@@ -60,3 +60,63 @@ select e.doc_id, e.n_chars, sha256(e.edited) as edited_sha256,
   case when len(f.own) + len(f.changed) = 0 then 1.0 else 2.0::double * coalesce((select shared from m where m.n = e.n and kind = 'changed'), 0) / (len(f.own) + len(f.changed)) end::double as near_edited,
   case when len(f.own) + len(f.following) = 0 then 1.0 else 2.0::double * coalesce((select shared from m where m.n = e.n and kind = 'following'), 0) / (len(f.own) + len(f.following)) end::double as near_next
 from e join f on e.n = f.n"""
+
+#: A string of 50 bytes is 100 hex digits; a run of removed bytes ends where the next removed string starts beyond it.
+REPEATS_SQL = r"""
+with d as (select row_number() over () as r, doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+w as materialized (select r, doc_id, p, substr(h, 2 * p + 1, 100) as s from (select r, doc_id, h, unnest(range(0, len(h) // 2 - 49)) as p from d)),
+m as (select s, min(doc_id) as least from w group by s),
+x as (select r, p from w join m using (s) where least < doc_id),
+i as (select r, p, case when p <= lag(p) over (partition by r order by p) + 50 then 0 else 1 end as new from x),
+g as (select r, p, sum(new) over (partition by r order by p) as island from i),
+u as (select r, min(p) as b, max(p) + 50 as e from g group by r, island),
+v as (select r, b, e, coalesce(lag(e) over (partition by r order by b), 0) as since from u),
+k as (
+  select d.r, sum(e - b)::bigint as n_removed, count(*)::bigint as n_spans,
+    string_agg(substr(h, 2 * since + 1, 2 * (b - since)), '' order by b) || substr(any_value(h), 2 * max(e) + 1) as kept
+  from v join d using (r) group by d.r)
+select doc_id, (len(h) // 2)::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans, sha256(unhex(coalesce(kept, h))) as kept_sha256
+from d left join k using (r)"""
+
+
+def _vectors(scale: int, fits: str) -> str:
+    """Kept rows: r (a number), vec_id, label, q."""
+    return f"""v as materialized (
+  select row_number() over (order by vec_id nulls last, q) as r, * from (
+    select vec_id, label, list_transform(embedding, lambda x: floor({scale} * x::double)::bigint) as q from embeddings
+    where embedding is not null and {fits} and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0))"""
+
+
+_APART = "list_sum(list_transform(list_zip(x.q, c.q), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+#: The floor of a quotient also below zero.
+_FLOOR = "((sum(t) - ((sum(t) % count(*)) + count(*)) % count(*)) // count(*))::bigint"
+
+
+def codes_sql(rounds: int = 2) -> str:
+    """Rounds unrolled: a<i> assigns all parts to codebooks c<i>, c<i+1> has their entries' floors of means."""
+    out = [_vectors(256, "len(embedding) > 0 and len(embedding) % 16 = 0"),
+           "x as materialized (select r, p, q[p * (len(q) // 16) + 1 : (p + 1) * (len(q) // 16)] as q from v, range(16) s(p))",
+           "c0 as (select p, r - 1 as k, q from x where r <= 64)"]
+    for i in range(rounds + 1):
+        out.append(f"a{i} as materialized (select x.r, x.p, min({{'d': {_APART}::bigint, 'k': c.k}}) as m from x join c{i} c on x.p = c.p group by all)")
+        if i < rounds:
+            out.append(f"s{i} as (select x.p, a.m.k as k, unnest(range(len(q))) as j, unnest(q) as t from x join a{i} a using (r, p))")
+            out.append(f"n{i} as (select p, k, list(f order by j) as q from (select p, k, j, {_FLOOR} as f from s{i} group by all) group by all)")
+            out.append(f"c{i + 1} as materialized (select c.p, c.k, coalesce(n.q, c.q) as q from c{i} c left join n{i} n on n.p = c.p and n.k = c.k)")
+    out.append(f"g as (select r, string_agg(lpad(lower(to_hex(m.k)), 2, '0'), '' order by p) as code, sum(m.d)::bigint as error from a{rounds} group by r)")
+    out.append(f"h as (select sha256(string_agg(array_to_string(q, ','), ',' order by p, k)) as codebooks_sha256 from c{rounds})")
+    return "with " + ",\n".join(out) + "\nselect vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error, codebooks_sha256 from v join g using (r), h"
+
+
+def clusters_sql(rounds: int = 3) -> str:
+    out = [_vectors(64, "len(embedding) = 64"), "x as (select r, q from v)",
+           "c0 as (select row_number() over (order by sha256('1:' || vec_id) nulls last, q) - 1 as k, q from v qualify k < 16)"]
+    for i in range(rounds + 1):
+        out.append(f"a{i} as materialized (select x.r, min({{'d': {_APART}::bigint, 'k': c.k}}) as m from x, c{i} c group by all)")
+        if i < rounds:
+            out.append(f"s{i} as (select a.m.k as k, unnest(range(len(q))) as j, unnest(q) as t from x join a{i} a using (r))")
+            out.append(f"n{i} as (select k, list(f order by j) as q from (select k, j, {_FLOOR} as f from s{i} group by all) group by all)")
+            out.append(f"c{i + 1} as materialized (select c.k, coalesce(n.q, c.q) as q from c{i} c left join n{i} n on n.k = c.k)")
+    return "with " + ",\n".join(out) + f"""
+select vec_id, m.k::int as cluster, m.d as distance, (sum(m.d) over (partition by m.k))::bigint as cluster_inertia, (sum(m.d) over ())::bigint as inertia, sha256(array_to_string(c.q, ',')) as centroid_sha256
+from v join a{rounds} using (r) join c{rounds} c on c.k = m.k"""

@@ -7,9 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folium.llm import fingerprint, langid, licenses, mixing, neardup, packing, quality, search, shards, toxicity
+from folium.llm import fingerprint, langid, licenses, mixing, neardup, packing, quality, runindex, search, shards, toxicity, veccodes
 from folium.llm.common import checkpoint_dir, table
-from folium.llm.oracles import FINGERPRINT_SQL, MIX_SQL
+from folium.llm.oracles import FINGERPRINT_SQL, MIX_SQL, REPEATS_SQL, clusters_sql, codes_sql
 
 
 def op1_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,13 +59,28 @@ def op10_language_kn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict_languages(documents, langid.train(documents))
 
 
+def op11_yinyang_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return veccodes.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+def op12_screened_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return veccodes.vector_clusters(table(spark, sf_dir, "embeddings"))
+
+
+def op13_run_length_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runindex.without_repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def queries() -> dict:
     return {
         f.__name__: f
-        for f in (op1_quality_gam, op2_training_order, op3_weighted_minhash, op4_source_mix, op5_pack_ffd, op6_toxicity_mil, op7_merkle_fingerprint, op8_bm25_topk, op9_license_templates, op10_language_kn)
-    }
+        for f in (
+            op1_quality_gam, op2_training_order, op3_weighted_minhash, op4_source_mix, op5_pack_ffd, op6_toxicity_mil, op7_merkle_fingerprint, op8_bm25_topk, op9_license_templates, op10_language_kn,
+            op11_yinyang_codes, op12_screened_clusters, op13_run_length_repeats,
+        )
+    }
 
 
 def oracle_sql() -> dict[str, str]:
     """The others are fitted models, hashes or packings that SQL has no words for; tests/llm compare them with brute force."""
-    return {"op4_source_mix": MIX_SQL, "op7_merkle_fingerprint": FINGERPRINT_SQL, "op9_license_templates": licenses.oracle_sql()}
+    return {"op4_source_mix": MIX_SQL, "op7_merkle_fingerprint": FINGERPRINT_SQL, "op9_license_templates": licenses.oracle_sql(), "op11_yinyang_codes": codes_sql(), "op12_screened_clusters": clusters_sql(), "op13_run_length_repeats": REPEATS_SQL}
