@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -49,3 +50,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let the driver collect its garbage, so that Spark deletes the shuffle files of plans that nothing refers to any more; what was
+    written from them stays."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -4,10 +4,12 @@ A byte goes if a string of ``LENGTH`` bytes over it also starts in a document of
 strings are dealt out so that equal ones meet.
 
 1. Anchors. Of each string of LENGTH bytes, the part of ``ANCHOR`` bytes with the least hash is its anchor; equal strings have
-   equal anchors, and neighbours mostly share one. Each block of documents sends its anchors' hashes, 5 bytes each, by ranges
-   of the hash; an anchor that several documents have is sent back to its documents. One that a block itself has in several
-   documents is known there already and sent once, so a passage of a third of all documents costs an entry a block.
-2. Pieces: runs of strings with one such anchor, as text. Equal pieces of an anchor become one row with the least id of its
+   equal anchors, and neighbours mostly share one. A string holds half of what is around its anchor on one side at least, so two
+   documents with one string share the anchor with the bytes before it or with those after it. Each block of documents sends
+   hashes of both, 4 bytes each, by ranges of the hash; those that several documents have are sent back to their documents. One that
+   a block itself has in several documents is known there already and sent once, so a passage of a third of all documents
+   costs an entry a block.
+2. Pieces: runs of strings with one anchor of which another document has a side, as text. Equal pieces of an anchor become one row with the least id of its
    documents (before the shuffle, where they meet), and go by anchor to a shard of about ``SHARD`` pieces. An anchor with more than
    ``HOT`` different pieces is cut into its strings instead, which are reduced again and dealt by their own hash.
 3. A shard's index: the Burrows-Wheeler transform of its pieces, kept as runs (symbol, first row, its place after one step
@@ -32,69 +34,119 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folium.llm.common import small_batches, stored
+from folium.llm.common import release, small_batches, stored
 from folium.llm.textvec import mix, slices, utf8
 
-LENGTH, ANCHOR = 50, 20
+LENGTH, ANCHOR = 50, 12
 #: Most strings of a piece; a stretch of one anchor that goes on is cut.
 MOST_STRINGS = 256
-#: Anchors that a task holds before it sends them; bytes of text for each range of hashes.
-HELD, RANGE_BYTES, LEAST_RANGES = 1 << 21, 64 << 20, 64
+#: Hashes that a task holds before it sends them; bytes of text for each range of hashes.
+HELD, RANGE_BYTES, LEAST_RANGES = 1 << 22, 64 << 20, 64
 #: Different pieces in a shard, and of one anchor.
 SHARD, HOT = 1 << 14, 1 << 12
-#: Bytes of a text that are worked on at once.
-STRETCH = 1 << 20
-_LOW40 = np.uint64((1 << 40) - 1)
+#: Bytes of a text that are worked on at once, so that what is made of them stays in a processor's cache.
+STRETCH = 1 << 17
 _NONE = np.iinfo(np.int64).max
+_ODD = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 
 
-def _hashes(buf: np.ndarray, k: int) -> np.ndarray:
-    """A hash of the k bytes from each byte on (8 <= k; zeros follow the end)."""
-    n = len(buf)
-    raw = np.concatenate([buf, np.zeros(k + 8, np.uint8)])
-    eight = np.ndarray((n + k,), "<u8", raw.tobytes(), strides=(1,))
-    h = np.zeros(n, np.uint64)
-    for j in [*range(0, k - 8, 8), k - 8]:
-        h = mix(h * np.uint64(0x9E3779B97F4A7C15) + eight[j : j + n])
-    return h
+def _eights(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from each byte on as one number (zeros follow the end)."""
+    raw = np.concatenate([buf, np.zeros(8, np.uint8)])
+    return np.ndarray((len(buf) + 1,), "<u8", raw.tobytes(), strides=(1,))[: len(buf)]
 
 
-def anchors(buf: np.ndarray, off: np.ndarray, length: int = LENGTH, k: int = ANCHOR) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(document, first byte, number of strings, anchor's hash) of runs of strings with one anchor, stretch by stretch."""
+def _hash_at(eights: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """A hash of the k bytes (8 or more) from each place on."""
+    h = np.zeros(len(at), np.uint64)
+    for i, j in enumerate([*range(0, k - 8, 8), k - 8]):
+        h += (eights[at + j] ^ (h >> np.uint64(31))) * _ODD[i]
+    return mix(h)
+
+
+def _slid(least, values: np.ndarray, width: int) -> np.ndarray:
+    """least (np.minimum or np.maximum) over the `width` values from each on, as far as there are any."""
+    out, wide = values.copy(), 1
+    while wide * 2 <= width:
+        out[:-wide] = least(out[:-wide], out[wide:])
+        wide *= 2
+    if width > wide and len(out) > width - wide:
+        out[: wide - width] = least(out[: wide - width], out[width - wide :])
+    return out
+
+
+@dataclass
+class Anchors:
+    """A stretch of texts: doc, of each byte; inside, whether a string starts there; least, the hash of its anchor; at and hash, the
+    anchors' places (ties included) and hashes; left and right, hashes of each anchor with what is before and after it (0: a
+    document's end is too near)."""
+
+    begin: int
+    doc: np.ndarray
+    inside: np.ndarray
+    least: np.ndarray
+    at: np.ndarray
+    hash: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+
+
+def anchors(buf: np.ndarray, off: np.ndarray, length: int = LENGTH, k: int = ANCHOR) -> Iterator[Anchors]:
+    """Stretch by stretch; strings that start in a stretch belong to it, with all of their anchors."""
+    width = length - k + 1
+    half = (length - k) // 2
     for s in range(0, len(buf), STRETCH):
-        e = min(len(buf), s + STRETCH + length - 1)
-        cut = np.clip(off, s, e)
+        # anchors' surroundings may begin before the stretch
+        low, e = max(0, s - half), min(len(buf), s + STRETCH + length - 1 + half)
+        cut = np.clip(off, low, e)
         docs = np.flatnonzero(np.diff(cut))
         doc = np.repeat(docs, np.diff(cut)[docs])
-        at = np.arange(s, e)
-        # a string must end in its document; one that starts after the stretch belongs to the next
-        inside = (off[1:][doc] - at >= length) & (at < s + STRETCH) & (at + length <= e)
-        least = _hashes(buf[s:e], k)
-        wide = 1
-        while wide * 2 <= length - k + 1:
-            least[:-wide] = np.minimum(least[:-wide], least[wide:])
-            wide *= 2
-        rest = length - k + 1 - wide
-        if rest:
-            least[:-rest] = np.minimum(least[:-rest], least[rest:])
-        begins = inside.copy()
-        begins[1:] &= ~inside[:-1] | (least[1:] != least[:-1])
-        first = np.flatnonzero(begins)
-        if not len(first):
-            continue
-        ends = inside.copy()
-        ends[:-1] &= ~inside[1:] | (least[1:] != least[:-1])
-        n = np.flatnonzero(ends) + 1 - first
-        pieces = -(-n // MOST_STRINGS)
-        owner = np.repeat(np.arange(len(n)), pieces)
-        skip = (np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * MOST_STRINGS
-        start = first[owner] + skip
-        yield doc[start], start + s, np.minimum(n[owner] - skip, MOST_STRINGS), least[start]
-
-
-def anchor_key(h: np.ndarray, ranges: int) -> np.ndarray:
-    """The range of a hash and its low 40 bits, as one number."""
-    return (h & _LOW40) | ((h >> np.uint64(40)) % np.uint64(ranges)) << np.uint64(40)
+        at = np.arange(low, e)
+        to_end = np.repeat(off[docs + 1], np.diff(cut)[docs]) - at
+        inside = (to_end >= length) & (at >= s) & (at < s + STRETCH)
+        eights = _eights(buf[low:e])
+        x = np.zeros(e - low, np.uint64)
+        for i, j in enumerate([*range(0, k - 8, 8), k - 8]):
+            x[: len(x) - j] += eights[j:] * _ODD[i]
+        x ^= x >> np.uint64(29)
+        x *= _ODD[40]
+        h = (x >> np.uint64(32)).astype(np.uint32)
+        least = _slid(np.minimum, h, width)
+        # a place is an anchor if a string over it has its hash as the least
+        reach = _slid(np.maximum, np.concatenate([np.zeros(width - 1, np.uint32), np.where(inside, least, np.uint32(0))]), width)[: len(h)]
+        covered = _slid(np.maximum, np.concatenate([np.zeros(width - 1, np.uint8), inside.view(np.uint8)]), width)[: len(h)]
+        place = np.flatnonzero((reach == h) & (covered > 0))
+        side = np.zeros((2, len(place)), np.uint64)
+        from_start = (at - off[doc])[place]
+        before = np.flatnonzero(from_start >= half)
+        side[0, before] = _hash_at(eights, place[before] - half, k + half) | np.uint64(1)
+        after = np.flatnonzero(to_end[place] >= k + half)
+        side[1, after] = (_hash_at(eights, place[after], k + half) | np.uint64(1)) ^ np.uint64(2)
+        yield Anchors(low, doc, inside, least, place, h[place], side[0], side[1])
+
+
+def runs(a: Anchors, wanted: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, first byte, number of strings, anchor's hash) of runs of strings one of whose anchors is wanted."""
+    h = np.full(len(a.least), np.iinfo(np.uint32).max, np.uint32)
+    h[a.at[wanted]] = a.hash[wanted]
+    some = a.inside & (_slid(np.minimum, h, length - k + 1) == a.least)
+    begins, ends = some.copy(), some.copy()
+    other = ~some[:-1] | (a.least[1:] != a.least[:-1]) | (a.doc[1:] != a.doc[:-1])
+    begins[1:] &= other
+    other = ~some[1:] | (a.least[1:] != a.least[:-1]) | (a.doc[1:] != a.doc[:-1])
+    ends[:-1] &= other
+    first = np.flatnonzero(begins)
+    n = np.flatnonzero(ends) + 1 - first
+    pieces = -(-n // MOST_STRINGS)
+    owner = np.repeat(np.arange(len(n)), pieces)
+    skip = (np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * MOST_STRINGS
+    start = first[owner] + skip
+    return a.doc[start], start + a.begin, np.minimum(n[owner] - skip, MOST_STRINGS), a.least[start]
+
+
+def range_key(h: np.ndarray, ranges: int) -> np.ndarray:
+    """The range of a hash and its low 32 bits, as one number."""
+    return (h & np.uint64(0xFFFFFFFF)) | ((h >> np.uint64(32)) % np.uint64(ranges)) << np.uint64(32)
 
 
 def _packed(docs: np.ndarray) -> bytes:
@@ -105,18 +157,16 @@ def _unpacked(raw: bytes, n: int) -> np.ndarray:
     return np.cumsum(np.frombuffer(pa.Codec("zstd").decompress(raw, n * 8), "<i8"))
 
 
-def _five_bytes(h: np.ndarray) -> bytes:
-    return np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+def _four_bytes(h: np.ndarray) -> bytes:
+    return h.astype("<u4").tobytes()
 
 
-def _from_five(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
-    return out.view("<u8").ravel()
+def _from_four(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, "<u4").astype(np.uint64)
 
 
-def shared_anchors(documents: DataFrame, ranges: int, length: int, k: int) -> DataFrame:
-    """doc_id, anchors (keys, 8 bytes each): the anchors of a document that another has too."""
+def shared_sides(documents: DataFrame, ranges: int, length: int, k: int) -> DataFrame:
+    """doc_id, sides (keys, 8 bytes each): the anchors' sides of a document that another has too."""
 
     def flushed(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         key, doc = np.concatenate([x for x, _ in held]), np.concatenate([d for _, d in held])
@@ -128,7 +178,7 @@ def shared_anchors(documents: DataFrame, ranges: int, length: int, k: int) -> Da
         head = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         several = np.diff(np.append(head, len(key))) > 1
         known = np.repeat(several, np.diff(np.append(head, len(key))))
-        at = lambda x: (x >> np.uint64(40)).astype(np.int64)
+        at = lambda x: (x >> np.uint64(32)).astype(np.int64)
         one, one_doc, many = key[~known], doc[~known], key[head[several]]
         by_doc = np.lexsort((one, one_doc, at(one)))
         one, one_doc = one[by_doc], one_doc[by_doc]
@@ -141,8 +191,8 @@ def shared_anchors(documents: DataFrame, ranges: int, length: int, k: int) -> Da
         a, b, c = np.searchsorted(at(one), edges), np.searchsorted(at(many), edges), np.searchsorted(to, edges)
         some = np.flatnonzero(np.diff(a) + np.diff(b) + np.diff(c))
         columns = [
-            pa.array(some), pa.array([_five_bytes(one[a[p] : a[p + 1]]) for p in some], pa.binary()), pa.array([_packed(one_doc[a[p] : a[p + 1]]) for p in some], pa.binary()),
-            pa.array([_five_bytes(many[b[p] : b[p + 1]]) for p in some], pa.binary()), pa.array([known_key[c[p] : c[p + 1]].tobytes() for p in some], pa.binary()), pa.array([_packed(known_doc[c[p] : c[p + 1]]) for p in some], pa.binary()),
+            pa.array(some), pa.array([_four_bytes(one[a[p] : a[p + 1]]) for p in some], pa.binary()), pa.array([_packed(one_doc[a[p] : a[p + 1]]) for p in some], pa.binary()),
+            pa.array([_four_bytes(many[b[p] : b[p + 1]]) for p in some], pa.binary()), pa.array([known_key[c[p] : c[p + 1]].tobytes() for p in some], pa.binary()), pa.array([_packed(known_doc[c[p] : c[p + 1]]) for p in some], pa.binary()),
         ]
         yield pa.RecordBatch.from_arrays(columns, ["range", "one", "one_doc", "many", "known", "known_doc"])
 
@@ -151,8 +201,9 @@ def shared_anchors(documents: DataFrame, ranges: int, length: int, k: int) -> Da
         for batch in batches:
             for part in slices(batch):
                 ids = part.column("doc_id").to_numpy(zero_copy_only=False)
-                for doc, _, _, h in anchors(*utf8(part.column("text"), lower=False), length, k):
-                    held.append((anchor_key(h, ranges), ids[doc]))
+                for a in anchors(*utf8(part.column("text"), lower=False), length, k):
+                    doc = ids[a.doc[a.at]]
+                    held += [(range_key(side[side > 0], ranges), doc[side > 0]) for side in (a.left, a.right)]
                 if sum(len(x) for x, _ in held) >= HELD:
                     yield from flushed(held)
                     held = []
@@ -160,13 +211,13 @@ def shared_anchors(documents: DataFrame, ranges: int, length: int, k: int) -> Da
             yield from flushed(held)
 
     def returned(table: pa.Table) -> pa.Table:
-        """The anchors of a range that two blocks sent, or one block has in several documents, by document."""
+        """The sides of a range that two blocks sent, or one block has in several documents, by document."""
         columns = {c: table.column(c).to_pylist() for c in table.column_names}
-        high = np.uint64(columns["range"][0]) << np.uint64(40)
-        one = [_from_five(x) for x in columns["one"]]
+        high = np.uint64(columns["range"][0]) << np.uint64(32)
+        one = [_from_four(x) for x in columns["one"]]
         doc = [_unpacked(x, len(h)) for x, h in zip(columns["one_doc"], one, strict=True)]
         key, docs = np.concatenate(one), np.concatenate(doc)
-        many = np.unique(np.concatenate([_from_five(x) for x in columns["many"]]))
+        many = np.unique(np.concatenate([_from_four(x) for x in columns["many"]]))
         order = np.argsort(key, kind="stable")
         key, docs = key[order], docs[order]
         twin = np.zeros(len(key), bool)
@@ -179,42 +230,66 @@ def shared_anchors(documents: DataFrame, ranges: int, length: int, k: int) -> Da
         order = np.argsort(docs, kind="stable")
         key, docs = key[order], docs[order]
         cut = np.append(np.flatnonzero(np.append(True, docs[1:] != docs[:-1])) if len(docs) else np.zeros(0, np.int64), len(docs))
-        return pa.table({"doc_id": pa.array(docs[cut[:-1]], pa.int64()), "anchors": pa.array([key[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)], pa.binary())})
+        return pa.table({"doc_id": pa.array(docs[cut[:-1]], pa.int64()), "sides": pa.array([key[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)], pa.binary())})
 
     blocks = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return blocks.mapInArrow(sent, "range long, one binary, one_doc binary, many binary, known binary, known_doc binary").groupBy("range").applyInArrow(returned, "doc_id long, anchors binary")
+    return blocks.mapInArrow(sent, "range long, one binary, one_doc binary, many binary, known binary, known_doc binary").groupBy("range").applyInArrow(returned, "doc_id long, sides binary")
 
 
 def pieces(documents: DataFrame, shared: DataFrame, ranges: int, length: int, k: int) -> DataFrame:
-    """anchor, piece, doc_id, text_hash, start of every run of strings with an anchor that several documents have."""
+    """anchor, piece, doc_id, text_hash, start of every run of strings with an anchor of which several documents have a side."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 buf, off = utf8(part.column("text"), lower=False)
-                wanted = [np.frombuffer(b"".join(x), "<u8") for x in part.column("anchors").to_pylist()]
+                wanted = [np.frombuffer(b"".join(x), "<u8") for x in part.column("sides").to_pylist()]
                 pair = lambda key, doc: mix(key) + mix(doc.astype(np.uint64))
                 those = np.unique(pair(np.concatenate(wanted), np.repeat(np.arange(len(wanted)), [len(x) for x in wanted])))
-                for doc, start, n, h in anchors(buf, off, length, k):
-                    key = anchor_key(h, ranges)
-                    some = np.isin(pair(key, doc), those)
-                    doc, start, n, key = doc[some], start[some], n[some] + length - 1, key[some]
+                for a in anchors(buf, off, length, k):
+                    doc = a.doc[a.at]
+                    some = np.isin(pair(range_key(a.left, ranges), doc), those) | np.isin(pair(range_key(a.right, ranges), doc), those)
+                    doc, start, n, h = runs(a, some, length, k)
+                    n += length - 1
                     ends = np.cumsum(n)
                     data = buf[np.arange(ends[-1] if len(n) else 0) + np.repeat(start - (ends - n), n)]
                     text = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(np.append(0, ends).astype(np.int32)), pa.py_buffer(data)])
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), text, part.column("doc_id").take(pa.array(doc)), part.column("text_hash").take(pa.array(doc)), pa.array(start - off[doc])], ["anchor", "piece", "doc_id", "text_hash", "start"])
+                    yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), text, part.column("doc_id").take(pa.array(doc)), part.column("text_hash").take(pa.array(doc)), pa.array(start - off[doc])], ["anchor", "piece", "doc_id", "text_hash", "start"])
 
-    by_doc = shared.groupBy("doc_id").agg(F.collect_list("anchors").alias("anchors"))
+    by_doc = shared.groupBy("doc_id").agg(F.collect_list("sides").alias("sides"))
     rows = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("text_hash"), "text").join(by_doc, "doc_id")
     return rows.mapInArrow(cut, "anchor long, piece binary, doc_id long, text_hash int, start long")
 
 
-def _ranks(key: np.ndarray) -> tuple[np.ndarray, int]:
-    order = np.argsort(key)
-    sorted_ = key[order]
-    rank = np.empty(len(key), np.int64)
-    rank[order] = np.append(0, np.cumsum(sorted_[1:] != sorted_[:-1]))
-    return rank, int(rank[order[-1]]) + 1 if len(key) else 0
+def _ranks(key: np.ndarray, bits: int) -> tuple[np.ndarray, int]:
+    """(ranks of the keys, which have `bits` bits, how many there are). Keys and places are sorted as one number where they fit."""
+    n = len(key)
+    place_bits = max(1, (n - 1).bit_length())
+    if bits + place_bits <= 64:
+        both = np.sort((key << np.uint64(place_bits)) | np.arange(n, dtype=np.uint64))
+        order = (both & np.uint64((1 << place_bits) - 1)).astype(np.int64)
+        both >>= np.uint64(place_bits)
+    else:
+        order = np.argsort(key, kind="stable")
+        both = key[order]
+    rank = np.empty(n, np.uint64)
+    rank[order] = np.append(0, np.cumsum(both[1:] != both[:-1])).astype(np.uint64)
+    return rank, int(rank[order[-1]]) + 1
+
+
+class Bits:
+    """A bit for each row, and how many are set up to a row: 64 rows a word, with the count before each word."""
+
+    def __init__(self, places: np.ndarray, n: int):
+        self.words = np.zeros(n // 64 + 1, np.uint64)
+        np.bitwise_or.at(self.words, places >> 6, np.uint64(1) << (places & 63).astype(np.uint64))
+        counts = np.bitwise_count(self.words).astype(np.int64)
+        self.before = np.cumsum(counts) - counts
+
+    def rank(self, row: np.ndarray) -> np.ndarray:
+        """Set bits from row 0 to each row, that one included."""
+        word = row >> 6
+        return self.before[word] + np.bitwise_count(self.words[word] << (np.uint64(63) - (row & 63).astype(np.uint64))).astype(np.int64)
 
 
 @dataclass
@@ -223,11 +298,12 @@ class RunIndex:
     that agree in `length` symbols. Rows begin with one for each piece's end, in the pieces' order."""
 
     length: int
+    runs: Bits
     first_row: np.ndarray
     symbol: np.ndarray
     back: np.ndarray
     last_place: np.ndarray
-    range_row: np.ndarray
+    ranges: Bits
     range_least: np.ndarray
 
     def steps(self, sizes: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -236,7 +312,7 @@ class RunIndex:
         row, left = longest.copy(), sizes[longest]
         for matched in range(1, int(left[0]) + 1 if len(left) else 1):
             row = row[: np.searchsorted(-left, -matched, "right")]
-            run = np.searchsorted(self.first_row, row, "right") - 1
+            run = self.runs.rank(row) - 1
             row = self.back[run] + row - self.first_row[run]
             yield matched, longest[: len(row)], row
 
@@ -247,14 +323,21 @@ class RunIndex:
         out = np.empty(int(strings.sum()), np.int64)
         for matched, piece, row in self.steps(sizes):
             if matched >= self.length:
-                out[begin[piece] + sizes[piece] - matched] = self.range_least[np.searchsorted(self.range_row, row, "right") - 1]
+                out[begin[piece] + sizes[piece] - matched] = self.range_least[self.ranges.rank(row) - 1]
         return out
 
 
+def _ahead(values: np.ndarray, by: int) -> np.ndarray:
+    """values[i + by], 0 beyond the end."""
+    out = np.zeros_like(values)
+    out[: max(0, len(values) - by)] = values[by:]
+    return out
+
+
 def build(data: np.ndarray, sizes: np.ndarray, least: np.ndarray, length: int = LENGTH) -> RunIndex:
     """The index of pieces (their bytes one after another, `length` or more each) with the least document of each.
 
-    Suffixes end with their piece; equal ones are in the pieces' order. Ranks of 7 symbols are doubled until all differ."""
+    Suffixes end with their piece; equal ones are in the pieces' order. Ranks of 4 symbols are doubled until all differ."""
     m = len(sizes)
     n = len(data) + m
     ends = np.cumsum(sizes + 1) - 1  # the place after each piece
@@ -265,19 +348,22 @@ def build(data: np.ndarray, sizes: np.ndarray, least: np.ndarray, length: int =
     owner = np.repeat(np.arange(m), sizes + 1)
     left = ends[owner] - np.arange(n)  # symbols before the piece's end
     key = np.zeros(n, np.uint64)
-    for j in range(7):
+    for j in range(4):
         key <<= np.uint64(9)
         key[: n - j] |= np.where(left[: n - j] >= j, symbol[j:], np.uint64(0))
-    (rank, kinds), h, alike = _ranks(key), 7, None
+    (rank, kinds), h, alike, bits = _ranks(key, 36), 4, None, n.bit_length()
     while h < int(sizes.max()) + 1:
-        ahead = np.arange(n)
         if h <= length <= 2 * h:
-            alike = rank * n + rank[np.minimum(ahead + length - h, n - 1)]
+            alike = rank * np.uint64(n) + _ahead(rank, length - h)
         if kinds == n and alike is not None:
             break
-        rank, kinds = _ranks(rank * (n + 1) + np.where(left >= h, rank[np.minimum(ahead + h, n - 1)] + 1, 0))
+        rank, kinds = _ranks(rank << np.uint64(bits) | np.where(left >= h, _ahead(rank, h) + np.uint64(1), np.uint64(0)), 2 * bits)
         h *= 2
-    order = np.argsort(rank * n + np.arange(n))
+    if kinds == n:
+        order = np.empty(n, np.int64)
+        order[rank.astype(np.int64)] = np.arange(n)
+    else:
+        order = np.argsort(rank, kind="stable")
     before = np.where(order > 0, symbol[order - 1], np.uint64(0))
     head = np.flatnonzero(np.append(True, before[1:] != before[:-1]))
     size, run_symbol = np.diff(np.append(head, n)), before[head]
@@ -286,7 +372,7 @@ def build(data: np.ndarray, sizes: np.ndarray, least: np.ndarray, length: int =
     back[by_symbol] = np.cumsum(size[by_symbol]) - size[by_symbol]
     long_, group = left[order] >= length, alike[order]
     edge = np.flatnonzero(np.append(True, (group[1:] != group[:-1]) | ~long_[1:] | ~long_[:-1]))
-    return RunIndex(length, head, run_symbol, back, order[np.append(head[1:], n) - 1], edge, np.minimum.reduceat(np.where(long_, least[owner[order]], _NONE), edge))
+    return RunIndex(length, Bits(head, n), head, run_symbol, back, order[np.append(head[1:], n) - 1], Bits(edge, n), np.minimum.reduceat(np.where(long_, least[owner[order]], _NONE), edge))
 
 
 def earlier(shards: DataFrame, length: int) -> DataFrame:
@@ -316,15 +402,16 @@ def earlier(shards: DataFrame, length: int) -> DataFrame:
 
 def repeats(documents: DataFrame, length: int = LENGTH, k: int = ANCHOR, hot: int = HOT, shard: int = SHARD) -> DataFrame:
     """doc_id, text_hash, spans: the bytes of each document that an earlier one has, as (begin, end), which may overlap."""
-    if not 8 <= k <= length - 1 or length < 14:
-        raise ValueError("an anchor has at least 8 bytes and is shorter than the strings, which have 14 or more")
+    if not 8 <= k <= length - 1 or length < 12:
+        raise ValueError("an anchor has at least 8 bytes and is shorter than the strings, which have 12 or more")
     small_batches(documents.sparkSession)
     size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(LEAST_RANGES, int(size // RANGE_BYTES))
-    # 24 bits of a hash choose the range
-    if ranges >= 1 << 22:
+    # 32 bits of a hash choose the range
+    if ranges >= 1 << 28:
         raise ValueError("more text than the ranges of a hash are made for")
-    cut = stored(pieces(documents, shared_anchors(documents, ranges, length, k), ranges, length, k), "pieces")
+    cut = stored(pieces(documents, shared_sides(documents, ranges, length, k), ranges, length, k), "pieces")
+    release(documents.sparkSession)
     different = stored(cut.groupBy("anchor", "piece").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).withColumn("piece_hash", F.xxhash64("piece")), "pieces")
     shards = max(1, different.count() // shard)
     place = lambda *c: F.pmod(F.xxhash64(*c), F.lit(shards)).alias("shard")
@@ -344,6 +431,8 @@ def repeats(documents: DataFrame, length: int = LENGTH, k: int = ANCHOR, hot: in
     found.append(earlier(rest.select(place("anchor"), "anchor", "piece_hash", "piece", "least", "most"), length))
     every = found[0] if len(found) == 1 else found[0].unionByName(found[1])
     marks = stored(every, "marks")
+    del every, found, rest
+    release(documents.sparkSession)
     spans = cut.select("anchor", F.xxhash64("piece").alias("piece_hash"), "doc_id", "text_hash", "start").join(marks, ["anchor", "piece_hash"]).where("least < doc_id")
     span = F.struct((F.col("start") + F.col("at")).alias("begin"), (F.col("start") + F.col("at") + F.col("n") + (length - 1)).alias("end"))
     return spans.groupBy("doc_id", "text_hash").agg(F.collect_list(span).alias("spans"))
@@ -361,6 +450,7 @@ def joined(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def without_repeats(documents: DataFrame, length: int = LENGTH, k: int = ANCHOR, hot: int = HOT, shard: int = SHARD) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (begin, end) of every row of documents."""
     spans = stored(repeats(documents, length, k, hot, shard), "repeats")
+    release(documents.sparkSession)
     pair = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
