@@ -10,41 +10,128 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Database and printed forms of a citation (work, page, register, line; a hyphen counts lines from the foot), and
-#: of a sutta's segment.
-FOREIGN = {
-    "sat": r"\bT(?P<work>\d{4})(?:_?\.(?P<volume>\d{2}))?\.(?P<page>\d{4})(?P<register>[abc])(?P<line>\d{2})\b",
-    "print": r"\bT\.?\s*(?P<work>\d{1,4})[\s,.:;]+(?P<page>\d{1,3})(?P<register>[abc])(?P<foot>-?)(?P<line>\d{1,2})\b",
-    "sutta": r"\b(?P<work>[a-z][a-z0-9-]*\d[a-z0-9.-]*):(?P<segment>\d+(?:\.\d+)+)\b",
-}
+from folium.operators.evidence import QUOTES
+
 OCCURRENCE = "form string, start long, end long, work string, volume long, page long, register string, line long, from_foot boolean, segment string"
+#: The letter of the collection, registers of a page, and the digits of the database form's work, volume, page, line.
+COLLECTION, REGISTERS, DATABASE_DIGITS = "T", "abc", (4, 2, 4, 2)
+
+
+class _Reader:
+    """A place in a text that moves over what it is asked for; anything else raises ValueError."""
+
+    def __init__(self, text: str, at: int):
+        self.text, self.at = text, at
+
+    def run(self, kinds, least: int, most: int) -> str:
+        begin = self.at
+        while self.at < len(self.text) and self.at - begin < most and kinds(self.text[self.at]):
+            self.at += 1
+        if self.at - begin < least:
+            raise ValueError(f"at {begin}")
+        return self.text[begin : self.at]
+
+    def number(self, least: int, most: int) -> int:
+        return int(self.run(_digit, least, most))
+
+    def one_of(self, letters: str) -> str:
+        return self.run(lambda c: c in letters, 1, 1)
+
+    def maybe(self, letter: str) -> bool:
+        return bool(self.run(lambda c: c == letter, 0, 1))
+
+    def word_ends(self) -> None:
+        if self.at < len(self.text) and _in_word(self.text[self.at]):
+            raise ValueError(f"at {self.at}")
+
+
+def _digit(c: str) -> bool:
+    return "0" <= c <= "9"
+
+
+def _in_word(c: str) -> bool:
+    return c.isalnum() or c == "_"
+
+
+def _database_form(text: str, start: int) -> dict:
+    """T0262_.09.0001c19: work, perhaps a volume after a point (or an underscore and a point), page, register, line."""
+    work_digits, volume_digits, page_digits, line_digits = DATABASE_DIGITS
+    r = _Reader(text, start + len(COLLECTION))
+    out = {"form": "sat", "work": COLLECTION + r.run(_digit, work_digits, work_digits), "volume": None}
+    underscored = r.maybe("_")
+    r.one_of(".")
+    first = r.run(_digit, 1, page_digits)
+    if len(first) == volume_digits:
+        out["volume"] = int(first)
+        r.one_of(".")
+        first = r.run(_digit, page_digits, page_digits)
+    elif underscored or len(first) != page_digits:
+        raise ValueError("no page")
+    out |= {"page": int(first), "register": r.one_of(REGISTERS), "line": r.number(line_digits, line_digits), "from_foot": False}
+    r.word_ends()
+    return out | {"end": r.at}
+
+
+def _printed_form(text: str, start: int) -> dict:
+    """T. 262, 27b-1: work, a separator, page, register, perhaps a sign that lines count from the foot, line."""
+    r = _Reader(text, start + len(COLLECTION))
+    r.maybe(".")
+    r.run(str.isspace, 0, len(text))
+    work = r.run(_digit, 1, 4)
+    r.run(lambda c: c.isspace() or c in ",.:;", 1, len(text))
+    out = {"form": "print", "work": COLLECTION + work.zfill(4), "page": r.number(1, 3), "register": r.one_of(REGISTERS), "from_foot": r.maybe("-"), "line": r.number(1, 2)}
+    r.word_ends()
+    return out | {"end": r.at}
+
+
+def _segment_form(text: str, colon: int) -> dict:
+    """pli-tv-bu-vb-pj1:2.3: a lower-case name with a number before its first point, a colon, two or more numbers with points."""
+    begin = colon
+    while begin and (text[begin - 1].isascii() and (text[begin - 1].islower() or _digit(text[begin - 1])) or text[begin - 1] in ".-"):
+        begin -= 1
+    for start in range(begin, colon):
+        name = text[start:colon]
+        if name[0].isalpha() and not (start and _in_word(text[start - 1])) and any(map(_digit, name.partition(".")[0])):
+            break
+    else:
+        raise ValueError("no name")
+    r = _Reader(text, colon + 1)
+    ends = [r.at + len(r.run(_digit, 1, len(text)))]
+    while r.at + 1 < len(text) and text[r.at] == "." and _digit(text[r.at + 1]):
+        r.at += 1
+        r.run(_digit, 1, len(text))
+        ends.append(r.at)
+    if r.at < len(text) and _in_word(text[r.at]):
+        ends.pop()  # the last number runs on as a word
+    if len(ends) < 2:
+        raise ValueError("no segment")
+    return {"form": "sutta", "start": start, "work": name, "segment": text[colon + 1 : ends[-1]], "from_foot": False, "end": ends[-1]}
+
+
+def citations_in(text: str) -> list[dict]:
+    """Every foreign citation of one text with its place; of overlapping ones the earliest, then the longest, stands."""
+    found = []
+    for i, c in enumerate(text):
+        forms = (_segment_form,) if c == ":" else (_database_form, _printed_form) if c == COLLECTION and not (i and _in_word(text[i - 1])) else ()
+        for form in forms:
+            try:
+                found.append({"start": i, "volume": None, "page": None, "register": None, "line": None, "segment": None} | form(text, i))
+            except ValueError:
+                pass
+    out: list[dict] = []
+    for c in sorted(found, key=lambda c: (c["start"], -c["end"], c["form"])):
+        if not out or c["start"] >= out[-1]["end"]:
+            out.append(c)
+    return out
 
 
 def foreign_citations(texts: DataFrame) -> DataFrame:
-    """doc_id and each foreign citation with its place; of overlapping ones the earliest, then the longest, stands.
-
-    Choosing is sequential within one text, so it runs on Arrow batches."""
-    import re
-
-    forms = {k: re.compile(p) for k, p in FOREIGN.items()}
-
-    def scan(text: str | None) -> list[dict]:
-        found = sorted(((m.start(), -m.end(), k, m) for k, p in forms.items() for m in p.finditer(text or "")), key=lambda x: x[:3])
-        out, reach = [], 0
-        for start, minus_end, form, m in found:
-            if start >= reach:
-                g = m.groupdict()
-                number = lambda k, g=g: int(g[k]) if g.get(k) else None
-                work = g["work"] if form == "sutta" else "T" + g["work"].zfill(4)
-                out.append({"form": form, "start": start, "end": -minus_end, "work": work, "volume": number("volume"), "page": number("page"), "register": g.get("register"), "line": number("line"), "from_foot": g.get("foot") == "-", "segment": g.get("segment")})
-                reach = -minus_end
-        return out
-
+    """doc_id and each foreign citation with its place. Choosing is sequential within one text, so it runs on Arrow batches."""
     fields = T.StructType([T.StructField(n, {"long": T.LongType(), "boolean": T.BooleanType()}.get(k, T.StringType())) for n, k in (x.split(" ") for x in OCCURRENCE.split(", "))])
 
     @F.pandas_udf(T.ArrayType(fields))
     def scanned(text: pd.Series) -> pd.Series:
-        return text.map(scan)
+        return text.map(lambda t: citations_in(t or ""))
 
     return texts.select("doc_id", F.explode(scanned("text")).alias("c")).select("doc_id", "c.*")
 
@@ -60,10 +147,12 @@ def address_to_urn(addresses: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def rewritten(text: Column, foreign: Column, urn: Column) -> Column:
-    """The text with a foreign citation replaced, but not inside a quotation."""
-    parts = F.split(text, '"')
-    outside = F.transform(parts, lambda p, i: F.when(i % 2 == 0, F.replace(p, foreign, urn)).otherwise(p))
-    return F.array_join(outside, '"')
+    """The text with a foreign citation replaced, but not inside a quotation by any of the pairs of marks.
+
+    Quotations and what lies between them alternate: the pieces between are those that no quotation's pattern matches."""
+    quoted = "|".join(f"{a}[^{b}]*{b}" for a, b in QUOTES.items())
+    outside, inside = F.split(text, quoted), F.regexp_extract_all(text, F.lit(f"({quoted})"), 1)
+    return F.array_join(F.transform(outside, lambda p, i: F.concat(F.replace(p, foreign, urn), F.coalesce(F.get(inside, i), F.lit("")))), "")
 
 
 def quote_in_source(quote: Column, source: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folium.operators.relations import as_of
+from folium.operators.reuse import align_metrics, lemma_spans
 
 UPWARD = ("comments_on", "subcommentary_of")
 
@@ -37,14 +38,31 @@ def pairs_to_align(relations: DataFrame, works: DataFrame, sources: tuple[str, .
     return pairs.join(held.withColumnRenamed("work", "source"), "source", "left_semi").join(held.withColumnRenamed("work", "target"), "target", "left_semi").select("source", "target")
 
 
-def whole_alignments(spans: DataFrame, segments: DataFrame) -> DataFrame:
-    """pair, c_start, length, ordinal of spans (pair, doc_id, c_start, length), each at the segment it begins in; a pair of which any
-    span begins in none is not written at all."""
-    begun = segments.select("doc_id", F.col("char_start").alias("at"), F.struct("ordinal", "char_end").alias("seg"))
-    last = as_of(spans.withColumn("at", F.col("c_start").cast("long")), begun.withColumn("at", F.col("at").cast("long")), "doc_id", "at", "seg")
-    placed = last.select("pair", "doc_id", "c_start", "length", F.when(F.col("c_start") < F.col("last_seg.char_end"), F.col("last_seg.ordinal")).alias("ordinal"))
-    open_ = placed.where("ordinal is null").select("pair").distinct()
-    return placed.join(open_, "pair", "left_anti")
+def _segments_over(spans: DataFrame, segments: DataFrame, doc: str, start: str, end: str, first: str, last: str) -> DataFrame:
+    """spans with the ordinals of the first and the last segment (doc_id, ordinal, char_start, char_end) that each reaches into;
+    null where it reaches into none. Two look-ups by place (the last that begins before a span's end, and, backwards, the last that
+    ends after its start), and no join of every span with every segment of its text."""
+    side = lambda at, name: segments.select(F.col("doc_id").alias("_doc"), at.cast("long").alias("at"), F.struct("ordinal", "char_start").alias(name))
+    rows = as_of(spans.withColumn("_doc", F.col(doc)).withColumn("at", F.col(end).cast("long") - 1), side(F.col("char_start"), "begun"), "_doc", "at", "begun")
+    rows = as_of(rows.withColumn("at", -F.col(start).cast("long") - 1), side(-F.col("char_end"), "open"), "_doc", "at", "open")
+    held = F.col("last_open.char_start") < F.col(end)
+    return rows.withColumn(first, F.when(held, F.col("last_open.ordinal"))).withColumn(last, F.when(held, F.col("last_begun.ordinal"))).drop("_doc", "at", "last_begun", "last_open")
+
+
+def alignments(pairs: DataFrame, segments: DataFrame, syllables: bool = False) -> DataFrame:
+    """pair, c_doc, r_doc, c_start, c_end, c_first, c_last, r_start, r_end, r_first, r_last, length, lemma_sha256, density, forward_pct,
+    method, confidence: the passages of aligned pairs (pair, c_doc, r_doc, commentary, root), each with the segments (doc_id, ordinal,
+    char_start, char_end) that it reaches into at both ends. A pair that isn't aligned gives no row, and neither does one of
+    which any passage reaches into no segment: it is written whole or not at all."""
+    spans = lemma_spans(pairs, syllables=syllables)
+    found = align_metrics(pairs, spans, syllables).where("aligned").select("pair", "density", "forward_pct")
+    rows = spans.join(found, "pair").join(pairs.select("pair", "c_doc", "r_doc", "root"), "pair")
+    lemma = F.substring("root", F.col("r_start").cast("int") + 1, (F.col("r_end") - F.col("r_start")).cast("int"))
+    rows = rows.withColumn("lemma_sha256", F.sha2(lemma.cast("binary"), 256)).drop("root").withColumn("length", F.col("r_end") - F.col("r_start"))
+    rows = _segments_over(_segments_over(rows, segments, "c_doc", "c_start", "c_end", "c_first", "c_last"), segments, "r_doc", "r_start", "r_end", "r_first", "r_last")
+    lost = rows.where("c_first is null or r_first is null").select("pair").distinct()
+    kept = rows.join(lost, "pair", "left_anti").withColumn("method", F.lit("lemma_match")).withColumn("confidence", F.lit("probable"))
+    return kept.select("pair", "c_doc", "r_doc", "c_start", "c_end", "c_first", "c_last", "r_start", "r_end", "r_first", "r_last", "length", "lemma_sha256", "density", "forward_pct", "method", "confidence")
 
 
 def glosses_on(alignments: DataFrame, lines: DataFrame) -> DataFrame:

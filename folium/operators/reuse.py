@@ -86,23 +86,44 @@ def graph_stats(matches: DataFrame, work: str) -> DataFrame:
     return matches.agg(F.count("*").alias("matches"), F.count_distinct(work).alias("works"), F.max("length").alias("longest"), F.expr("percentile_cont(0.5) within group (order by length)").alias("median"))
 
 
-def _windows(rows: DataFrame, key: list[str], text: str, n: int, name: str) -> DataFrame:
-    """key, gram, name: windows of n characters of the text without its white space."""
-    dense = rows.select(*key, F.regexp_replace(text, r"\s", "").alias("_t"))
-    return dense.select(*key, F.posexplode(ngrams(F.col("_t"), n)).alias(name, "gram"))
-
-
-def lemma_spans(pairs: DataFrame, n: int = 8) -> DataFrame:
-    """pair, c_start, r_start, length of passages of a commentary that quote its root (columns pair, commentary, root).
-
-    Windows that are unique in the root are looked up in the commentary; hits that advance together are one span."""
-    root = _windows(pairs, ["pair"], "root", n, "r")
-    unique = root.groupBy("pair", "gram").agg(F.min("r").alias("r"), F.count("*").alias("k")).where("k = 1").drop("k")
-    hits = _windows(pairs, ["pair"], "commentary", n, "c").join(unique, ["pair", "gram"])
+#: Fixed value: what ends a syllable of Tibetan.
+TSHEG = "་"
+
+
+def _units(text: Column, syllables: bool) -> Column:
+    """The characters (or syllables, each with what ends it) of a text that aren't white space: unit, from, to in the text as it is."""
+    chars = F.split(text, "")
+    if not syllables:
+        each = F.transform(chars, lambda c, i: F.struct(c.alias("unit"), i.alias("from"), (i + 1).alias("to")))
+        return F.filter(each, lambda u: ~u["unit"].rlike(r"^\s*$"))
+    ends = F.array_distinct(F.concat(F.filter(F.transform(chars, lambda c, i: F.when(c == TSHEG, i + 1)), lambda e: e.isNotNull()), F.array(F.length(text))))
+    span = lambda a, b: F.struct(F.regexp_replace(F.array_join(F.slice(chars, a + 1, b - a), ""), r"^\s+|\s+$", "").alias("unit"), a.alias("from"), b.alias("to"))
+    return F.filter(F.transform(ends, lambda e, i: span(F.when(i > 0, F.get(ends, i - 1)).otherwise(0), e)), lambda u: u["unit"] != "")
+
+
+def _windows(rows: DataFrame, key: list[str], text: str, n: int, name: str, syllables: bool) -> DataFrame:
+    """key, gram, name (the window's place among the units), name_from, name_to: windows of n units that aren't white space, with
+    the place of each in the text as it is."""
+    units = rows.where(F.col(text).isNotNull()).select(*key, _units(F.col(text), syllables).alias("u"))
+    at = F.sequence(F.lit(1), F.size("u") - n + 1)
+    windows = F.transform(F.when(F.size("u") >= n, at).otherwise(F.array().cast("array<int>")), lambda i: F.struct((i - 1).cast("long").alias(name), F.array_join(F.transform(F.slice("u", i, n), lambda x: x["unit"]), "").alias("gram"), F.get("u", i - 1)["from"].cast("long").alias(f"{name}_from"), F.get("u", i + n - 2)["to"].cast("long").alias(f"{name}_to")))
+    return units.select(*key, F.explode(windows).alias("w")).select(*key, "w.*")
+
+
+def lemma_spans(pairs: DataFrame, n: int | None = None, syllables: bool = False) -> DataFrame:
+    """pair, c_start, c_end, r_start, r_end of passages of a commentary that quote its root (columns pair, commentary, root), as
+    places in both texts as they are: white space is not matched on, and what lies within a passage belongs to it.
+
+    Windows of n units (8 characters, or 6 syllables) that are unique in the root are looked up in the commentary; hits that
+    advance together are one passage."""
+    n = n or (6 if syllables else 8)
+    root = _windows(pairs, ["pair"], "root", n, "r", syllables)
+    unique = root.groupBy("pair", "gram").agg(F.min(F.struct("r", "r_from", "r_to")).alias("at"), F.count("*").alias("k")).where("k = 1").select("pair", "gram", "at.*")
+    hits = _windows(pairs, ["pair"], "commentary", n, "c", syllables).join(unique, ["pair", "gram"])
     w = W.partitionBy("pair").orderBy("c")
     new = F.coalesce((F.col("c") != F.lag("c").over(w) + 1) | (F.col("r") != F.lag("r").over(w) + 1), F.lit(True))
     runs = hits.withColumn("new", new.cast("int")).withColumn("run", F.sum("new").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    return runs.groupBy("pair", "run").agg(F.min("c").cast("long").alias("c_start"), F.min_by("r", "c").cast("long").alias("r_start"), (F.count("*") + n - 1).alias("length")).drop("run")
+    return runs.groupBy("pair", "run").agg(F.min("c_from").alias("c_start"), F.max("c_to").alias("c_end"), F.min("r_from").alias("r_start"), F.max("r_to").alias("r_end")).drop("run")
 
 
 def union_length(spans: DataFrame, key: str, start: str, end: str) -> DataFrame:
@@ -112,16 +133,23 @@ def union_length(spans: DataFrame, key: str, start: str, end: str) -> DataFrame:
     return spans.withColumn("_add", F.greatest(F.col(end) - F.greatest(F.col(start), reach), F.lit(0))).groupBy(key).agg(F.sum("_add").cast("long").alias("covered"))
 
 
-def align_metrics(pairs: DataFrame, spans: DataFrame, density_floor: float = 30.0, forward_floor: float = 80.0, syllables: bool = False) -> DataFrame:
-    """pair, spans, density (per 10,000 characters of commentary), root_pct, forward_pct, aligned; the forward floor holds for
-    alignments by syllables only."""
-    size = lambda c: F.length(F.regexp_replace(c, r"\s", ""))
-    w = W.partitionBy("pair").orderBy("c_start")
+#: Spans per 10,000 characters of commentary that an alignment needs, by the unit and the commentary's role, and the
+#: percentage that must move forward where the unit is the syllable.
+DENSITY_FLOOR, SUBCOMMENTARY_FLOOR, SYLLABLE_FLOOR, SYLLABLE_FORWARD = 30.0, 14.0, 20.0, 80.0
+
+
+def align_metrics(pairs: DataFrame, spans: DataFrame, syllables: bool = False) -> DataFrame:
+    """pair, spans, density (per 10,000 characters of commentary), root_pct (of the root's characters, an overlap once), forward_pct (of
+    consecutive spans; 0 where there is one span), aligned. A column `role` of the pairs lowers the floor of subcommentaries."""
+    w = W.partitionBy("pair").orderBy("c_start", "r_start")
     ahead = spans.withColumn("ahead", (F.col("r_start") >= F.lag("r_start").over(w)).cast("int")).groupBy("pair").agg(F.count("*").alias("spans"), F.avg("ahead").alias("forward"))
-    cover = union_length(spans.withColumn("r_end", F.col("r_start") + F.col("length")), "pair", "r_start", "r_end")
-    rows = pairs.select("pair", size("commentary").alias("c_len"), size("root").alias("r_len")).join(ahead, "pair").join(cover, "pair")
-    density, forward = F.round(10000.0 * F.col("spans") / F.col("c_len"), 6), F.round(100.0 * F.coalesce("forward", F.lit(1.0)), 6)
-    return rows.select("pair", "spans", density.alias("density"), F.round(100.0 * F.col("covered") / F.col("r_len"), 6).alias("root_pct"), forward.alias("forward_pct"), ((density >= density_floor) & (F.lit(not syllables) | (forward >= forward_floor))).alias("aligned"))
+    cover = union_length(spans, "pair", "r_start", "r_end")
+    role = F.col("role") if "role" in pairs.columns else F.lit(None).cast("string")
+    rows = pairs.select("pair", role.alias("role"), F.greatest(F.length("commentary"), F.lit(1)).alias("c_len"), F.greatest(F.length("root"), F.lit(1)).alias("r_len")).join(ahead, "pair").join(cover, "pair")
+    density, forward = 10000.0 * F.col("spans") / F.col("c_len"), F.round(100.0 * F.coalesce("forward", F.lit(0.0)), 1)
+    floor = F.lit(SYLLABLE_FLOOR) if syllables else F.when(F.col("role") == "subcommentary", SUBCOMMENTARY_FLOOR).otherwise(DENSITY_FLOOR)
+    aligned = (density >= floor) & (forward >= (SYLLABLE_FORWARD if syllables else 0.0))
+    return rows.select("pair", "spans", F.round(density, 1).alias("density"), F.round(100.0 * F.col("covered") / F.col("r_len"), 1).alias("root_pct"), forward.alias("forward_pct"), aligned.alias("aligned"))
 
 
 def ranges_text(values: DataFrame, key: str, value: str) -> DataFrame:

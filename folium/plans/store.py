@@ -36,11 +36,6 @@ def terms_search(spark, d):
     return lexical._scored(segments.segment_lines(docs), TERMS, 20)
 
 
-@query("""select n as "limit", greatest(n, least(200, 3 * n))::bigint as lexical, greatest(n, least(200, 6 * n))::bigint as semantic, greatest(n, least(200, 5 * n))::bigint as rerank from range(1, 201) t(n)""")
-def candidate_depths(spark, d):
-    return spark.createDataFrame([(n, *finding.depths(n).values()) for n in range(1, 201)], "limit long, lexical long, semantic long, rerank long")
-
-
 @query("""with b as (select o_orderkey as id, row_number() over (order by o_totalprice desc, o_orderkey) as rank from orders), f as (select o_orderkey as id from orders order by o_orderdate desc, o_orderkey limit 20)
 select count(*) as promoted from f where id not in (select id from b where rank <= 5000)""")
 def promoted_count(spark, d):
@@ -250,15 +245,6 @@ def pairs_to_align(spark, d):
     return commentary.pairs_to_align(_relations(spark, d), works, ("allowed",))
 
 
-@query(f"""with {SEG}, sp as (select doc_id::varchar as pair, doc_id, x * 37 as c_start, 10 as length from documents, range(0, 4) t(x) where text is not null),
-h as (select sp.*, s.ordinal from sp left join s on s.doc_id = sp.doc_id and c_start >= char_start and c_start < char_start + length(content))
-select pair, doc_id, c_start, length::int as length, ordinal from h where pair not in (select pair from h where ordinal is null)""")
-def alignments_whole(spark, d):
-    docs = table(spark, d, "documents")
-    spans = docs.where("text is not null").select(F.col("doc_id").cast("string").alias("pair"), "doc_id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda x: (x * 37).cast("long"))).alias("c_start"), F.lit(10).alias("length"))
-    return commentary.whole_alignments(spans, segments.segment_lines(docs))
-
-
 GLOSS_SQL = """g as (select l_suppkey as work, l_partkey % 40 as first, l_partkey % 40 + l_linenumber - 1 as last, l_orderkey * 10 + l_linenumber as gloss, l_quantity::bigint as length, l_discount > 0.04 as reviewed, l_orderkey % 9 as commentary from lineitem)"""
 
 
