@@ -7,6 +7,8 @@ are made from rules.
 
 from __future__ import annotations
 
+from pathlib import Path
+
 AS_IS = """the software is provided as is without warranty of any kind express or implied including but not limited to the warranties
         of merchantability fitness for a particular purpose and noninfringement in no event shall <<var;max=12>> be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or
         in connection with the software or the use or other dealings in the software"""
@@ -127,6 +129,8 @@ TEMPLATES: dict[str, list[str]] = {
     ],
     "BSD-2-Clause": [f"{BSD_CLAUSES} {BSD_END}"],
     "BSD-3-Clause": [
+        f"""{BSD_CLAUSES} <<var;max=1>> the name of <<var;max=8>> may not be used to endorse or promote products derived from this
+        software without specific prior written permission {BSD_END}""",
         f"""{BSD_CLAUSES} <<var;max=1>> neither the name of <<var;max=12>> nor the names of <<var;max=2>> contributors may be used to
         endorse or promote products derived from this software without specific prior written permission {BSD_END}""",
     ],
@@ -188,18 +192,21 @@ def _creative_commons() -> dict[str, list[str]]:
     return out
 
 
-def _identifiers(labels: list[str]) -> dict[str, list[str]]:
-    """Identifier lines; one that goes on as another identifier does isn't one of this licence."""
-    words = {label: label.lower().replace("-", " ").replace(".", " ") for label in labels}
-    words |= {label: w for label, w in ((x, x.removesuffix("-only").lower().replace("-", " ").replace(".", " ")) for x in labels if x.endswith("-only"))}
-    out = {}
-    for label, w in words.items():
-        longer = [x.removeprefix(w) for other, x in words.items() if other != label and x.startswith(f"{w} ")]
-        out[label] = [f"spdx license identifier {w}" + (f" <<unless>> {longer[0]}" if longer else "")]
-    return out
+def _whole() -> dict[str, str]:
+    """Whole licences, as published, a file each: what comes after the terms is optional, and so are addresses."""
+    return {file.stem: file.read_text() for file in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))}
 
 
 for _made in (_gnu(), _creative_commons()):
     TEMPLATES.update(_made)
-for _label, _lines in _identifiers(list(TEMPLATES)).items():
-    TEMPLATES[_label] = TEMPLATES[_label] + _lines
+
+#: Labels and their licences' whole text; notices within such a text are the text's, and give no label.
+WHOLE: dict[str, str] = _whole()
+
+
+def identifiers() -> dict[str, str]:
+    """Labels by lower-case identifier, as in identifier lines: "+" stands for any later version, a bare GNU identifier for its only one."""
+    labels = [*TEMPLATES, *WHOLE]
+    out = {label.lower(): label for label in labels}
+    out |= {label.lower().removesuffix("-only"): label for label in labels if label.endswith("-only")}
+    return out | {label.lower().removesuffix("-or-later") + "+": label for label in labels if label.endswith("-or-later")}

@@ -613,12 +613,18 @@ def test_license_templates(spark, odd, empty):
     assert licenses.scan_licenses(odd).count() == odd.count() and licenses.scan_licenses(empty).count() == 0
 
 
-def template_labels(text, templates=licenses.TEMPLATES):
-    """Labels of a text by the operator's own scan, without Spark."""
-    by_opening = licenses.compiled(templates)
+def template_labels(text, one=None):
+    """Labels of a text by the operator's own automata and identifiers, without Spark; by one template only where it is given."""
+    by_opening = licenses.every_template() if one is None else licenses.compiled(one, {})
     w = textvec.Words(*textvec.utf8(pa.array([text])))
     key = licenses.pair_key(w.hash)
-    return {t.label for i, k in enumerate(key.tolist()) for t in by_opening.get(k, ()) if t.accepts(w.hash[i:])}
+    spans, whole = [], []
+    for i, k in enumerate(key.tolist()):
+        for t in by_opening.get(k, ()):
+            if used := t.accepts(w.hash[i:]):
+                (whole if t.whole else spans).append({"label": t.label, "start": i, "end": i + used})
+    found = {s["label"] for s in licenses.outside(spans, whole)}
+    return found | ({x for _, _, labels in licenses.identified(text.encode()) for x in labels} if one is None else set())
 
 
 def instance(parts, r, optional):
@@ -648,6 +654,41 @@ def test_each_template_gives_its_label_alone():
             assert not template_labels(" ".join(changed), {label: [text]}), text
 
 
+def test_each_whole_licence_gives_its_label_alone():
+    r = random.Random(5)
+    for label, text in licenses.WHOLE.items():
+        parts = licenses.parse(text)
+        for optional in (False, True):
+            assert template_labels(" ".join(["zz", *instance(parts, r, optional), "zz"])) == {label}
+        words_ = instance(parts, r, False)
+        words_[len(words_) // 2] = "altered"
+        assert not template_labels(" ".join(words_), {label: [text]})
+
+
+def test_licences_as_published():
+    """Texts that come with this machine; each gives its one label."""
+    import pathlib
+
+    want = {"GPL-1": "GPL-1.0-only", "GPL-2": "GPL-2.0-only", "GPL-3": "GPL-3.0-only", "LGPL-2": "LGPL-2.0-only", "LGPL-2.1": "LGPL-2.1-only", "LGPL-3": "LGPL-3.0-only", "Artistic": "Artistic-1.0-Perl", "BSD": "BSD-3-Clause"}
+    for name in ("Apache-2.0", "CC0-1.0", "MPL-1.1", "MPL-2.0"):
+        want[name] = name
+    want |= {name: f"{name}-only" for name in ("GFDL-1.2", "GFDL-1.3")}
+    for name, label in want.items():
+        file = pathlib.Path("/usr/share/common-licenses") / name
+        if file.exists():
+            assert template_labels(file.read_text(errors="replace")) == {label}, name
+
+
+def test_identifier_expressions():
+    for text, want in {
+        "SPDX-License-Identifier: GPL-3.0+": {"GPL-3.0-or-later"},
+        "// SPDX-License-Identifier: Apache-2.0 OR MIT */": {"Apache-2.0", "MIT"},
+        "spdx-license-identifier: (LGPL-2.1 AND BSD-3-Clause) WITH unknown-exception\nMPL-2.0": {"LGPL-2.1-only", "BSD-3-Clause"},
+        "SPDX-License-Identifier: none-known": set(),
+    }.items():
+        assert template_labels(text) == want, text
+
+
 def test_license_neighbours():
     for text, want in {
         "GNU General Public License version 3 or any later version": {"GPL-3.0-or-later"},
@@ -672,7 +713,7 @@ def test_licenses_as_packages_ship_them():
     import pyspark
 
     folder = pathlib.Path(pyspark.__file__).parent / "licenses"
-    for name, want in {"AnchorJS": "MIT", "CC0": "CC0-1.0", "bootstrap": "MIT", "cloudpickle": "BSD-3-Clause", "d3.min.js": "ISC", "json-formatter": "Apache-2.0", "loose-version": "0BSD", "modernizr": "MIT"}.items():
+    for name, want in {"AnchorJS": "MIT", "CC0": "CC0-1.0", "bootstrap": "MIT", "cloudpickle": "BSD-3-Clause", "py4j": "BSD-3-Clause", "d3.min.js": "ISC", "json-formatter": "Apache-2.0", "loose-version": "0BSD", "modernizr": "MIT"}.items():
         file = folder / f"LICENSE-{name}.txt"
         if file.exists():
             assert template_labels(file.read_text(errors="replace")) == {want}, name
