@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,6 +55,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Let the driver collect its garbage, so that Spark deletes the shuffle files of plans that nothing refers to any more; what was
-    written from them stays."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    written from them stays. Once for what Python held, again for what that held in the JVM."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
