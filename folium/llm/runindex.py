@@ -43,7 +43,7 @@ MOST_STRINGS = 256
 #: Hashes that a task holds before it sends them; bytes of text for each range of hashes.
 HELD, RANGE_BYTES, LEAST_RANGES = 1 << 22, 64 << 20, 64
 #: Different pieces in a shard, and of one anchor.
-SHARD, HOT = 1 << 14, 1 << 12
+SHARD, HOT = 1 << 12, 1 << 12
 #: Bytes of a text that are worked on at once, so that what is made of them stays in a processor's cache.
 STRETCH = 1 << 17
 _NONE = np.iinfo(np.int64).max
@@ -261,20 +261,25 @@ def pieces(documents: DataFrame, shared: DataFrame, ranges: int, length: int, k:
     return rows.mapInArrow(cut, "anchor long, piece binary, doc_id long, text_hash int, start long")
 
 
-def _ranks(key: np.ndarray, bits: int) -> tuple[np.ndarray, int]:
-    """(ranks of the keys, which have `bits` bits, how many there are). Keys and places are sorted as one number where they fit."""
+def _ranks(key: np.ndarray, bits: int) -> tuple[np.ndarray, int, np.ndarray]:
+    """(ranks of the keys, which have `bits` bits, how many there are, the places in order, equal keys' as they stand). Keys and
+    places are sorted as one number where they fit."""
     n = len(key)
     place_bits = max(1, (n - 1).bit_length())
     if bits + place_bits <= 64:
-        both = np.sort((key << np.uint64(place_bits)) | np.arange(n, dtype=np.uint64))
+        both = key << np.uint64(place_bits)
+        both |= np.arange(n, dtype=np.uint64)
+        both.sort()
         order = (both & np.uint64((1 << place_bits) - 1)).astype(np.int64)
         both >>= np.uint64(place_bits)
     else:
         order = np.argsort(key, kind="stable")
         both = key[order]
-    rank = np.empty(n, np.uint64)
-    rank[order] = np.append(0, np.cumsum(both[1:] != both[:-1])).astype(np.uint64)
-    return rank, int(rank[order[-1]]) + 1
+    in_order = np.zeros(n, np.uint32)
+    np.cumsum(both[1:] != both[:-1], out=in_order[1:])
+    rank = np.empty(n, np.uint32)
+    rank[order] = in_order
+    return rank, int(in_order[-1]) + 1, order
 
 
 class Bits:
@@ -351,23 +356,23 @@ def build(data: np.ndarray, sizes: np.ndarray, least: np.ndarray, length: int =
     for j in range(4):
         key <<= np.uint64(9)
         key[: n - j] |= np.where(left[: n - j] >= j, symbol[j:], np.uint64(0))
-    (rank, kinds), h, alike, bits = _ranks(key, 36), 4, None, n.bit_length()
+    (rank, kinds, order), h, alike, bits = _ranks(key, 36), 4, None, n.bit_length()
     while h < int(sizes.max()) + 1:
         if h <= length <= 2 * h:
             alike = rank * np.uint64(n) + _ahead(rank, length - h)
         if kinds == n and alike is not None:
             break
-        rank, kinds = _ranks(rank << np.uint64(bits) | np.where(left >= h, _ahead(rank, h) + np.uint64(1), np.uint64(0)), 2 * bits)
+        key = np.where(left >= h, _ahead(rank, h) + np.uint32(1), np.uint32(0)).astype(np.uint64)
+        key |= rank.astype(np.uint64) << np.uint64(bits)
+        had = kinds
+        rank, kinds, order = _ranks(key, 2 * bits)
         h *= 2
-    if kinds == n:
-        order = np.empty(n, np.int64)
-        order[rank.astype(np.int64)] = np.arange(n)
-    else:
-        order = np.argsort(rank, kind="stable")
+        if kinds == had and alike is not None:  # what is equal now stays equal
+            break
     before = np.where(order > 0, symbol[order - 1], np.uint64(0))
     head = np.flatnonzero(np.append(True, before[1:] != before[:-1]))
     size, run_symbol = np.diff(np.append(head, n)), before[head]
-    by_symbol = np.argsort(run_symbol, kind="stable")
+    by_symbol = np.argsort(run_symbol.astype(np.uint16), kind="stable")
     back = np.empty(len(head), np.int64)
     back[by_symbol] = np.cumsum(size[by_symbol]) - size[by_symbol]
     long_, group = left[order] >= length, alike[order]
@@ -415,7 +420,7 @@ def repeats(documents: DataFrame, length: int = LENGTH, k: int = ANCHOR, hot: in
     different = stored(cut.groupBy("anchor", "piece").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).withColumn("piece_hash", F.xxhash64("piece")), "pieces")
     release(documents.sparkSession)
     shards = max(1, different.count() // shard)
-    place = lambda *c: F.pmod(F.xxhash64(*c), F.lit(shards)).alias("shard")
+    place = lambda n, *c: F.pmod(F.xxhash64(*c), F.lit(n)).alias("shard")
     crowded = stored(different.groupBy("anchor").agg(F.count("*").alias("kinds")).where(F.col("kinds") > hot).select("anchor", F.lit(True).alias("crowded")), "crowded")
     found = []
     if crowded.isEmpty():
@@ -426,10 +431,10 @@ def repeats(documents: DataFrame, length: int = LENGTH, k: int = ANCHOR, hot: in
         strings = F.transform(F.sequence(F.lit(1), F.length("piece") - length + 1), lambda i: F.struct((i - 1).cast("long").alias("at"), F.substring("piece", i, length).alias("string")))
         each = stored(marked.where("crowded").select("anchor", "piece_hash", "most", "least", F.explode(strings).alias("s")).select("anchor", "piece_hash", "most", "least", "s.*"), "strings")
         reduced = each.groupBy("string").agg(F.min("least").alias("least"), F.max("most").alias("most"))
-        own = earlier(reduced.select(place("string"), F.lit(0).cast("long").alias("anchor"), F.xxhash64("string").alias("piece_hash"), F.col("string").alias("piece"), "least", "most"), length)
+        own = earlier(reduced.select(place(max(1, each.count() // shard), "string"), F.lit(0).cast("long").alias("anchor"), F.xxhash64("string").alias("piece_hash"), F.col("string").alias("piece"), "least", "most"), length)
         own = stored(own.select(F.col("piece_hash").alias("string_hash"), F.col("least").alias("before")), "strings")
         found.append(each.withColumn("string_hash", F.xxhash64("string")).join(own, "string_hash").where("before < most").select("anchor", "piece_hash", "at", F.lit(1).cast("long").alias("n"), F.col("before").alias("least")))
-    found.append(earlier(rest.select(place("anchor"), "anchor", "piece_hash", "piece", "least", "most"), length))
+    found.append(earlier(rest.select(place(shards, "anchor"), "anchor", "piece_hash", "piece", "least", "most"), length))
     every = found[0] if len(found) == 1 else found[0].unionByName(found[1])
     marks = stored(every, "marks")
     del every, found, rest
