@@ -95,7 +95,7 @@ def _occurrences(text: str | None) -> list[dict]:
     text, out, byte = text or "", [], [0]
     for c in text:
         byte.append(byte[-1] + len(c.encode()))
-    for m in re.finditer(CITATION, text):
+    for m in re.finditer(f"(?<![a-z]){CITATION}", text):  # not from within a run of letters again and again
         start, end = m.span()
         opened = text[start - 1 : start] in BRACKETS and start > 0
         closed = text[end : end + 1] in BRACKETS.values() and end < len(text)

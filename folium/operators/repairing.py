@@ -23,7 +23,7 @@ from folium.operators.reports import blocks
 from folium.operators.reuse import find_passages
 
 #: What is looked at as a citation: anything that begins as an address, with a generated translation's mark, well formed or not.
-ANY_CITATION = r"[a-z]+\d*:\d+@[A-Za-z0-9]+(?:-[A-Za-z0-9]+)?(?:#tr:[A-Za-z0-9/:._-]*[A-Za-z0-9])?"
+ANY_CITATION = r"(?<![a-z])[a-z]+\d*:\d+@[A-Za-z0-9]+(?:-[A-Za-z0-9]+)?(?:#tr:[A-Za-z0-9/:._-]*[A-Za-z0-9])?"
 WRAPPERS = BRACKETS | {"【": "】"}
 #: Characters of the shortest quotation that is looked for elsewhere, and how many places are named.
 SHORTEST, NAMED = 4, 3
@@ -172,12 +172,15 @@ def _rebound(text: str, plans: list[dict], found: list[dict]) -> set[int]:
 
 def repaired_text(text: str, found: list[dict]) -> tuple[str, list[dict], list[dict]]:
     """(text, actions, edits) of one text from its diagnosed occurrences, in order."""
+    columns = ("k", "urn", "state", "reason", "replaced_urn")
     plans = [_planned(f) for f in found]
+    if not any(p["edit"] for p in plans):
+        return text, [{c: p[c] for c in columns} for p in plans], []
     for refused, reason in ((_touching, "overlapping_edits"), (lambda p, f: _rebound(text, p, f), "citation_rebinding")):
         for k in refused(plans, found):
             plans[k] |= {"state": "flagged", "reason": reason, "replaced_urn": None, "edit": None, "now": found[k]["quoted"]}
     edits = [p["edit"] for p in plans if p["edit"]]
-    actions = [{c: p[c] for c in ("k", "urn", "state", "reason", "replaced_urn")} for p in plans]
+    actions = [{c: p[c] for c in columns} for p in plans]
     return edited(text, edits), actions, [{"start": a, "end": b, "before": text[a:b], "after": new} for a, b, new in edits]
 
 

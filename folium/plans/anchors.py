@@ -65,3 +65,50 @@ def sequential_anchors(spark, d):
     each = F.explode(F.array(*[F.struct(F.lit(i + 1).alias("n"), t.alias("text")) for i, t in enumerate(texts)]))
     passages = near.select(F.col("doc_id").alias("work"), (number + 1).alias("number"), each.alias("p")).select("work", "number", "p.*")
     return anchoring.sequential_anchors(passages, lines)
+
+
+_BARE = r"regexp_replace({}, '[\p{{P}}\p{{S}}\p{{Z}}\s]+', '', 'g')"
+
+
+@query(rf"""with {SEG},
+q as (select doc_id, ordinal, content, ordinal % 6 as k, case ordinal % 6 when 0 then replace(left(content, 60), '"', '') when 1 then 'zzzz qqqq ' || replace(left(content, 60), '"', '') when 2 then replace(replace(left(content, 60), '"', ''), ' ', '. ') else 'as it says' end as quote,
+  'src:' || doc_id || '@' || case ordinal % 6 when 4 then 'l99999' when 5 then 'none' else 'l' || ordinal end as urn from s),
+t as (select *, 'It says ' || case when k = 3 then '' else '"' || quote || '" ' end || '[' || urn || '].' as text, {_BARE.format('quote')} as needle, {_BARE.format('content')} as line from q),
+c as (select *, len(list_filter(range(1, length(line) + 1), lambda i: needle <> '' and substring(line, i, length(needle)) = needle)) as n from t),
+v as (select *, case when k in (4, 5) then 'no_sources' when k = 3 or quote = '' then 'existence_only' when trim(quote) <> '' and contains(content, trim(quote)) then 'verified' when needle = '' then 'flagged' when n = 1 then 'quote_relaxed' when n > 1 then 'flagged' else 'no_sources' end as state from c)
+select doc_id, ordinal, state, case when k = 4 then 'not_found' when k = 5 then 'bad_urn' when state in ('existence_only', 'verified') then null when needle = '' then 'empty_quote' when n = 1 then 'editorial_punctuation' when n > 1 then 'ambiguous_quote' else 'not_found_in_search' end as reason,
+  case when state <> 'quote_relaxed' then sha256(case when state = 'no_sources' then replace(text, '[' || urn || ']', '') else text end) end as text_sha256 from v""")
+def citations_repaired(spark, d):
+    """A text for each segment: its own words, its words with other marks, words that it doesn't have, no quotation, no such line, no
+    address."""
+    from folium.operators import repairing
+
+    s = segments.segment_lines(table(spark, d, "documents"))
+    k, urn = F.col("ordinal") % 6, F.concat(F.lit("src:"), F.col("doc_id").cast("string"), F.lit("@l"), F.col("ordinal").cast("string"))
+    held = s.select(urn.alias("urn"), "doc_id", "ordinal", "content")
+    own = F.replace(F.substring("content", 1, 60), F.lit('"'), F.lit(""))
+    quote = F.when(k == 0, own).when(k == 1, F.concat(F.lit("zzzz qqqq "), own)).when(k == 2, F.replace(own, F.lit(" "), F.lit(". "))).otherwise(F.lit("as it says"))
+    cited = F.concat(F.lit("src:"), F.col("doc_id").cast("string"), F.lit("@"), F.when(k == 4, F.lit("l99999")).when(k == 5, F.lit("none")).otherwise(F.concat(F.lit("l"), F.col("ordinal").cast("string"))))
+    text = F.concat(F.lit("It says "), F.when(k == 3, F.lit("")).otherwise(F.concat(F.lit('"'), quote, F.lit('" '))), F.lit("["), cited, F.lit("]."))
+    done = repairing.repair(s.select(F.struct("doc_id", "ordinal").alias("doc_id"), text.alias("text")), held)
+    action = F.get("actions", F.lit(0))
+    return done.select("doc_id.doc_id", "doc_id.ordinal", action["state"].alias("state"), action["reason"].alias("reason"), F.when(action["state"] != "quote_relaxed", F.sha2(F.col("text").cast("binary"), 256)).alias("text_sha256"))
+
+
+@query(f"""with {SEG}, r as (select doc_id, row_number() over (partition by doc_id order by ordinal) as i, ordinal % 6 as k, content from s)
+select doc_id, (4 * i - 2)::bigint as line,
+  case when k >= 4 or i > 25 then 'refused' when k = 2 then 'changed' when k = 1 then 'failed' when k = 3 then 'executed' else 'verified' end as status,
+  case k when 4 then 'unknown_question' when 5 then 'invalid_json' else case when i > 25 then 'too_many_records' end end as problem from r""")
+def report_replays(spark, d):
+    """A report for each document, with a record for each line: right and wrong assertions, none, another corpus, an unknown question, no JSON."""
+    from folium.operators import reports
+
+    s = segments.segment_lines(table(spark, d, "documents"))
+    urn = F.concat(F.lit("src:"), F.col("doc_id").cast("string"), F.lit("@l"), F.col("ordinal").cast("string"))
+    k, quoted = F.col("ordinal") % 6, lambda *c: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in c])
+    facts = F.when(k == 1, quoted(', "assert": {"length": ', (F.length("content") + 1).cast("string"), "}")).when(k == 3, F.lit("")).otherwise(quoted(', "assert": {"sha256": "', F.col("content_sha256"), '", "length": ', F.length("content").cast("string"), "}"))
+    body = quoted('{"question": "', F.when(k == 4, F.lit("drop")).otherwise(F.lit("line")), '", "arguments": {"urn": "', urn, '"}', F.when(k == 2, F.lit(', "corpus": "old"')).otherwise(F.lit("")), facts, F.when(k == 5, F.lit("")).otherwise(F.lit("}")))
+    block = quoted("prose\n```replay\n", body, "\n```")
+    texts = s.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("ordinal", block.alias("b")))).alias("bs")).select("doc_id", F.array_join(F.transform("bs", lambda b: b["b"]), "\n").alias("text"))
+    held = s.select(urn.alias("urn"), "doc_id", "content")
+    return reports.replayed(reports.records(texts), {"line": reports.line_question(held), "phrase": reports.phrase_question(held)}, "now")

@@ -45,14 +45,14 @@ def cursor_alignment(spark, d):
 
 
 @query(f"""with recursive {SEG}, {ORACLE_CHUNKS}, c as (select doc_id, chunk_no, min(ordinal) as lo, max(ordinal) as hi from r group by 1, 2),
-g as (select doc_id, ordinal as first, ordinal + 1 as last, left(content, 10) as text from s where regexp_matches(content, '^[A-M]')),
+g as (select doc_id, ordinal as first, ordinal + 1 as last, content as text from s),
 h as (select c.*, first, last, text from c join g using (doc_id) where last >= lo and first <= hi),
 k as (select doc_id, chunk_no, count(distinct u) / (any_value(hi) - any_value(lo) + 1) as share from (select *, unnest(range(greatest(first, lo), least(last, hi) + 1)) as u from h) group by 1, 2)
 select doc_id as text_id, chunk_no::bigint as chunk_no, sha256(string_agg(text, ' ' order by first, last)) as text_sha256 from h join k using (doc_id, chunk_no) where share >= 0.5 group by 1, 2""")
 def chunk_renderings(spark, d):
     s = _lines(spark, d)
     chunks = segments.greedy_chunks(s).select(F.col("doc_id").alias("text_id"), F.col("chunk_no").cast("long").alias("chunk_no"), "first_ordinal", "last_ordinal")
-    given = s.where(F.col("content").rlike("^[A-M]")).select(F.col("doc_id").alias("text_id"), F.col("ordinal").alias("first"), (F.col("ordinal") + 1).alias("last"), F.lit(0).alias("reading_order"), F.substring("content", 1, 10).alias("text"))
+    given = s.select(F.col("doc_id").alias("text_id"), F.col("ordinal").alias("first"), (F.col("ordinal") + 1).alias("last"), F.lit(0).alias("reading_order"), F.col("content").alias("text"))
     return citing.covered_renderings(given, chunks).select("text_id", "chunk_no", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
