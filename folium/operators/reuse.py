@@ -2,21 +2,71 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folium.functions.text import ngrams, over_ngrams
+from folium.functions.text import ngrams
+from folium.session import share_package
 
 SEED, MOST, LEAST = 12, 200, 20
 
 
+#: Characters of a text that are worked on at once, and rows that a batch holds.
+STRETCH, BATCH = 1 << 20, 1 << 17
+_MIX = np.random.default_rng(12).integers(1, 1 << 63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _window_keys(points: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of every n characters."""
+    out = []
+    for odd in _MIX:
+        h = np.zeros(len(points) - n + 1, np.uint64)
+        for j in range(n):
+            h += points[j : j + len(h)] * odd[j]
+            if j % 4 == 3:
+                h ^= h >> np.uint64(29)
+                h *= odd[-1 - j // 4]
+        h ^= h >> np.uint64(32)
+        out.append((h * odd[100]).view(np.int64))
+    return out[0], out[1]
+
+
 def seeds(texts: DataFrame, n: int = SEED) -> DataFrame:
-    """doc_id, pos (from 0), seed, prev, next: every run of n characters and the characters around it (empty at the ends)."""
-    around = lambda c, i: F.struct((i - 1).cast("long").alias("pos"), F.array_join(F.slice(c, i, n), "").alias("seed"), F.coalesce(F.get(c, i - 2), F.lit("")).alias("prev"), F.coalesce(F.get(c, i + n - 1), F.lit("")).alias("next"))
-    return texts.select("doc_id", F.explode(over_ngrams(F.col("text"), n, around)).alias("s")).select("doc_id", "s.*")
+    """doc_id, pos (from 0), a, b, prev, next: every run of n characters (at most 200) as two 64-bit hashes, and the characters around it (-1
+    at the ends). Texts are read in stretches, so a long one costs no more memory than a short one."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        names = ["pos", "a", "b", "prev", "next"]
+
+        def batch_of() -> pa.RecordBatch:
+            ids = pa.concat_arrays([pa.repeat(x, len(c[0])) for x, c in held])
+            return pa.RecordBatch.from_arrays([ids, *(pa.array(np.concatenate(c)) for c in zip(*(c for _, c in held), strict=True))], ["doc_id", *names])
+
+        for batch in batches:
+            for doc_id, text in zip(batch.column("doc_id"), batch.column("text").to_pylist(), strict=True):
+                points = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+                around = np.concatenate([[-1], points.astype(np.int32), [-1]]).astype(np.int32)
+                for s in range(0, max(0, len(points) - n + 1), STRETCH):
+                    a, b = _window_keys(points[s : s + STRETCH + n - 1], n)
+                    held.append((doc_id, (np.arange(s, s + len(a)), a, b, around[s : s + len(a)], around[s + n + 1 : s + n + 1 + len(a)])))
+                    rows += len(a)
+                    if rows >= BATCH:
+                        yield batch_of()
+                        held, rows = [], 0
+        if held:
+            yield batch_of()
+
+    share_package(texts.sparkSession)
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    return texts.select("doc_id", "text").mapInArrow(cut, f"doc_id {kind}, pos long, a long, b long, prev int, next int")
 
 
 def seed_counts(texts: DataFrame, n: int = SEED) -> DataFrame:
@@ -24,31 +74,46 @@ def seed_counts(texts: DataFrame, n: int = SEED) -> DataFrame:
     return texts.select(F.explode(ngrams(F.col("text"), n)).alias("seed")).groupBy("seed").agg(F.count("*").alias("n"))
 
 
-@F.pandas_udf(T.LongType())
-def _common_prefix(a: pd.Series, b: pd.Series) -> pd.Series:
-    def length(x: str, y: str) -> int:
-        lo, hi = 0, min(len(x), len(y))
-        while lo < hi:
-            mid = (lo + hi + 1) // 2
-            lo, hi = (mid, hi) if x[:mid] == y[:mid] else (lo, mid - 1)
-        return lo
+def _common(x: str, y: str) -> int:
+    """Characters that two texts begin with in common: the first stretch that differs is halved."""
+    lo, step = 0, 64
+    while lo < min(len(x), len(y)) and x[lo : lo + step] == y[lo : lo + step]:
+        lo, step = min(lo + step, len(x), len(y)), step * 2
+    hi = min(lo + step, len(x), len(y))
+    while lo < hi:
+        mid = (lo + hi + 1) // 2
+        lo, hi = (mid, hi) if x[lo:mid] == y[lo:mid] else (lo, mid - 1)
+    return lo
+
 
-    return pd.Series([length(x, y) for x, y in zip(a, b, strict=True)])
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _common_from(a: pd.Series, b: pd.Series, places: pd.Series) -> pd.Series:
+    """For each place of a pair of texts, the characters in common from there on."""
+    return pd.Series([[_common(x[p["a_start"] :], y[p["b_start"] :]) for p in at] for x, y, at in zip(a, b, places, strict=True)])
 
 
-def reuse_pairs(texts: DataFrame, least: int = LEAST, most: int = MOST, n: int = SEED) -> DataFrame:
+def reuse_pairs(texts: DataFrame, least: int = LEAST, most: int | None = MOST, n: int = SEED) -> DataFrame:
     """a_doc, a_start, b_doc, b_start, length of every maximal passage of at least `least` characters that two texts share.
 
-    Only seeds that occur 2 to `most` times over all texts are paired. A pair of equal seeds matters only where a
-    match begins (the characters before differ) or ends (those after differ), so pairs grow with the number of
-    matches, not with their length; a beginning whose end was not paired is measured on the texts themselves."""
-    usable = seed_counts(texts, n).where(F.col("n").between(2, most)).select("seed")
-    hits = seeds(texts, n).join(usable, "seed")
-    side = lambda p: hits.select("seed", *[F.col(c).alias(p + c) for c in ("doc_id", "pos", "prev", "next")])
-    begins = (F.col("a_prev") != F.col("b_prev")) | (F.col("a_prev") == "") | (F.col("b_prev") == "")
-    ends = (F.col("a_next") != F.col("b_next")) | (F.col("a_next") == "") | (F.col("b_next") == "")
-    pairs = side("a_").join(side("b_"), "seed").where(F.col("a_doc_id") < F.col("b_doc_id")).where(begins | ends)
-    edges = pairs.select(F.col("a_doc_id").alias("a_doc"), F.col("b_doc_id").alias("b_doc"), F.col("a_pos").alias("a_start"), (F.col("b_pos") - F.col("a_pos")).alias("diagonal"), begins.alias("begins"), ends.alias("ends"))
+    Only seeds that occur 2 to `most` times over all texts are paired (None: any number of times). A pair of equal seeds matters
+    only where a match begins (the characters before differ) or ends (those after differ), so pairs grow with the number of matches,
+    not with their length; seeds that have the same characters around them everywhere, or lie in one text, are dropped before anything
+    is paired. A beginning whose end was not paired is measured on the texts themselves."""
+    every, key = seeds(texts, n), ["a", "b"]
+    edge = lambda c: (F.min(c) != F.max(c)) | (F.min(c) < 0)
+    counts = every.groupBy(*key).agg(F.count("*").alias("n"), (edge("prev") | edge("next")).alias("edge"), (F.min("doc_id") != F.max("doc_id")).alias("shared"))
+    usable = counts.where((F.col("n") >= 2) & F.col("edge") & F.col("shared"))
+    hits = every.join((usable if most is None else usable.where(F.col("n") <= most)).select(*key), key)
+    # rows of one key with the same characters around make no edge with each other, unless at a text's end: classes of at most `most`
+    # rows are paired first; without a bound a class is a row
+    place = F.struct("doc_id", "pos")
+    kinds = hits.select(*key, "prev", "next", F.array(place).alias("places")) if most is None else hits.groupBy(*key, "prev", "next").agg(F.collect_list(place).alias("places"))
+    side = lambda p: kinds.select(*key, *[F.col(c).alias(p + c) for c in ("prev", "next", "places")])
+    begins = (F.col("a_prev") != F.col("b_prev")) | (F.col("a_prev") < 0) | (F.col("b_prev") < 0)
+    ends = (F.col("a_next") != F.col("b_next")) | (F.col("a_next") < 0) | (F.col("b_next") < 0)
+    classes = side("a_").join(side("b_"), key).where(begins | ends).select("a_places", "b_places", begins.alias("begins"), ends.alias("ends"))
+    pairs = classes.select("begins", "ends", "b_places", F.explode("a_places").alias("a")).select("begins", "ends", "a", F.explode("b_places").alias("b")).where(F.col("a.doc_id") < F.col("b.doc_id"))
+    edges = pairs.select(F.col("a.doc_id").alias("a_doc"), F.col("b.doc_id").alias("b_doc"), F.col("a.pos").alias("a_start"), (F.col("b.pos") - F.col("a.pos")).alias("diagonal"), "begins", "ends")
     w = W.partitionBy("a_doc", "b_doc", "diagonal").orderBy("a_start")
     ahead = w.rowsBetween(0, W.unboundedFollowing)
     end = F.first(F.when(F.col("ends"), F.col("a_start")), ignorenulls=True).over(ahead)
@@ -58,8 +123,10 @@ def reuse_pairs(texts: DataFrame, least: int = LEAST, most: int = MOST, n: int =
     starts = starts.withColumn("b_start", F.col("a_start") + F.col("diagonal"))
     done = starts.where(closed).select("a_doc", "a_start", "b_doc", "b_start", (F.col("end") - F.col("a_start") + n).alias("length"))
     text = lambda p: texts.select(F.col("doc_id").alias(f"{p}_doc"), F.col("text").alias(f"{p}_text"))
-    rest = lambda p: F.col(f"{p}_text").substr((F.col(f"{p}_start") + 1).cast("int"), F.length(f"{p}_text"))
-    open_ = starts.where(~closed).join(text("a"), "a_doc").join(text("b"), "b_doc").select("a_doc", "a_start", "b_doc", "b_start", _common_prefix(rest("a"), rest("b")).alias("length"))
+    # texts are fetched once for all open beginnings of a pair
+    asked = starts.where(~closed).groupBy("a_doc", "b_doc").agg(F.collect_list(F.struct("a_start", "b_start")).alias("places"))
+    measured = asked.join(text("a"), "a_doc").join(text("b"), "b_doc").withColumn("lengths", _common_from("a_text", "b_text", "places"))
+    open_ = measured.select("a_doc", "b_doc", F.explode(F.arrays_zip("places", "lengths")).alias("m")).select("a_doc", "m.places.a_start", "b_doc", "m.places.b_start", F.col("m.lengths").alias("length"))
     return done.union(open_).where(F.col("length") >= least)
 
 

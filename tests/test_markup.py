@@ -63,9 +63,26 @@ def test_foreign_citations_and_addresses(spark):
     assert {r["id"]: (r["urn"], r["problem"]) for r in citing.address_to_urn(asked, lines).collect()} == {1: ("u3", None), 2: ("u28", None), 3: (None, "ambiguous"), 4: (None, "not_found")}
 
 
+def test_foreign_citations_are_read_by_their_parts():
+    cases = {
+        "T. 9, 1a1": [("print", "T0009", 1, "a", False, 1)], "T262.3b12": [("print", "T0262", 3, "b", False, 12)], "T 262 , 6a-23.": [("print", "T0262", 6, "a", True, 23)],
+        "T262 6a234": [], "T262 6d2": [], "T26234 6a2": [], "AT262 6a2": [], "T_262 6a2": [], "T262 1234a5": [], "T262,6a": [],
+        "T0262.09.0006a23": [("sat", "T0262", 6, "a", False, 23)], "T0262_09.0006a23": [], "T0262.0006a2": [], "T0262.0006a233": [], "T0262.09.006a23": [], "T026.0006a23": [],
+        "t262 6a2": [], "(T262 6a2)": [("print", "T0262", 6, "a", False, 2)],
+    }
+    for text, want in cases.items():
+        assert [(c["form"], c["work"], c["page"], c["register"], c["from_foot"], c["line"]) for c in citing.citations_in(text)] == want, text
+    suttas = {"sn22.51:1.1": ("sn22.51", "1.1"), "see an1.1-10:2.3.4, and": ("an1.1-10", "2.3.4"), "mn1:1.2.3x": ("mn1", "1.2"), "MN1:1.1": None, "mn:1.1": None, "mn1:1": None, "mn.1:1.1": None, "x_mn1:1.1": None, "12:30.5": None}
+    for text, want in suttas.items():
+        assert [(c["work"], c["segment"]) for c in citing.citations_in(text)] == ([want] if want else []), text
+    assert citing.citations_in("") == []
+
+
 def test_rewriting_and_quotes(spark):
     r = frame(spark, [('T1 and "T1" or T1', "T1", "urn")], "t string, f string, u string").select(citing.rewritten(F.col("t"), F.col("f"), F.col("u")).alias("x")).first()
     assert r["x"] == 'urn and "T1" or urn'
+    marks = frame(spark, [("T1「T1」T1『T1』“T1” T1 “T1", "T1", "u")], "t string, f string, u string").select(citing.rewritten(F.col("t"), F.col("f"), F.col("u")).alias("x")).first()
+    assert marks["x"] == "u「T1」u『T1』“T1” u “u"
     q = frame(spark, [("b", "abc"), ("b", "abcb"), ("z", "abc"), ("", "abc")], "q string, s string").select(citing.quote_in_source(F.col("q"), F.col("s")).alias("at")).collect()
     assert [x["at"] for x in q] == [1, None, None, None]
 

@@ -7,7 +7,7 @@ import random
 import pytest
 
 from folium.functions import text, urn
-from folium.operators import evidence, identity, lexical, relations, renderings, reuse, segments, semantic
+from folium.operators import commentary, evidence, identity, lexical, relations, renderings, reuse, segments, semantic
 from folium.plans import QUERIES
 from folium.sources import tables
 from folium.streaming import events as stream
@@ -76,7 +76,7 @@ def maximal_matches(texts, least, most, n):
             if a < b:
                 for i in range(len(x)):
                     for j in range(len(y)):
-                        if x[i : i + n] == y[j : j + n] and len(x) - i >= n <= len(y) - j and (i == 0 or j == 0 or x[i - 1] != y[j - 1]) and count[x[i : i + n]] <= most:
+                        if x[i : i + n] == y[j : j + n] and len(x) - i >= n <= len(y) - j and (i == 0 or j == 0 or x[i - 1] != y[j - 1]) and (most is None or count[x[i : i + n]] <= most):
                             k = 0
                             while i + k < len(x) and j + k < len(y) and x[i + k] == y[j + k]:
                                 k += 1
@@ -91,7 +91,7 @@ def test_reuse_against_brute_force(spark):
     shared = [word() for _ in range(6)]
     texts = [(i, " ".join(rng.choice(shared) if rng.random() < 0.5 else word() for _ in range(12))) for i in range(8)]
     docs = frame(spark, texts, "doc_id long, text string")
-    for most in (200, 4):
+    for most in (200, 4, None):
         got = {tuple(r) for r in reuse.reuse_pairs(docs, least=14, most=most).select("a_doc", "a_start", "b_doc", "b_start", "length").collect()}
         assert got == maximal_matches(texts, 14, most, 12)
 
@@ -115,6 +115,59 @@ def test_alignment_finds_lemmas_in_order(spark):
     assert m["spans"] == 2 and m["forward_pct"] == 100 and m["aligned"]
 
 
+def test_passages_have_their_places_in_the_texts_as_they_are(spark):
+    """White space is not matched on, but places count it."""
+    rng = random.Random(4)
+    root = "".join(rng.choice("甲乙丙丁戊己庚辛壬癸子丑寅卯") for _ in range(120))
+    rows = []
+    for k in range(12):
+        parts = []
+        for _ in range(8):
+            a = rng.randrange(100)
+            parts.append(root[a : a + rng.randrange(4, 20)] if rng.random() < 0.7 else "".join(rng.choice("xyz") for _ in range(6)))
+        spaced = lambda t: "".join(c + rng.choice(["", "", "", "\n", " \n"]) for c in t)
+        rows.append((f"p{k}", spaced("".join(parts)), spaced(root)))
+    dense = lambda t: "".join(t.split())
+    by = {p: (c, r) for p, c, r in rows}
+    got = reuse.lemma_spans(frame(spark, rows, "pair string, commentary string, root string")).collect()
+    assert got
+    for x in got:
+        c, r = by[x["pair"]][0][x["c_start"] : x["c_end"]], by[x["pair"]][1][x["r_start"] : x["r_end"]]
+        assert dense(c) == dense(r) and len(dense(c)) >= 8 and c == c.strip() and r == r.strip()
+    want = set()  # windows that are unique in the root, by the definition
+    for p, c, r in rows:
+        d = dense(r)
+        grams = [d[i : i + 8] for i in range(len(d) - 7)]
+        want |= {(p, w) for i in range(len(dense(c)) - 7) if grams.count(w := dense(c)[i : i + 8]) == 1}
+    assert {(x["pair"], dense(by[x["pair"]][0][x["c_start"] : x["c_end"]])[i : i + 8]) for x in got for i in range(len(dense(by[x["pair"]][0][x["c_start"] : x["c_end"]])) - 7)} == want
+
+
+def test_passages_by_syllables(spark):
+    syllables = "བཅོམ་ལྡན་འདས་ལ་ཕྱག་འཚལ་ལོ་དེ་ནས་རྒྱལ་པོ"
+    root = f"ཨོཾ་{syllables}།"
+    commentary = f"འདི་སྐད་ཅེས་{syllables.replace('འདས་', 'འདས་' + chr(10))}་ཞེས"
+    got = reuse.lemma_spans(frame(spark, [("p", commentary, root)], "pair string, commentary string, root string"), syllables=True).collect()
+    assert len(got) == 1
+    x = got[0]
+    assert root[x["r_start"] : x["r_end"]] == "བཅོམ་ལྡན་འདས་ལ་ཕྱག་འཚལ་ལོ་དེ་ནས་རྒྱལ་" and "".join(commentary[x["c_start"] : x["c_end"]].split()) == "བཅོམ་ལྡན་འདས་ལ་ཕྱག་འཚལ་ལོ་དེ་ནས་རྒྱལ་"
+
+
+def test_alignments_are_written_whole_or_not_at_all(spark):
+    root = "ROOTTEXT one two three four five six seven"
+    text = "first line\nsecond line with\nROOTTEXT one\n two three four and on\nfive six seven"
+    pairs = frame(spark, [("p", "c", "r", text, root)], "pair string, c_doc string, r_doc string, commentary string, root string")
+    lines = segments.segment_lines(frame(spark, [("c", text), ("r", root)], "doc_id string, text string"))
+    rows = sorted(commentary.alignments(pairs, lines).collect(), key=lambda r: r["c_start"])
+    assert [(r["c_first"], r["c_last"], r["r_first"], r["r_last"]) for r in rows] == [(2, 3, 0, 0), (4, 4, 0, 0)]
+    assert [text[r["c_start"] : r["c_end"]] for r in rows] == ["ROOTTEXT one\n two three four", "five six seven"] and rows[0]["c_start"] == 28
+    assert {(r["method"], r["confidence"], r["length"]) for r in rows} == {("lemma_match", "probable", 27), ("lemma_match", "probable", 14)} and rows[0]["forward_pct"] == 100.0
+    assert commentary.alignments(pairs, lines.where("not (doc_id = 'c' and ordinal = 4)")).isEmpty()
+    far = frame(spark, [("p", "c", "r", text + " x y z" * 2000, root)], pairs.schema)
+    assert commentary.alignments(far, lines).isEmpty()  # too few passages for its length
+    m = reuse.align_metrics(far.withColumn("role", F.lit("subcommentary")), reuse.lemma_spans(far)).first()
+    assert not m["aligned"] and m["spans"] == 2 and m["density"] < 2
+
+
 def test_intervals(spark):
     rows = frame(spark, [("k", 0, 5), ("k", 3, 8), ("k", 10, 12), ("j", 1, 1)], "key string, a long, b long")
     assert {tuple(r) for r in reuse.union_length(rows, "key", "a", "b").collect()} == {("k", 10), ("j", 0)}

@@ -98,9 +98,6 @@ def test_relations_are_validated(spark):
     held = spark.createDataFrame([("a", "b", None, "r", "m", 1)], schema)
     new = spark.createDataFrame([("a", "b", None, "r", "m", 2), ("a", "a", None, "r", "m", 1), ("a", None, None, "r", "m", 1), ("a", None, "x", "r", "m", 1)], schema)
     assert {(r["target"], r["ref"], r["at"]) for r in commentary.asserted(held, new).collect()} == {("b", None, 2), (None, "x", 1)}
-    spans = spark.createDataFrame([("p", 1, 0, 2), ("p", 1, 7, 2), ("q", 1, 3, 2)], "pair string, doc_id long, c_start long, length int")
-    lines = spark.createDataFrame([(1, 0, 0, 5)], "doc_id long, ordinal long, char_start long, char_end long")
-    assert {r["pair"] for r in commentary.whole_alignments(spans, lines).collect()} == {"q"}
 
 
 def test_cases_and_words_of_a_dictionary(spark):
