@@ -33,13 +33,13 @@ class Scope:
         return rows
 
 
-def _scored(segments: DataFrame, terms: list[str], limit: int | None) -> DataFrame:
+def _scored(segments: DataFrame, terms: list[str], limit: int) -> DataFrame:
     """Segments with any of the terms: doc_id, ordinal, terms_matched, occurrences, rank.
 
-    Ranked by terms matched, then occurrences, then place in the text; the whole match set is ranked."""
+    Ranked by terms matched, then occurrences, then place in the text; of the whole match set, the first `limit`."""
     if not terms:
         raise ValueError("the query has no terms")
-    if limit is not None and not 0 < limit <= MOST_HITS:
+    if not 0 < limit <= MOST_HITS:
         raise ValueError(f"limit must be 1 to {MOST_HITS}")
     found = [F.col("content").contains(t) for t in terms]
     rows = segments.where(reduce(lambda a, b: a | b, found))
@@ -49,32 +49,33 @@ def _scored(segments: DataFrame, terms: list[str], limit: int | None) -> DataFra
     return ranked(rows, [F.col("terms_matched").desc(), F.col("occurrences").desc(), F.col("ordinal"), F.col("doc_id")], limit)
 
 
-def ranked(rows: DataFrame, order: list[Column], limit: int | None) -> DataFrame:
-    """The first `limit` rows in an order, numbered from 1: a top-k per partition, merged; the rows to number are few."""
+def ranked(rows: DataFrame, order: list[Column], limit: int) -> DataFrame:
+    """The first `limit` rows in an order, numbered from 1: a top-k per partition, merged. Only these are numbered in one task, so there is
+    always a limit."""
     from pyspark.sql import Window as W
 
-    if limit is not None:
-        rows = rows.orderBy(*order).limit(limit)
-    return rows.withColumn("rank", F.row_number().over(W.partitionBy().orderBy(*order)).cast("long"))
+    if limit < 1:
+        raise ValueError("a ranking has a limit")
+    return rows.orderBy(*order).limit(limit).withColumn("rank", F.row_number().over(W.partitionBy().orderBy(*order)).cast("long"))
 
 
-def phrase_search(segments: DataFrame, query: str, limit: int | None = 20) -> DataFrame:
+def phrase_search(segments: DataFrame, query: str, limit: int = 20) -> DataFrame:
     return _scored(segments, [query.strip()] if query.strip() else [], limit)
 
 
-def ngram_search(segments: DataFrame, query: str, limit: int | None = 20) -> DataFrame:
+def ngram_search(segments: DataFrame, query: str, limit: int = 20) -> DataFrame:
     return _scored(segments, query_ngrams(query), limit)
 
 
-def word_search(segments: DataFrame, query: str, limit: int | None = 20) -> DataFrame:
+def word_search(segments: DataFrame, query: str, limit: int = 20) -> DataFrame:
     return _scored(segments, query_words(query), limit)
 
 
-def variant_search(segments: DataFrame, query: str, limit: int | None = 20) -> DataFrame:
+def variant_search(segments: DataFrame, query: str, limit: int = 20) -> DataFrame:
     return _scored(segments, variants(query), limit)
 
 
-def auto_search(segments: DataFrame, query: str, limit: int | None = 20) -> DataFrame:
+def auto_search(segments: DataFrame, query: str, limit: int = 20) -> DataFrame:
     """mode and the phrase's hits; where it has none, the n-grams'. The second arm is skipped by a one-row test, in one plan."""
     phrase = phrase_search(segments, query, limit).withColumn("mode", F.lit("phrase"))
     grams = ngram_search(segments, query, limit).withColumn("mode", F.lit("ngram"))

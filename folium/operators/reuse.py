@@ -133,14 +133,14 @@ def reuse_pairs(texts: DataFrame, least: int = LEAST, most: int | None = MOST, n
 def find_passages(passages: DataFrame, texts: DataFrame, n: int = SEED) -> DataFrame:
     """item_id, doc_id, start, length: every place where a passage of n characters or more stands in a text.
 
-    The rows that meet the passages by their first n characters are places and keys alone; then the texts that have any are
-    fetched and compared whole at their places."""
-    wanted = passages.where(F.length("text") >= n).select("item_id", F.col("text").alias("passage"), F.xxhash64(F.substring("text", 1, n)).alias("key"))
+    Passages meet the places of texts by their first n characters, as hashes and lengths alone; then each text with any such place is
+    fetched once, and its places compared whole (by md5)."""
+    wanted = passages.where(F.length("text") >= n).select("item_id", F.length("text").alias("length"), F.md5(F.col("text").cast("binary")).alias("digest"), F.xxhash64(F.substring("text", 1, n)).alias("key"))
     grams = texts.select("doc_id", F.posexplode(F.transform(ngrams(F.col("text"), n), lambda g: F.xxhash64(g))).alias("start", "key"))
-    hits = grams.join(wanted.select("key").distinct(), "key", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("start", "key")).alias("places"))
-    placed = texts.join(hits, "doc_id").select("doc_id", "text", F.explode("places").alias("p")).select("doc_id", "text", "p.start", "p.key")
-    hit = placed.join(wanted, "key").where(F.col("text").substr(F.col("start") + 1, F.length("passage")) == F.col("passage"))
-    return hit.select("item_id", "doc_id", F.col("start").cast("long").alias("start"), F.length("passage").cast("long").alias("length"))
+    places = grams.join(wanted, "key").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "start", "length", "digest")).alias("places"))
+    same = lambda p: F.md5(F.col("text").substr(p["start"] + 1, p["length"]).cast("binary")) == p["digest"]
+    hit = texts.join(places, "doc_id").select("doc_id", F.explode(F.filter("places", same)).alias("p"))
+    return hit.select("p.item_id", "doc_id", F.col("p.start").cast("long").alias("start"), F.col("p.length").cast("long").alias("length"))
 
 
 def overlapping(spans: DataFrame, segments: DataFrame) -> DataFrame:
