@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folium.functions.text import words
-from folium.operators import evidence, identity, relations, renderings, segments
+from folium.operators import evidence, identity, receipts, relations, renderings, segments
 from folium.plans.corpus import SEG, TOKENS
 from folium.plans.registry import query
+from folium.session import shared_folder
 from folium.sources.tables import table
 
 
@@ -326,9 +329,10 @@ def publishing_audit(spark, d):
 @query(f"""with a as ({_digest_sql('documents', 'doc_id', ['text'])}), b as ({_digest_sql('benchmark', 'item_id', ['text'])})
 select 'quotations' as kind, (select digest from a) as input_digest, (select digest from b) as output_digest, (select n from b) as rows, 'complete' as status""")
 def derivation_receipt(spark, d):
-    """What a derivation read and wrote; complete where the input still has the digest it had before the run."""
-    docs = table(spark, d, "documents")
-    before, after = (identity.set_digest(docs, "doc_id", ["text"]).select(F.col("digest").alias(x)) for x in ("input_digest", "later"))
-    written = identity.set_digest(table(spark, d, "benchmark"), "item_id", ["text"]).select(F.col("digest").alias("output_digest"), F.col("n").alias("rows"))
-    row = before.crossJoin(after).crossJoin(written)
-    return row.select(F.lit("quotations").alias("kind"), "input_digest", "output_digest", "rows", F.when(F.col("input_digest") == F.col("later"), "complete").otherwise("partial").alias("status"))
+    """What a derivation read and wrote, from the log: it is run at first, and not again over the same input."""
+    folder = f"{shared_folder(spark)}/receipts-{uuid.uuid4().hex}"
+    source = receipts.Watched(table(spark, d, "documents"), "doc_id", ("text",))
+    output = receipts.Watched(table(spark, d, "benchmark"), "item_id", ("text",))
+    for _ in range(2):
+        receipts.derive(folder, "quotations", "1", source, lambda: (output, output.rows.count(), 0))
+    return receipts.log(spark, folder).select(F.col("derivation").alias("kind"), "input_digest", "output_digest", F.col("output_rows").alias("rows"), "status")
