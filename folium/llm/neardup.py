@@ -21,8 +21,9 @@ connected texts form a class.
   strangers (members outside the smallest's class) against all in blocks, by
   samples alone first; only members that agree with one of another class are
   compared by whole texts, in tasks that return a link for each merger of classes
-  and no pair else. A bucket of more than ``BLOCK`` strangers is split by each
-  further band before, and the parts' members compared with the parts' smallest.
+  and no pair else. The texts of buckets of more than ``BLOCK`` strangers are dealt
+  anew before, by the rare shingles that a text at the threshold must have one of;
+  the parts are looked at in the same way, and no pair of a bucket is left out.
 
 Defined cases: a text without a word (null or empty ones among them) is a class
 of its own, with rows of the same id and text only; a row without an id takes
@@ -299,7 +300,7 @@ def components(links: DataFrame) -> DataFrame:
 
 def _linked(frame: pd.DataFrame, idf: Idf, bands: tuple[int, ...]) -> pd.DataFrame:
     """One block of members outside the leader's class against one block of all, by whole texts: at most a link for each
-    merger of classes. A pair counts in the group of the first bands that it shares."""
+    merger of classes. A pair counts in the group of the first bands that it shares, in any where none are given."""
     x, y = frame[frame["outside"]], frame[~frame["outside"]]
     found: list[tuple[int, int, float]] = []
     if len(x) and len(y):
@@ -388,7 +389,7 @@ def _links_in_blocks(members: DataFrame, here: list[str], vectors: DataFrame, id
     """Links of large groups' strangers: by samples alone first, then those that are left by whole texts."""
 
     def bands(frame: pd.DataFrame) -> tuple[int, ...]:
-        return tuple(int(frame[c].iloc[0]) for c in here if c in ("band", "further"))
+        return tuple(int(frame[c].iloc[0]) for c in here if c == "band")
 
     def hopeful(frame: pd.DataFrame) -> pd.DataFrame:
         return frame[here].iloc[:1].merge(_hopeful(frame, bands(frame)), how="cross")
@@ -397,7 +398,7 @@ def _links_in_blocks(members: DataFrame, here: list[str], vectors: DataFrame, id
         return _linked(frame, idf, bands(frame))
 
     blocks = _in_blocks(members, here, ["v", "label", "samples"]).groupBy(*here, "i", "j")
-    some = stored(blocks.applyInPandas(hopeful, ", ".join(f"{c} {'int' if c in ('band', 'further') else 'long'}" for c in [*here, "v"])).distinct(), "hopeful")
+    some = stored(blocks.applyInPandas(hopeful, ", ".join(f"{c} {'int' if c == 'band' else 'long'}" for c in [*here, "v"])).distinct(), "hopeful")
     if some.isEmpty():
         return None
     rest = members.join(some, [*here, "v"])
@@ -406,9 +407,41 @@ def _links_in_blocks(members: DataFrame, here: list[str], vectors: DataFrame, id
     return stored(_in_blocks(rest, here, ["v", "label", "samples", "shingles"]).groupBy(*here, "i", "j").applyInPandas(linked, "a long, b long, similarity double"), "links")
 
 
+def _first_shingles(vectors: DataFrame, idf: Idf) -> DataFrame:
+    """shingle, v: the first of each text's shingles, in one order for all of them, rare ones first, until those left weigh less than
+    THRESHOLD of the text. Two texts with none in common have less than that in common, so no link is lost, in whatever order."""
+
+    def sketched(batches):
+        total = np.zeros(1 << SKETCH_BITS, np.int64)
+        for batch in batches:
+            each = [np.unique(np.frombuffer(raw, np.uint64)) for raw in batch.column("shingles").to_pylist()]
+            total += np.bincount(cell_of(np.concatenate([np.zeros(0, np.uint64), *each]), SKETCH_BITS), minlength=len(total))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["cell", "n"])
+
+    # at most 2**SKETCH_BITS rows whatever the input
+    got = vectors.select("shingles").mapInArrow(sketched, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    often = np.zeros(1 << SKETCH_BITS, np.int64)
+    often[got["cell"]] = got["n"]
+
+    def first(batches):
+        for batch in batches:
+            which, out = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+            for v, raw in zip(batch.column("v").to_pylist(), batch.column("shingles").to_pylist(), strict=True):
+                shingle, weight = _bag_of(raw, idf)
+                order = np.lexsort((shingle, often[cell_of(shingle, SKETCH_BITS)]))
+                weight = weight[order].astype(np.float64)
+                left = weight[::-1].cumsum()[::-1]
+                some = shingle[order[left >= (THRESHOLD - 1e-6) * left[0]]]
+                which.append(np.full(len(some), v, np.int64)), out.append(some)
+            yield pa.RecordBatch.from_arrays([pa.array(as_signed(np.concatenate(out))), pa.array(np.concatenate(which))], ["shingle", "v"])
+
+    return vectors.select("v", "shingles").mapInArrow(first, "shingle long, v long")
+
+
 def _second_round(buckets: DataFrame, labels: DataFrame, contents: DataFrame, vectors: DataFrame, idf: Idf, links: DataFrame) -> DataFrame:
     """Links between texts of different classes within buckets that hold several; `links` are those there are."""
-    here, split = ["band", "bucket"], ["band", "bucket", "further", "part"]
+    here, split = ["band", "bucket"], ["shingle"]
     samples = contents.select("v", "samples")
     open_ = _unsettled(buckets, here, labels, samples)
     pairs = _pairwise(open_, here)
@@ -418,11 +451,12 @@ def _second_round(buckets: DataFrame, labels: DataFrame, contents: DataFrame, ve
     if most is None or most <= BLOCK:
         found = _links(pairs.distinct(), vectors, idf)
     else:
-        many = large.where(F.col("strangers") > BLOCK)
-        # a bucket of many strangers falls apart by each later band; first every member of a part against the part's smallest
-        parts = stored(many.select(*here, "v").join(contents.select("v", F.posexplode("bands").alias("further", "part")), "v").where("further > band"), "parts")
-        leaders = parts.groupBy(*split).agg(F.min("v").alias("leader"), F.count("*").alias("size")).where("size > 1")
-        star = parts.join(leaders, split).where("v != leader").select(F.col("v").alias("a"), F.col("leader").alias("b")).distinct()
+        many = large.where(F.col("strangers") > BLOCK).select("v").distinct()
+        # first every member of a part against the part's smallest
+        parts = stored(_first_shingles(vectors.join(many, "v", "left_semi"), idf), "parts")
+        classed = parts.join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
+        leaders = classed.groupBy(*split).agg(F.min("v").alias("leader"), F.min_by("label", "v").alias("lead"))
+        star = classed.join(leaders, split).where("label != lead").select(F.col("v").alias("a"), F.col("leader").alias("b")).distinct()
         star = star.join(samples.select(F.col("v").alias("a"), F.col("samples").alias("x")), "a").join(samples.select(F.col("v").alias("b"), F.col("samples").alias("y")), "b").where(_agree(F.col("x"), F.col("y"))).select("a", "b")
         found = _links(pairs.union(star).distinct(), vectors, idf)
         open_ = _unsettled(parts, split, labels if found.isEmpty() else components(links.union(found)), samples)

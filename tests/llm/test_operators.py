@@ -342,6 +342,46 @@ def weighted_jaccard(texts, idf):
     return similarity
 
 
+def test_large_buckets_lose_no_pair_that_shares_one_band(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "SMALL_BUCKET", 2)
+    monkeypatch.setattr(neardup, "BLOCK", 3)
+    n, twins = 12, (4, 9)
+    rng = np.random.default_rng(3)
+    shingles = [np.sort(rng.integers(1, 1 << 52, 100).astype(np.uint64)) for _ in range(n)]
+    drawn = rng.integers(0, 1 << 30, (n, neardup.BANDS, neardup.ROWS))
+    drawn[:, 0] = 7  # all are in one bucket
+    a, b = twins
+    shingles[b] = np.sort(np.concatenate([shingles[a][:96], shingles[b][96:]]))
+    drawn[b, 1:, :2] = drawn[a, 1:, :2]  # 25 of 36 samples agree, in one whole band only
+    bands = [[7, *(100 * v + k for k in range(1, neardup.BANDS))] for v in range(n)]
+    contents = spark.createDataFrame([(v, bands[v], drawn[v].ravel().tolist()) for v in range(n)], "v long, bands array<long>, samples array<int>")
+    buckets = spark.createDataFrame([(v, 0, 7, 0, n) for v in range(n)], "v long, band int, bucket long, leader long, size long")
+    vectors = spark.createDataFrame([(v, bytearray(s.tobytes())) for v, s in enumerate(shingles)], "v long, shingles binary")
+    idf = neardup.Idf(np.zeros(0, np.uint64), np.zeros(0, np.float32))
+    found = neardup._second_round(buckets, spark.createDataFrame([], "v long, label long"), contents, vectors, idf, spark.createDataFrame([], "a long, b long, similarity double"))
+    assert {(r["a"], r["b"]) for r in found.collect()} == {(b, a)}
+
+
+def test_first_shingles_of_texts_at_the_threshold_meet(spark):
+    rng = np.random.default_rng(5)
+    common = rng.integers(1, 1 << 52, 60).astype(np.uint64)
+    rows_, pairs = [], []
+    for i in range(40):
+        own = np.concatenate([common[: rng.integers(0, 60)], rng.integers(1, 1 << 52, 60).astype(np.uint64)])
+        other = np.concatenate([own[rng.permutation(len(own))[: int(len(own) * 0.9)]], rng.integers(1, 1 << 52, 5).astype(np.uint64)])
+        rows_ += [(2 * i, bytearray(np.sort(own).tobytes())), (2 * i + 1, bytearray(np.sort(np.repeat(other, 1 + (i % 2))).tobytes()))]
+        pairs.append((2 * i, 2 * i + 1))
+    idf = neardup.Idf(np.sort(common), np.full(60, 0.9, np.float32))
+    parts: dict = {}
+    for r in neardup._first_shingles(spark.createDataFrame(rows_, "v long, shingles binary"), idf).collect():
+        parts.setdefault(r["v"], set()).add(r["shingle"])
+    bags = {v: neardup._bag_of(bytes(raw), idf) for v, raw in rows_}
+    near = [(x, y) for x in bags for y in bags if x < y and neardup._similarity(bags[x], bags[y]) >= neardup.THRESHOLD]
+    assert len(near) >= 10 and all(parts[x] & parts[y] for x, y in near)
+    # not the whole texts
+    assert all(len(parts[v]) < 0.4 * len(bags[v][0]) for v in bags)
+
+
 def test_near_duplicates_against_brute_force(spark, odd, empty, monkeypatch):
     texts = []
     for family in range(6):
