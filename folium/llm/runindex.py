@@ -12,7 +12,8 @@ strings are dealt out so that equal ones meet.
 2. Pieces: runs of strings with one anchor of which another document has a side, as text. Equal pieces of an anchor become one row with the least id of its
    documents (before the shuffle, where they meet), and go by anchor to a shard of about ``SHARD`` pieces. An anchor with more than
    ``HOT`` different pieces is cut into its strings instead, which are reduced again and dealt by their own hash.
-3. A shard's index: the Burrows-Wheeler transform of its pieces, kept as runs (symbol, first row, its place after one step
+3. A shard's index: the Burrows-Wheeler transform of its pieces that meet another (a string is in pieces of one anchor only, so an
+   anchor's only piece has its strings from its own documents), kept as runs (symbol, first row, its place after one step
    back) with the place of each run's last row, and the ranges of rows that agree in LENGTH bytes with the least id of each.
    Every piece is streamed through it from its last byte to its first, one step of the transform a byte for all pieces at once;
    from LENGTH matched bytes on, the range of the row says in which least document the string also starts.
@@ -149,6 +150,13 @@ def range_key(h: np.ndarray, ranges: int) -> np.ndarray:
     return (h & np.uint64(0xFFFFFFFF)) | ((h >> np.uint64(32)) % np.uint64(ranges)) << np.uint64(32)
 
 
+def _among(values: np.ndarray, those: np.ndarray) -> np.ndarray:
+    """Which of the values are among those, which are sorted."""
+    if not len(those):
+        return np.zeros(len(values), bool)
+    return those[np.minimum(np.searchsorted(those, values), len(those) - 1)] == values
+
+
 def _packed(docs: np.ndarray) -> bytes:
     return pa.Codec("zstd").compress(np.diff(docs, prepend=0).astype("<i8").tobytes(), asbytes=True)
 
@@ -223,7 +231,7 @@ def shared_sides(documents: DataFrame, ranges: int, length: int, k: int) -> Data
         twin = np.zeros(len(key), bool)
         twin[1:] |= key[1:] == key[:-1]
         twin[:-1] |= key[1:] == key[:-1]
-        twin |= np.isin(key, many)
+        twin |= _among(key, many)
         known = [np.frombuffer(x, "<u8") for x in columns["known"]]
         key = np.concatenate([key[twin] | high, *known])
         docs = np.concatenate([docs[twin], *(_unpacked(x, len(h)) for x, h in zip(columns["known_doc"], known, strict=True))])
@@ -248,7 +256,7 @@ def pieces(documents: DataFrame, shared: DataFrame, ranges: int, length: int, k:
                 those = np.unique(pair(np.concatenate(wanted), np.repeat(np.arange(len(wanted)), [len(x) for x in wanted])))
                 for a in anchors(buf, off, length, k):
                     doc = a.doc[a.at]
-                    some = np.isin(pair(range_key(a.left, ranges), doc), those) | np.isin(pair(range_key(a.right, ranges), doc), those)
+                    some = _among(pair(range_key(a.left, ranges), doc), those) | _among(pair(range_key(a.right, ranges), doc), those)
                     doc, start, n, h = runs(a, some, length, k)
                     n += length - 1
                     ends = np.cumsum(n)
@@ -380,27 +388,40 @@ def build(data: np.ndarray, sizes: np.ndarray, least: np.ndarray, length: int =
     return RunIndex(length, Bits(head, n), head, run_symbol, back, order[np.append(head[1:], n) - 1], Bits(edge, n), np.minimum.reduceat(np.where(long_, least[owner[order]], _NONE), edge))
 
 
+def to_index(anchor: np.ndarray, least: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(pieces that go into the index, pieces that go whole). A string is in pieces of one anchor only: a piece that is its anchor's
+    only one has its strings from its own documents, and an anchor of one document takes nothing from it."""
+    _, place, kinds = np.unique(anchor, return_inverse=True, return_counts=True)
+    lo, hi = np.full(len(kinds), _NONE), np.full(len(kinds), np.iinfo(np.int64).min)
+    np.minimum.at(lo, place, least)
+    np.maximum.at(hi, place, most)
+    several, alone = (lo < hi)[place], (kinds == 1)[place]
+    return np.flatnonzero(several & ~alone), np.flatnonzero(several & alone)
+
+
 def earlier(shards: DataFrame, length: int) -> DataFrame:
     """anchor, piece_hash, at, n, least: runs of strings of a piece whose least document is smaller than the piece's greatest.
 
     shards: shard, anchor, piece_hash, piece, least, most; equal strings are in one shard."""
 
     def found(table: pa.Table) -> pa.Table:
-        text = table.column("piece").combine_chunks()
-        text = text.chunk(0) if isinstance(text, pa.ChunkedArray) else text
-        sizes = np.array([len(x) for x in text.to_pylist()], np.int64)
-        data = np.frombuffer(b"".join(text.to_pylist()), np.uint8)
         least, most = table.column("least").to_numpy(), table.column("most").to_numpy()
-        value = build(data, sizes, least, length).least_documents(sizes)
-        strings = sizes - length + 1
-        owner = np.repeat(np.arange(len(sizes)), strings)
-        begins = np.append(True, (owner[1:] != owner[:-1]) | (value[1:] != value[:-1]))
-        first = np.flatnonzero(begins)
-        n = np.diff(np.append(first, len(value)))
-        at = first - (np.cumsum(strings) - strings)[owner[first]]
-        some = value[first] < most[owner[first]]
-        piece = pa.array(owner[first][some])
-        return pa.table({"anchor": table.column("anchor").take(piece), "piece_hash": table.column("piece_hash").take(piece), "at": at[some], "n": n[some], "least": value[first][some]})
+        indexed, whole = to_index(table.column("anchor").to_numpy(), least, most)
+        texts = table.column("piece").to_pylist()
+        strings = np.array([len(x) for x in texts], np.int64) - length + 1
+        piece, at, n, value = [whole], [np.zeros(len(whole), np.int64)], [strings[whole]], [least[whole]]
+        if len(indexed):
+            texts, strings = [texts[i] for i in indexed], strings[indexed]
+            documents = build(np.frombuffer(b"".join(texts), np.uint8), strings + length - 1, least[indexed], length).least_documents(strings + length - 1)
+            owner = np.repeat(np.arange(len(strings)), strings)
+            first = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (documents[1:] != documents[:-1])))
+            some = documents[first] < most[indexed[owner[first]]]
+            piece.append(indexed[owner[first]][some])
+            at.append((first - (np.cumsum(strings) - strings)[owner[first]])[some])
+            n.append(np.diff(np.append(first, len(documents)))[some])
+            value.append(documents[first][some])
+        rows = pa.array(np.concatenate(piece))
+        return pa.table({"anchor": table.column("anchor").take(rows), "piece_hash": table.column("piece_hash").take(rows), "at": np.concatenate(at), "n": np.concatenate(n), "least": np.concatenate(value)})
 
     return shards.groupBy("shard").applyInArrow(found, "anchor long, piece_hash long, at long, n long, least long")
 

@@ -228,3 +228,16 @@ def test_removed_spans_are_those_of_the_digest(spark):
             kept, at = kept + text[at : s["begin"]], s["end"]
         assert hashlib.sha256(kept + text[at:]).hexdigest() == r["kept_sha256"] and len(r["spans"]) == r["n_spans"]
     assert df.select(F.max("doc_id")).first()[0] == 29
+
+
+def test_pieces_that_meet_no_other_stay_out_of_the_index():
+    # anchor 1: one piece of two documents; 2: one of one; 3: two of one document; 4: two of several
+    anchor, least, most = np.array([1, 2, 3, 3, 4, 4]), np.array([5, 6, -7, -7, 8, 9]), np.array([6, 6, -7, -7, 8, 9])
+    indexed, whole = runindex.to_index(anchor, least, most)
+    assert indexed.tolist() == [4, 5] and whole.tolist() == [0]
+
+
+def test_membership_among_sorted_keys():
+    those = np.array([3, 5, 1 << 63], np.uint64)
+    assert runindex._among(np.array([0, 3, 4, 1 << 63, (1 << 64) - 1], np.uint64), those).tolist() == [False, True, False, True, False]
+    assert runindex._among(those, those[:0]).tolist() == [False] * 3
