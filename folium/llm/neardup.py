@@ -18,12 +18,13 @@ connected texts form a class.
 * No bucket's pairs are listed: every member is compared with the bucket's
   smallest. Buckets that then still hold several classes are looked at again:
   small ones pair by pair where half of the samples agree; in large ones the
-  strangers (members outside the smallest's class) against all in blocks, by
+  strangers (members outside the most common class) against all in blocks, by
   samples alone first; only members that agree with one of another class are
   compared by whole texts, in tasks that return a link for each merger of classes
-  and no pair else. The texts of buckets of more than ``BLOCK`` strangers are dealt
-  anew before, by the rare shingles that a text at the threshold must have one of;
-  the parts are looked at in the same way, and no pair of a bucket is left out.
+  and no pair else. A pair counts once, in the first band that it shares. Buckets of
+  more than ``CROWDED`` strangers fall into parts before: texts at the threshold share
+  one of their first shingles, so those that no chain of such shingles joins need no
+  comparison. The parts go in blocks as well, and no pair of a bucket is left out.
 
 Defined cases: a text without a word (null or empty ones among them) is a class
 of its own, with rows of the same id and text only; a row without an id takes
@@ -55,6 +56,8 @@ IDF_FLOOR, RARE = 0.9, 2.0**-7
 AGREE = 0.5
 #: Buckets up to this size are joined with themselves in the second round; larger ones go in blocks of BLOCK.
 SMALL_BUCKET, BLOCK = 32, 512
+#: Buckets of more strangers fall into parts first; comparing the samples of so many costs less than finding parts.
+CROWDED = 4096
 #: Counts that a task holds before it brings them together.
 COUNTS_HELD = 1 << 21
 
@@ -286,7 +289,7 @@ def _links(pairs: DataFrame, vectors: DataFrame, idf: Idf) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """v, label: the least vertex of each linked vertex's component, by least-label steps with pointer jumping."""
-    edges = stored(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
+    edges = stored(links.select("a", "b").union(links.select("b", "a")), "edges")
     labels = stored(edges.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
     while True:
         near = edges.join(labels.select(F.col("v").alias("b"), "label"), "b").groupBy(F.col("a").alias("v")).agg(F.min("label").alias("near"))
@@ -299,11 +302,11 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _linked(frame: pd.DataFrame, idf: Idf, bands: tuple[int, ...]) -> pd.DataFrame:
-    """One block of members outside the leader's class against one block of all, by whole texts: at most a link for each
-    merger of classes. A pair counts in the group of the first bands that it shares, in any where none are given."""
+    """One block of strangers against one block of all, by whole texts: at most a link for each merger of classes."""
     x, y = frame[frame["outside"]], frame[~frame["outside"]]
     found: list[tuple[int, int, float]] = []
-    if len(x) and len(y):
+    near = _candidates(x, y, bands) if len(x) and len(y) else []
+    if any(len(k) for k in near):
         parent: dict[int, int] = {}
 
         def top(k: int) -> int:
@@ -311,23 +314,46 @@ def _linked(frame: pd.DataFrame, idf: Idf, bands: tuple[int, ...]) -> pd.DataFra
                 k = parent[k]
             return k
 
-        ys, yl, yv, bags = np.stack(y["samples"].to_numpy()), y["label"].to_numpy(), y["v"].to_numpy(), y["shingles"].to_numpy()
-        read: dict[int, tuple] = {}
-        for v, label, s, raw in zip(x["v"], x["label"], x["samples"], x["shingles"], strict=True):
-            ok, near = _agreeing(ys == s, bands)
-            for k in (at := np.flatnonzero(ok & (yl != label)))[np.argsort(-near[at], kind="stable")]:
-                a, b = top(label), top(int(yl[k]))
-                if a == b:
-                    continue
-                if k not in read:
-                    read[k] = _bag_of(bags[k], idf)
-                value = _similarity(_bag_of(raw, idf), read[k])
-                if value >= THRESHOLD - 1e-9:
-                    found.append((max(int(v), int(yv[k])), min(int(v), int(yv[k])), value))
+        yl, yv, raws = y["label"].tolist(), y["v"].tolist(), y["shingles"].to_numpy()
+        used = np.unique(np.concatenate(near))
+        bags = {int(k): _bag_of(raws[k], idf) for k in used}
+        known, place = np.unique(np.concatenate([s for s, _ in bags.values()]), return_inverse=True)
+        places = dict(zip(bags, np.split(place, np.cumsum([len(s) for s, _ in bags.values()])[:-1]), strict=True))
+        total = np.zeros(len(y))
+        total[used] = [w.sum(dtype=np.float64) for _, w in bags.values()]
+        own = np.zeros(len(known))  # the weights of the one text that is compared
+        for v, label, raw, candidates in zip(x["v"].tolist(), x["label"].tolist(), x["shingles"], near, strict=True):
+            if not (some := [k for k in candidates.tolist() if top(yl[k]) != top(label)]):
+                continue
+            bag_ = _bag_of(raw, idf)
+            at = np.minimum(np.searchsorted(known, bag_[0]), len(known) - 1)
+            hit = known[at] == bag_[0]
+            own[at[hit]] = bag_[1][hit]
+            cut = np.cumsum([0, *(len(places[k]) for k in some[:-1])])
+            low = np.add.reduceat(np.minimum(own[np.concatenate([places[k] for k in some])], np.concatenate([bags[k][1] for k in some])), cut)
+            own[at[hit]] = 0
+            value = low / np.maximum(bag_[1].sum(dtype=np.float64) + total[some] - low, 1e-12)
+            # sums in another order differ by far less than this
+            for k in np.array(some)[value >= THRESHOLD - 1e-6].tolist():
+                a, b = top(label), top(yl[k])
+                if a != b and (exact := _similarity(bag_, bags[k])) >= THRESHOLD - 1e-9:
+                    found.append((max(v, yv[k]), min(v, yv[k]), exact))
                     parent[max(a, b)] = min(a, b)
     return pd.DataFrame(found, columns=["a", "b", "similarity"]).astype({"a": "int64", "b": "int64", "similarity": "float64"})
 
 
+def _candidates(x: pd.DataFrame, y: pd.DataFrame, bands: tuple[int, ...]) -> list[np.ndarray]:
+    """Places in y of those of another class that each of x agrees with, the nearest first. A pair counts in the group of the first
+    bands that it shares, in any where none are given; two strangers meet in two blocks and count in one."""
+    ys, yl, yv, inside = np.stack(y["samples"].to_numpy()), y["label"].to_numpy(), y["v"].to_numpy(), ~y["stranger"].to_numpy(bool)
+    out = []
+    for v, label, s in zip(x["v"], x["label"], x["samples"], strict=True):
+        ok, near = _agreeing(ys == s, bands)
+        at = np.flatnonzero(ok & (yl != label) & (inside | (yv < v)))
+        out.append(at[np.argsort(-near[at], kind="stable")])
+    return out
+
+
 def _agreeing(same: np.ndarray, bands: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
     """For rows of equal samples: whether the first shared bands are these and AGREE of all samples are shared, and the share."""
     shared, near = same.reshape(len(same), BANDS, ROWS).all(2), same.mean(1)
@@ -341,26 +367,25 @@ def _agreeing(same: np.ndarray, bands: tuple[int, ...]) -> tuple[np.ndarray, np.
 def _hopeful(frame: pd.DataFrame, bands: tuple[int, ...]) -> pd.DataFrame:
     """The members of two blocks that agree with one of another class, by samples alone."""
     x, y = frame[frame["outside"]], frame[~frame["outside"]]
-    found = np.zeros(len(y), bool)
-    some = []
-    if len(x) and len(y):
-        ys, yl = np.stack(y["samples"].to_numpy()), y["label"].to_numpy()
-        for v, label, s in zip(x["v"], x["label"], x["samples"], strict=True):
-            hit = _agreeing(ys == s, bands)[0] & (yl != label)
-            if hit.any():
-                found |= hit
-                some.append(v)
-    return pd.DataFrame({"v": np.unique(np.concatenate([np.array(some, np.int64), y["v"].to_numpy(np.int64)[found]]))})
+    near = _candidates(x, y, bands) if len(x) and len(y) else []
+    some = [x["v"].to_numpy(np.int64)[[len(k) > 0 for k in near]]] if near else []
+    return pd.DataFrame({"v": np.unique(np.concatenate([np.zeros(0, np.int64), *some, *(y["v"].to_numpy(np.int64)[k] for k in near)]))})
+
+
+def _mixed(classed: DataFrame, here: list[str]) -> DataFrame:
+    """here, leader (the smallest member), lead (the most common class), size, strangers (members of other classes) of the groups
+    that hold several classes."""
+    each = classed.groupBy(*here, "label").agg(F.count("*").alias("n"), F.min("v").alias("first"))
+    groups = each.groupBy(*here).agg(F.min("first").alias("leader"), F.max_by("label", F.struct("n", "label")).alias("lead"), F.sum("n").alias("size"), (F.sum("n") - F.max("n")).alias("strangers"))
+    return groups.where("strangers > 0")
 
 
 def _unsettled(groups: DataFrame, here: list[str], labels: DataFrame, samples: DataFrame) -> DataFrame:
     """here, v, label, lead, size, strangers, samples of the groups' members where a group holds several classes; not of its smallest,
-    the leader (of class `lead`), with which the others have been compared. Strangers are the members of other classes."""
+    the leader, with which the others have been compared."""
     classed = groups.select(*here, "v").join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
-    mixed = classed.groupBy(*here).agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("v").alias("leader"), F.min_by("label", "v").alias("lead"), F.count("*").alias("size"))
-    members = classed.join(mixed.where("lo != hi and size > 2").drop("lo", "hi"), here).where("v != leader")
-    strangers = members.where("label != lead").groupBy(*here).agg(F.count("*").alias("strangers"))
-    return stored(members.join(strangers, here).join(samples, "v").select(*here, "v", "label", "lead", "size", "strangers", "samples"), "unsettled")
+    members = classed.join(_mixed(classed, here).where("size > 2"), here).where("v != leader")
+    return stored(members.join(samples, "v").select(*here, "v", "label", "lead", "size", "strangers", "samples"), "unsettled")
 
 
 def _pairwise(members: DataFrame, here: list[str]) -> DataFrame:
@@ -381,8 +406,9 @@ def _in_blocks(members: DataFrame, here: list[str], columns: list[str]) -> DataF
     rows, columns_ = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("strangers", "size"))
     at = lambda n: F.pmod(F.xxhash64("v"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    strangers = members.where("label != lead").select(*here, F.lit(True).alias("outside"), *columns, at(rows).alias("i"), every(columns_).alias("j"))
-    return strangers.unionByName(members.select(*here, F.lit(False).alias("outside"), *columns, every(rows).alias("i"), at(columns_).alias("j")))
+    columns = [*here, F.expr("label != lead").alias("stranger"), *columns]
+    strangers = members.where("label != lead").select(F.lit(True).alias("outside"), *columns, at(rows).alias("i"), every(columns_).alias("j"))
+    return strangers.unionByName(members.select(F.lit(False).alias("outside"), *columns, every(rows).alias("i"), at(columns_).alias("j")))
 
 
 def _links_in_blocks(members: DataFrame, here: list[str], vectors: DataFrame, idf: Idf) -> DataFrame | None:
@@ -439,32 +465,34 @@ def _first_shingles(vectors: DataFrame, idf: Idf) -> DataFrame:
     return vectors.select("v", "shingles").mapInArrow(first, "shingle long, v long")
 
 
+def _parts(vectors: DataFrame, idf: Idf) -> DataFrame:
+    """v, part of the texts that share a first shingle with another; texts of different parts, and all others, are below the threshold."""
+    shared = stored(_first_shingles(vectors, idf), "parts")
+    leaders = shared.groupBy("shingle").agg(F.min("v").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
+    pairs = shared.join(leaders, "shingle").where("v != b").select(F.col("v").alias("a"), "b").distinct()
+    return components(pairs).withColumnRenamed("label", "part")
+
+
 def _second_round(buckets: DataFrame, labels: DataFrame, contents: DataFrame, vectors: DataFrame, idf: Idf, links: DataFrame) -> DataFrame:
     """Links between texts of different classes within buckets that hold several; `links` are those there are."""
-    here, split = ["band", "bucket"], ["shingle"]
-    samples = contents.select("v", "samples")
-    open_ = _unsettled(buckets, here, labels, samples)
-    pairs = _pairwise(open_, here)
+    here = ["band", "bucket"]
+    open_ = _unsettled(buckets, here, labels, contents.select("v", "samples"))
     large = open_.where(F.col("size") > SMALL_BUCKET)
-    least, most = large.agg(F.min("strangers"), F.max("strangers")).first()
-    more = [_links_in_blocks(large.where(F.col("strangers") <= BLOCK), here, vectors, idf)] if least is not None and least <= BLOCK else []
-    if most is None or most <= BLOCK:
-        found = _links(pairs.distinct(), vectors, idf)
-    else:
-        many = large.where(F.col("strangers") > BLOCK).select("v").distinct()
-        # first every member of a part against the part's smallest
-        parts = stored(_first_shingles(vectors.join(many, "v", "left_semi"), idf), "parts")
-        classed = parts.join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
-        leaders = classed.groupBy(*split).agg(F.min("v").alias("leader"), F.min_by("label", "v").alias("lead"))
-        star = classed.join(leaders, split).where("label != lead").select(F.col("v").alias("a"), F.col("leader").alias("b")).distinct()
-        star = star.join(samples.select(F.col("v").alias("a"), F.col("samples").alias("x")), "a").join(samples.select(F.col("v").alias("b"), F.col("samples").alias("y")), "b").where(_agree(F.col("x"), F.col("y"))).select("a", "b")
-        found = _links(pairs.union(star).distinct(), vectors, idf)
-        open_ = _unsettled(parts, split, labels if found.isEmpty() else components(links.union(found)), samples)
-        large = open_.where(F.col("size") > SMALL_BUCKET)
-        more += [_links(_pairwise(open_, split).distinct(), vectors, idf), None if large.isEmpty() else _links_in_blocks(large, split, vectors, idf)]
-    for m in more:
-        found = found if m is None else found.union(m)
-    return found
+    most = large.agg(F.max("strangers")).first()[0]
+    found = _links(_pairwise(open_, here).distinct(), vectors, idf)
+    if most is None:
+        return found
+    # a bucket that isn't crowded is one part
+    members = large.withColumn("part", F.lit(0).cast("long"))
+    here = [*here, "part"]
+    if most > CROWDED:
+        crowded = large.where(F.col("strangers") > CROWDED).drop("lead", "size", "strangers")
+        crowded = crowded.join(_parts(vectors.join(crowded.select("v").distinct(), "v", "left_semi"), idf), "v")
+        # a part's smallest has been compared with none yet, and stays
+        crowded = crowded.join(_mixed(crowded, here).drop("leader"), here)
+        members = stored(members.where(F.col("strangers") <= CROWDED).unionByName(crowded), "unsettled")
+    more = _links_in_blocks(members, here, vectors, idf)
+    return found if more is None else found.union(more)
 
 
 def near_duplicates(documents: DataFrame) -> tuple[DataFrame, DataFrame]:

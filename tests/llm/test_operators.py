@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 
@@ -362,6 +363,59 @@ def test_large_buckets_lose_no_pair_that_shares_one_band(spark, monkeypatch):
     assert {(r["a"], r["b"]) for r in found.collect()} == {(b, a)}
 
 
+def test_pairs_of_crowded_buckets_are_looked_at_once(spark, monkeypatch):
+    """A family of texts below the threshold, all in two crowded buckets, that share many of their first shingles."""
+    monkeypatch.setattr(neardup, "SMALL_BUCKET", 2)
+    monkeypatch.setattr(neardup, "BLOCK", 3)
+    n, twins = 14, (5, 11)
+    rng = np.random.default_rng(11)
+    common = rng.integers(1, 1 << 52, 88).astype(np.uint64)
+    shingles = [np.sort(np.concatenate([common, rng.integers(1, 1 << 52, 12).astype(np.uint64)])) for _ in range(n)]
+    a, b = twins
+    shingles[b] = np.sort(np.append(shingles[a][:-1], shingles[b][-1]))
+    alone = [np.sort(rng.integers(1, 1 << 52, 100).astype(np.uint64)) for _ in range(2)]
+    drawn = np.tile(rng.integers(0, 1 << 30, (neardup.BANDS, neardup.ROWS)), (n + 2, 1, 1))
+    drawn[:, 2:, 0] = rng.integers(0, 1 << 30, (n + 2, neardup.BANDS - 2))  # 26 of 36 samples agree, in the first two bands whole
+    contents = spark.createDataFrame([(v, drawn[v].ravel().tolist()) for v in range(n + 2)], "v long, samples array<int>")
+    buckets = spark.createDataFrame([(v, band, 7) for v in range(n + 2) for band in (0, 1)], "v long, band int, bucket long")
+    vectors = spark.createDataFrame([(v, bytearray(s.tobytes())) for v, s in enumerate(shingles + alone)], "v long, shingles binary")
+    idf = neardup.Idf(np.zeros(0, np.uint64), np.zeros(0, np.float32))
+    blocks, plain = [], neardup._in_blocks
+
+    def recorded(members, here, columns):
+        blocks.append((members, here))
+        return plain(members, here, columns)
+
+    monkeypatch.setattr(neardup, "_in_blocks", recorded)
+    for crowded in (neardup.CROWDED, 2) if hasattr(neardup, "CROWDED") else (None,):
+        blocks.clear()
+        if crowded:
+            monkeypatch.setattr(neardup, "CROWDED", crowded)
+        found = neardup._second_round(buckets, spark.createDataFrame([], "v long, label long"), contents, vectors, idf, spark.createDataFrame([], "a long, b long, similarity double"))
+        assert {(r["a"], r["b"]) for r in found.collect()} == {(b, a)}
+        for members, _ in blocks:
+            rows_ = [r["v"] for r in members.collect()]
+            assert rows_ and max(collections.Counter(rows_).values()) <= 2  # once a bucket
+        if crowded == 2:  # texts that share no first shingle with another are in no part
+            assert not {n, n + 1} & {r["v"] for r in blocks[0][0].collect()}
+
+
+def test_texts_of_a_block_are_read_once(monkeypatch):
+    rng = np.random.default_rng(13)
+    n = 12
+    common = rng.integers(1, 1 << 52, 70).astype(np.uint64)
+    own = [np.sort(np.concatenate([common, rng.integers(1, 1 << 52, 30).astype(np.uint64)])) for _ in range(n)]
+    own[9] = np.sort(np.append(own[4][:-1], own[9][-1]))
+    idf = neardup.Idf(np.sort(common), np.full(len(common), 0.9, np.float32))
+    rows_ = [{"outside": outside, "stranger": True, "v": v, "label": v, "samples": np.zeros(neardup.BANDS * neardup.ROWS, np.int32), "shingles": own[v].tobytes()} for outside in (True, False) for v in range(n)]
+    read, plain = [], neardup._bag_of
+    monkeypatch.setattr(neardup, "_bag_of", lambda raw, idf: read.append(raw) or plain(raw, idf))
+    found = neardup._linked(pd.DataFrame(rows_), idf, ())
+    assert [(r.a, r.b) for r in found.itertuples()] == [(9, 4)]
+    assert np.isclose(found["similarity"][0], neardup._similarity(plain(rows_[9]["shingles"], idf), plain(rows_[4]["shingles"], idf)), rtol=0, atol=1e-12)
+    assert len(read) <= 2 * n
+
+
 def test_first_shingles_of_texts_at_the_threshold_meet(spark):
     rng = np.random.default_rng(5)
     common = rng.integers(1, 1 << 52, 60).astype(np.uint64)
