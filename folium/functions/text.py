@@ -20,6 +20,11 @@ def characters(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
 
 
+def character(code: Column) -> Column:
+    """The character of a code point; F.chr only knows the first 256. A byte order mark goes before, as decoding takes one away."""
+    return F.decode(F.unhex(F.concat(F.lit("0000FEFF"), F.lpad(F.hex(code), 8, "0"))), "UTF-32")
+
+
 def over_ngrams(text: Column, n: int, make) -> Column:
     """make(characters, i) for the start i (from 1) of every run of n characters; the array is built once a text."""
     runs = lambda c: F.when(F.size(c) >= n, F.transform(F.sequence(F.lit(1), F.size(c) - n + 1), lambda i: make(c, i)))
