@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import unicodedata
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folium.operators.evidence import QUOTES
+from folium.session import share_package
 
 OCCURRENCE = "form string, start long, end long, work string, volume long, page long, register string, line long, from_foot boolean, segment string"
 #: The letter of the collection, registers of a page, and the digits of the database form's work, volume, page, line.
@@ -270,25 +273,44 @@ def toned(reading: Column) -> Column:
     return marked(reading)
 
 
+PLACES = "array<struct<n:long,start:long,how:string>>"
+
+
+def _aligned(text: str, passages: list[dict]) -> list[tuple[int, int, str]]:
+    """(n, start, how) of one work's passages in order."""
+    cursor, at = 0, np.full(len(passages), -1.0)
+    for i, p in enumerate(passages):
+        if p["text"] and (found := text.find(p["text"], cursor)) >= 0:
+            at[i], cursor = found, found + len(p["text"])
+    exact = np.flatnonzero(at >= 0)
+    how = np.full(len(at), "none", object)
+    if len(exact):
+        first, last = exact[0], exact[-1] + 1
+        at[first:last] = np.interp(np.arange(first, last), exact, at[exact])
+        how[first:last] = "interpolated"
+        how[exact] = "exact"
+    return list(zip((p["n"] for p in passages), at.astype(np.int64).tolist(), how, strict=True))
+
+
 def cursor_alignment(passages: DataFrame, targets: DataFrame) -> DataFrame:
     """work, n, start, how: places of numbered passages (work, n, text) in their work's text (work, text), in order.
 
     A passage found after the last one is exact and moves the cursor; one that isn't takes a place spaced evenly between its
-    neighbours (interpolated). Order makes this sequential within a work, so a work is one group; works are spread."""
-
-    def align(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        text = right["text"].iloc[0] if len(right) else ""
-        left, cursor, at = left.sort_values("n"), 0, []
-        for passage in left["text"]:
-            found = text.find(passage, cursor) if passage else -1
-            at.append(float(found) if found >= 0 else float("nan"))
-            cursor = found + len(passage) if found >= 0 else cursor
-        exact = pd.Series(at)
-        filled = exact.interpolate(limit_area="inside")
-        how = ["exact" if e == e else "interpolated" if f == f else "none" for e, f in zip(exact, filled, strict=True)]
-        return pd.DataFrame({"work": left["work"].to_numpy(), "n": left["n"].to_numpy(), "start": filled.fillna(-1).astype("int64"), "how": how})
-
-    return passages.groupBy("work").cogroup(targets.groupBy("work")).applyInPandas(align, "work string, n long, start long, how string")
+    neighbours (interpolated). Order makes this sequential within a work, so a work's passages are one row; rows go in Arrow batches. Of
+    several texts of a work the least stands."""
+
+    @F.arrow_udf(PLACES)
+    def align(text: pa.Array, held: pa.Array) -> pa.Array:
+        rows = [[dict(zip(("n", "start", "how"), x, strict=True)) for x in _aligned(t.as_py() or "", h.as_py())] for t, h in zip(text, held, strict=True)]
+        return pa.array(rows, pa.list_(pa.struct([("n", pa.int64()), ("start", pa.int64()), ("how", pa.string())])))
+
+    share_package(passages.sparkSession)
+    # both go to the work's place in one exchange, before anything is aggregated
+    none, passage = F.lit(None).cast("string"), F.struct(F.col("n").cast("long").alias("n"), "text")
+    rows = passages.select("work", passage.alias("passage"), none.alias("whole")).unionByName(targets.select("work", F.lit(None).cast("struct<n:long,text:string>").alias("passage"), F.col("text").alias("whole")))
+    both = rows.repartition("work").groupBy("work").agg(F.sort_array(F.collect_list("passage")).alias("held"), F.min("whole").alias("text"))
+    placed = both.where(F.size("held") > 0).select("work", F.explode(align("text", "held")).alias("p"))
+    return placed.select(F.col("work").cast("string").alias("work"), "p.n", "p.start", "p.how")
 
 
 def covered_renderings(renderings: DataFrame, chunks: DataFrame, least: float = 0.5) -> DataFrame:

@@ -1,6 +1,6 @@
 """Cases that only larger tables have."""
 
-from folium.operators import vectors
+from folium.operators import citing, vectors
 
 
 def frame(spark, rows, schema):
@@ -11,3 +11,10 @@ def test_letters_of_an_item_with_many_hands(spark):
     rows = spark.range(56000).selectExpr("1 as item", "cast(id as string) as hand")
     got = [r["letter"] for r in vectors.blinded_sheet(rows, "item", "hand", "s", 0).select("letter").collect()]
     assert sorted(got) == [chr(c) for c in (*range(65, 0xD800), *range(0xE000, 0xE000 + 56000 - (0xD800 - 65)))]
+
+
+def test_a_work_without_passages_or_text(spark):
+    passages = frame(spark, [("a", 1, "one"), ("a", 2, None), ("a", 3, "zz"), ("a", 4, "two"), ("a", 5, "qq"), ("b", 1, "x"), (None, 1, "y"), ("c", 1, "q")], "work string, n long, text string")
+    texts = frame(spark, [("a", "one and two"), ("b", ""), (None, "xy"), ("empty", ""), ("other", "one"), ("c", None)], "work string, text string")
+    got = {tuple(r) for r in citing.cursor_alignment(passages, texts).collect()}
+    assert got == {("a", 1, 0, "exact"), ("a", 2, 2, "interpolated"), ("a", 3, 5, "interpolated"), ("a", 4, 8, "exact"), ("a", 5, -1, "none"), ("b", 1, -1, "none"), (None, 1, 1, "exact"), ("c", 1, -1, "none")}
