@@ -21,6 +21,7 @@ from folium.functions.text import VARIANTS, fold, strip_punctuation
 from folium.operators.evidence import BRACKETS, CITATION, MOST_BYTES, MOST_QUOTED, QUOTES
 from folium.operators.reports import blocks
 from folium.operators.reuse import find_passages
+from folium.session import release, written
 
 #: What is looked at as a citation: anything that begins as an address, with a generated translation's mark, well formed or not.
 ANY_CITATION = r"(?<![a-z])[a-z]+\d*:\d+@[A-Za-z0-9]+(?:-[A-Za-z0-9]+)?(?:#tr:[A-Za-z0-9/:._-]*[A-Za-z0-9])?"
@@ -56,33 +57,66 @@ def found_in(text: str) -> list[dict]:
     return out
 
 
+def _edges(lost: DataFrame, segments: DataFrame) -> DataFrame:
+    """_urn, _needle, spans of lost quotations: whether one crosses from its line into a neighbour, and lies in no neighbour whole.
+
+    Neighbours are named by a window over addresses alone; of each only what a quotation may reach into goes on."""
+    w = W.partitionBy("doc_id").orderBy("ordinal")
+    u = F.col("urn")
+    named = segments.select(u.alias("_urn"), F.array(*[F.struct(F.lit(at).alias("at"), x.alias("urn")) for at, x in ((-1, F.lag(u).over(w)), (1, F.lead(u).over(w)), (2, F.lead(u, 2).over(w)))]).alias("near"))
+    ends = F.left("_bare", F.length("_needle")).alias("_first"), F.right("_bare", F.length("_needle")).alias("_last")
+    key = ["_urn", "_needle", "_first", "_last"]
+    asked = lost.select("_urn", "_needle", *ends).distinct().join(named, "_urn").select(*key, F.explode("near").alias("n")).select(*key, "n.*").where("urn is not null")
+    both = asked.join(segments.select("urn", "content"), "urn").withColumn("line", strip_punctuation("content"))
+    reach = F.length("_needle")
+    side = lambda at, x: F.coalesce(F.max(F.when(F.col("at") == at, x)), F.lit(""))
+    head, tail = F.left("line", reach), F.right("line", reach)
+    near = both.groupBy(*key).agg(side(-1, tail).alias("b1"), side(1, head).alias("a1"), side(1, tail).alias("e1"), side(2, head).alias("a2"), F.max(F.contains("line", "_needle")).alias("alone"))
+    over = F.concat("b1", "_first"), F.concat("_last", F.left(F.concat("a1", "a2"), reach)), F.concat("e1", "a2")
+    across = F.lit(False)
+    for x in over:
+        across = across | F.contains(x, F.col("_needle"))
+    return near.select("_urn", "_needle", (across & ~F.col("alone")).alias("spans"))
+
+
 def diagnosed(claims: DataFrame, segments: DataFrame) -> DataFrame:
-    """claims (claim_id, urn, quoted) with verdict, reason, actual, found_at: one ladder.
+    """claims (urn, quoted) with verdict, reason, actual, found_at, replacement: one ladder.
 
     verdict: bad_urn, not_citable_as_source (a generated translation), not_found, existence_only, ok, quote_mismatch. reason of a mismatch:
-    empty_quote, editorial_punctuation, orthographic_variant, spans_line_boundary (it crosses into a neighbour and lies in no one line),
-    wrong_address (found_at: the first NAMED places that hold it but for punctuation), not_found_in_search, or search_unavailable for a
-    quotation too short to look for. segments: urn, doc_id, ordinal, content."""
-    w = W.partitionBy("doc_id").orderBy("ordinal")
-    text = lambda c: strip_punctuation(F.coalesce(c, F.lit("")))
-    near = segments.select("urn", F.col("content").alias("actual"), F.lag("content").over(w).alias("b1"), F.lead("content").over(w).alias("a1"), F.lead("content", 2).over(w).alias("a2"))
+    empty_quote, editorial_punctuation, orthographic_variant (actual: the line itself), spans_line_boundary (it crosses into a neighbour
+    and lies in no one line), wrong_address (found_at: the first NAMED places that hold it but for punctuation; replacement: what the
+    only one holds), not_found_in_search, or search_unavailable for a quotation too short to look for. segments: urn, doc_id, ordinal,
+    content. Claims meet their lines once and are written, so what is left to do is done for the lost ones alone."""
+    spark = claims.sparkSession
     base = F.split_part("urn", F.lit("#"), F.lit(1))
-    rows = claims.withColumn("_urn", base).join(near.withColumnRenamed("urn", "_urn"), "_urn", "left").drop("_urn")
+    rows = claims.withColumn("_urn", base).join(segments.select(F.col("urn").alias("_urn"), F.col("content").alias("actual")), "_urn", "left")
     quote = F.trim(F.coalesce("quoted", F.lit("")))
-    verdict = F.when(~base.rlike(f"^{CITATION}$"), "bad_urn").when(F.contains("urn", F.lit("#tr:")), "not_citable_as_source").when(F.col("actual").isNull(), "not_found").when(F.col("quoted").isNull(), "existence_only").when((quote != "") & F.contains("actual", quote), "ok").otherwise("quote_mismatch")
-    needle = strip_punctuation(quote)
-    join = lambda *c: strip_punctuation(F.concat_ws("", *c))
-    across = F.contains(join("b1", "actual"), needle) | F.contains(join("actual", "a1", "a2"), needle)
-    alone = F.contains(text("b1"), needle) | F.contains(text("actual"), needle) | F.contains(text("a1"), needle) | F.contains(text("a2"), needle)
-    here = F.when(needle == "", "empty_quote").when(F.contains(text("actual"), needle), "editorial_punctuation").when(F.contains(fold(text("actual")), fold(needle)), "orthographic_variant").when(across & ~alone, "spans_line_boundary")
-    rows = rows.withColumn("verdict", verdict).withColumn("_needle", needle).withColumn("reason", F.when(F.col("verdict") == "quote_mismatch", here)).drop("b1", "a1", "a2")
-    lost = (F.col("verdict") == "quote_mismatch") & F.col("reason").isNull()
-    wanted = rows.where(lost & (F.length("_needle") >= SHORTEST)).select(F.col("_needle").alias("item_id"), F.col("_needle").alias("text")).distinct()
-    held = segments.select(F.struct("doc_id", "ordinal", "urn").alias("doc_id"), text(F.col("content")).alias("text"))
+    verdict = F.when(~F.col("_urn").rlike(f"^{CITATION}$"), "bad_urn").when(F.contains("urn", F.lit("#tr:")), "not_citable_as_source").when(F.col("actual").isNull(), "not_found").when(F.col("quoted").isNull(), "existence_only").when((quote != "") & F.contains("actual", quote), "ok").otherwise("quote_mismatch")
+    rows = rows.withColumn("verdict", verdict)
+    mismatch = F.col("verdict") == "quote_mismatch"
+    rows = rows.withColumn("_needle", F.when(mismatch, strip_punctuation(quote))).withColumn("_bare", F.when(mismatch, strip_punctuation("actual")))
+    here = F.when(F.col("_needle") == "", "empty_quote").when(F.contains("_bare", "_needle"), "editorial_punctuation").when(F.contains(fold(F.col("_bare")), fold(F.col("_needle"))), "orthographic_variant")
+    rows = rows.withColumn("reason", F.when(mismatch, here))
+    lost = mismatch & F.col("reason").isNull()
+    rows = rows.withColumn("_lost", lost).withColumn("_bare", F.when(lost, F.col("_bare"))).withColumn("actual", F.when(F.col("reason").isin("editorial_punctuation", "orthographic_variant"), F.col("actual")))
+    rows = written(rows, "claims")
+    release(spark)
+    lost = rows.where("_lost")
+    edges = _edges(lost, segments)
+    wanted = lost.where(F.length("_needle") >= SHORTEST).select(F.col("_needle").alias("item_id"), F.col("_needle").alias("text")).distinct()
+    held = segments.select(F.struct("doc_id", "ordinal", "urn").alias("doc_id"), strip_punctuation(F.coalesce("content", F.lit(""))).alias("text"))
     places = find_passages(wanted, held, SHORTEST).groupBy(F.col("item_id").alias("_needle")).agg(F.slice(F.sort_array(F.collect_set("doc_id")), 1, NAMED).alias("places"))
-    rows = rows.join(places, "_needle", "left")
-    else_ = F.when(F.col("places").isNotNull(), "wrong_address").when(F.length("_needle") < SHORTEST, "search_unavailable").otherwise("not_found_in_search")
-    return rows.select(*claims.columns, "verdict", F.when(lost, else_).otherwise(F.col("reason")).alias("reason"), "actual", F.when(lost, F.transform("places", lambda p: p["urn"])).alias("found_at"))
+    places = places.select("_needle", F.transform("places", lambda p: p["urn"]).alias("found_at"))
+    only = places.where(F.size("found_at") == 1).select("_needle", F.get("found_at", F.lit(0)).alias("urn")).join(segments.select("urn", "content"), "urn").select("_needle", F.col("content").alias("replacement"))
+    found = lost.join(edges, ["_urn", "_needle"], "left").join(places, "_needle", "left").join(only, "_needle", "left")
+    spans = F.coalesce("spans", F.lit(False))
+    reason = F.when(spans, "spans_line_boundary").when(F.col("found_at").isNotNull(), "wrong_address").when(F.length("_needle") < SHORTEST, "search_unavailable").otherwise("not_found_in_search")
+    columns = [*claims.columns, "verdict"]
+    elsewhere = lambda c: F.when(~spans, F.col(c)).alias(c)
+    found = written(found.select(*columns, reason.alias("reason"), "actual", elsewhere("found_at"), elsewhere("replacement")), "lost")
+    del edges, places, only
+    release(spark)
+    return found.unionByName(rows.where("not _lost").select(*columns, "reason", "actual"), allowMissingColumns=True)
 
 
 def _bare(c: str, folded: bool) -> str:
@@ -197,10 +231,7 @@ def repair(texts: DataFrame, segments: DataFrame) -> DataFrame:
     it exactly), no_sources (the citation goes, the prose stays), flagged (nothing is changed, for the reason given). A text of more
     than MOST_BYTES is refused whole."""
     sized = texts.select("doc_id", "text", (F.octet_length("text") > MOST_BYTES).alias("large"))
-    claims = occurrences(sized.where("not large")).withColumn("claim_id", F.struct("doc_id", "k"))
-    checked = diagnosed(claims, segments).drop("claim_id")
-    one = F.when(F.size("found_at") == 1, F.get("found_at", F.lit(0)))
-    checked = checked.withColumn("_one", one).join(segments.select(F.col("urn").alias("_one"), F.col("content").alias("replacement")), "_one", "left").drop("_one")
+    checked = diagnosed(occurrences(sized.where("not large")), segments)
     columns = [c for c in checked.columns if c != "doc_id"]
     found = checked.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("k", *[c for c in columns if c != "k"]))).alias("found"))
 

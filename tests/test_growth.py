@@ -1,6 +1,8 @@
 """Cases that only larger tables have."""
 
-from folium.operators import citing, vectors
+import random
+
+from folium.operators import citing, reuse, vectors
 
 
 def frame(spark, rows, schema):
@@ -18,3 +20,20 @@ def test_a_work_without_passages_or_text(spark):
     texts = frame(spark, [("a", "one and two"), ("b", ""), (None, "xy"), ("empty", ""), ("other", "one"), ("c", None)], "work string, text string")
     got = {tuple(r) for r in citing.cursor_alignment(passages, texts).collect()}
     assert got == {("a", 1, 0, "exact"), ("a", 2, 2, "interpolated"), ("a", 3, 5, "interpolated"), ("a", 4, 8, "exact"), ("a", 5, -1, "none"), ("b", 1, -1, "none"), (None, 1, 1, "exact"), ("c", 1, -1, "none")}
+
+
+def test_passages_by_their_beginnings(spark):
+    """Against brute force, with passages of all classes of length; texts where no passage can begin don't leave the scan."""
+    rng = random.Random(3)
+    texts = [(i, "".join(rng.choice("abñ𐍈") if rng.random() < 0.5 else "ab" for _ in range(rng.choice((0, 3, 20, 300, 2000))))) for i in range(40)] + [(98, ""), (99, None)]
+    passages = [(1000, None)]
+    for j in range(60):
+        whole = rng.choice(texts)[1] or ""
+        at, n = rng.randrange(len(whole) + 1), rng.choice((3, 4, 5, 15, 16, 64, 69, 280))
+        passages.append((j, whole[at : at + n] + rng.choice(("", "", "q"))))
+    want = sorted((j, d, i, len(p)) for j, p in passages if p and len(p) >= 4 for d, t in texts if t for i in range(len(t) - len(p) + 1) if t[i : i + len(p)] == p)
+    docs, asked = frame(spark, texts, "doc_id long, text string"), frame(spark, passages, "item_id long, text string")
+    assert want and sorted(tuple(r) for r in reuse.find_passages(asked, docs, 4).collect()) == want
+    keys = frame(spark, [("xabcdefghijkl",), ("abcdefghijkl",)], "text string").select(reuse._beginning(12)("text").alias("b")).select("b.*")
+    near = reuse._may_begin(frame(spark, [(i, f"text {i} of no interest") for i in range(500)] + [(500, "an xabcdefghijkl")], "doc_id long, text string"), 12, *reuse._filter(keys, 2))
+    assert [(r["doc_id"], [s["start"] for s in r["starts"]]) for r in near.collect()] == [(500, [3, 4])]
