@@ -1,8 +1,9 @@
 """Cases that only larger tables have."""
 
 import random
+import time
 
-from folium.operators import citing, reuse, vectors
+from folium.operators import citing, renderings, reuse, vectors
 
 
 def frame(spark, rows, schema):
@@ -37,3 +38,12 @@ def test_passages_by_their_beginnings(spark):
     keys = frame(spark, [("xabcdefghijkl",), ("abcdefghijkl",)], "text string").select(reuse._beginning(12)("text").alias("b")).select("b.*")
     near = reuse._may_begin(frame(spark, [(i, f"text {i} of no interest") for i in range(500)] + [(500, "an xabcdefghijkl")], "doc_id long, text string"), 12, *reuse._filter(keys, 2))
     assert [(r["doc_id"], [s["start"] for s in r["starts"]]) for r in near.collect()] == [(500, [3, 4])]
+
+
+def test_readings_of_awkward_forms_and_of_long_texts(spark):
+    readings = {"a": "1", "ab": "", "abc]": "2", "]": "3", "^-": "4", "": "5", "abcdefghi": "6"}
+    rows = [(1, "abc]abcx^-^]"), (2, None), (3, "abcdefghi"), (4, "xyz " * 2_500_000)]
+    began = time.time()
+    got = {r["doc_id"]: (r["known"], r["unknown"], r["reading"]) for r in renderings.longest_match(frame(spark, rows, "doc_id long, text string"), readings).collect()}
+    assert time.time() - began < 15  # about 28 s, a character at a time
+    assert got == {1: (4, 3, "2cx4^3"), 2: (0, 0, ""), 3: (1, 7, "cdefghi"), 4: (0, 10_000_000, rows[3][1])}
