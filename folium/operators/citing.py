@@ -143,9 +143,11 @@ def address_to_urn(addresses: DataFrame, lines: DataFrame) -> DataFrame:
     """id, urn, problem of addresses (id, volume, page, register, line, from_foot) in an index of lines (urn, volume, page, register,
     line). Lines counted from the foot start at the register's last; an address with several texts is refused."""
     place = ["volume", "page", "register"]
-    last = lines.groupBy(*place).agg(F.max("line").alias("last"))
+    # the texts of a place are counted before they are met, so a crowded place costs its addresses and its lines, not their product
+    index = lines.groupBy(*place, "line").agg(F.count("urn").alias("n"), F.min("urn").alias("urn"))
+    last = index.groupBy(*place).agg(F.max("line").alias("last"))
     want = addresses.join(last, place, "left").withColumn("line", F.when(F.col("from_foot"), F.col("last") - F.col("line") + 1).otherwise(F.col("line")))
-    hit = want.join(lines.select(*place, "line", "urn"), [*place, "line"], "left").groupBy("id").agg(F.count("urn").alias("n"), F.min("urn").alias("urn"))
+    hit = want.join(index, [*place, "line"], "left").groupBy("id").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.min("urn").alias("urn"))
     return hit.select("id", F.when(F.col("n") == 1, F.col("urn")).alias("urn"), F.when(F.col("n") == 0, "not_found").when(F.col("n") > 1, "ambiguous").alias("problem"))
 
 
