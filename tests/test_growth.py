@@ -1,9 +1,10 @@
 """Cases that only larger tables have."""
 
+import hashlib
 import random
 import time
 
-from folium.operators import citing, renderings, reuse, vectors
+from folium.operators import citing, renderings, reports, reuse, vectors
 
 
 def frame(spark, rows, schema):
@@ -47,3 +48,21 @@ def test_readings_of_awkward_forms_and_of_long_texts(spark):
     got = {r["doc_id"]: (r["known"], r["unknown"], r["reading"]) for r in renderings.longest_match(frame(spark, rows, "doc_id long, text string"), readings).collect()}
     assert time.time() - began < 15  # about 28 s, a character at a time
     assert got == {1: (4, 3, "2cx4^3"), 2: (0, 0, ""), 3: (1, 7, "cdefghi"), 4: (0, 10_000_000, rows[3][1])}
+
+
+def test_crowded_places_meet_their_addresses_once(spark):
+    """500 lines and 500 addresses of one place; the join of each with each had 250,000 rows."""
+    lines = spark.range(500).selectExpr("concat('u', id) as urn", "1L as volume", "0L as page", "'a' as register", "2L as line")
+    asked = spark.range(500).selectExpr("id", "1L as volume", "0L as page", "'a' as register", "if(id = 7, 3L, 2L) as line", "id = 7 as from_foot")
+    got = citing.address_to_urn(asked, lines)
+    joined = [r.asDict() for r in got.collect()]
+    assert [r["problem"] for r in joined if r["id"] == 7] == ["not_found"] and sum(r["problem"] == "ambiguous" for r in joined) == 499
+    assert "min(urn" in got._jdf.queryExecution().optimizedPlan().toString().split("Join", 1)[1]  # counted below the join
+
+
+def test_lines_are_answered_without_their_content(spark):
+    held = frame(spark, [("src:1@l0", 1, "x")], "urn string, doc_id long, content string")
+    asked = frame(spark, [(1, 2, {"urn": "src:1@l0"})], "doc_id long, line long, arguments map<string,string>")
+    got = reports.line_question(held)(asked)
+    assert {(r["path"], r["value"]) for r in got.collect()} == {("length", "1"), ("sha256", hashlib.sha256(b"x").hexdigest())}
+    assert "content" not in got._jdf.queryExecution().optimizedPlan().toString().split("Join", 1)[0]
