@@ -3,6 +3,7 @@
 import hashlib
 import random
 import time
+from collections import Counter
 
 from folium.operators import citing, renderings, reports, reuse, vectors
 
@@ -66,3 +67,11 @@ def test_lines_are_answered_without_their_content(spark):
     got = reports.line_question(held)(asked)
     assert {(r["path"], r["value"]) for r in got.collect()} == {("length", "1"), ("sha256", hashlib.sha256(b"x").hexdigest())}
     assert "content" not in got._jdf.queryExecution().optimizedPlan().toString().split("Join", 1)[0]
+
+
+def test_seeds_are_counted_without_a_row_for_each(spark):
+    rng = random.Random(5)
+    texts = [(i, "".join(rng.choice("ab𐍈") for _ in range(rng.choice((0, 11, 12, 40, 3000))))) for i in range(40)] + [(99, None)]
+    counts = Counter(Counter(t[p : p + 4] for _, t in texts if t for p in range(len(t) - 3)).values())
+    got = reuse.seed_histogram(frame(spark, texts, "doc_id long, text string"), 4)
+    assert {r["n"]: r["seeds"] for r in got.collect()} == dict(counts)
